@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, media
+from . import bpe, chat, decontam, langid, linededup, media, neardup
 from .common import remainder, table
 
 
@@ -18,6 +18,27 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = dict(rows.dtypes)
+    says = F.lit("<|im_end|><|im_start|>assistant ok")
+    more = spark.range(2).select(
+        F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), says.alias("text"),
+    )
+    return chat.digest(chat.assemble(chat.format_turns(rows.unionAll(more))))
+
+
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -34,10 +55,49 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs, codec).drop("text"), codec))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_decontamination, op5_media_columns, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_decontamination, op4_minhash_neardup, op5_media_columns, op6_line_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op2_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C') AS header,
+    CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\+\|')
+      THEN regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') ELSE text END AS content
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(24 + length(header) + length(content)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+#: Windows compared as text.
+ORACLE_SQL["op6_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+k AS (SELECT row_number() OVER () AS r, * FROM d),
+w AS (
+  SELECT r, doc_id, text, p, l[p + 1] || chr(10) || l[p + 2] || chr(10) || l[p + 3] AS win
+  FROM k, unnest(range(0, greatest(len(l) - 2, 0))) AS u(p)
+  WHERE len(l) >= 3 AND trim(l[p + 1] || l[p + 2] || l[p + 3]) <> ''
+), f AS (
+  SELECT win, min(struct_pack(a := doc_id IS NULL, b := doc_id, c := p)) AS first FROM w GROUP BY win HAVING count(*) > 1
+), later AS (
+  SELECT DISTINCT r, x FROM (
+    SELECT r, unnest(range(CASE WHEN doc_id IS NOT DISTINCT FROM first.b AND p < first.c + 3 THEN first.c + 3 ELSE p END, p + 3)) AS x
+    FROM w JOIN f USING (win) WHERE struct_pack(a := doc_id IS NULL, b := doc_id, c := p) > first)
+), g AS (SELECT r, list(x) AS gone FROM later GROUP BY r)
+SELECT doc_id, cast(coalesce(len(l), 0) AS BIGINT) AS n_lines, cast(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(l)), lambda i: NOT list_contains(gone, i)), lambda i: l[i + 1]), chr(10)), '') END AS text
+FROM k LEFT JOIN g USING (r)
+"""
+
 #: Items and documents as words, windows of items by direct comparison.
 ORACLE_SQL["op3_decontamination"] = r"""
 WITH d AS (

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, media, neardup
-from .common import remainder, table
+from . import bpe, chat, decontam, langid, linededup, media, neardup, quality, warc
+from .common import remainder, table, written
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +49,26 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.load(media.store(docs)))
 
 
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    scored = quality.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.to_warc(warc.crawl_of_pages(table(spark, sf_dir, "pages")))
+    return warc.digest(warc.resolve(warc.from_warc(written(records, "warc"))))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = bpe.prepare(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.digest(bpe.decode(bpe.encode(docs, codec).drop("text"), codec))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_decontamination, op4_minhash_neardup, op5_media_columns, op6_line_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_decontamination, op4_minhash_neardup, op5_media_columns, op6_line_dedup, op8_quality_crf, op9_warc_revisits, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -124,4 +137,36 @@ SELECT d.doc_id, cast(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN pos USING (k) LEFT JOIN its USING (k)
 """
 
+ORACLE_SQL["op9_warc_revisits"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
+    CASE WHEN page_id % 5 <> 0 THEN '"' || md5(coalesce(html, '')) || '"' END AS etag, CASE WHEN page_id % 11 <> 0 THEN 'day ' || (page_id % 97) END AS day
+  FROM pages
+), u AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@|:(80|443)$', '', 'g'), '^www\.', '') AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '[?&]+$|/+$', '', 'g'), '/+$', '') AS rest
+  FROM p
+), f AS (SELECT *, CASE WHEN host <> '' THEN host || rest END AS place, 2 * page_id AS id, page_id AS ts FROM u),
+v AS (SELECT *, 2 * page_id + 1 AS vid, page_id + 1000 * (page_id % 3) AS vts FROM f),
+m AS (
+  SELECT v.page_id, max(struct_pack(ts := f.ts, id := f.id)).id AS source_id
+  FROM v JOIN f ON v.place = f.place AND (f.ts < v.vts OR f.ts = v.vts AND f.id < v.vid) GROUP BY v.page_id
+), j AS (
+  SELECT v.vid, v.etag AS etag, v.day AS day, v.page_id, m.source_id, s.html AS s_html, s.etag AS s_etag, s.day AS s_day,
+    CASE WHEN m.source_id IS NULL THEN 'orphan' WHEN coalesce(v.etag = s.etag, v.day = s.day, true) THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM v LEFT JOIN m USING (page_id) LEFT JOIN f s ON s.id = m.source_id
+)
+SELECT id AS record_id, 'full' AS outcome, cast(-1 AS BIGINT) AS source_id, 200 AS status,
+  sha256(concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || strlen(html), 'content-type: text/html', 'etag: ' || etag, 'last-modified: ' || day)) AS headers_sha256,
+  cast(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_sha256
+FROM f
+UNION ALL
+SELECT vid, outcome, coalesce(source_id, -1), CASE WHEN outcome = 'resolved' THEN 200 ELSE 304 END,
+  sha256(CASE WHEN outcome = 'resolved'
+    THEN concat_ws(chr(10), 'cache-control: max-age=' || (page_id % 100), 'content-length: ' || strlen(s_html), 'content-type: text/html', 'etag: ' || coalesce(etag, s_etag), 'last-modified: ' || coalesce(day, s_day))
+    ELSE concat_ws(chr(10), 'cache-control: max-age=' || (page_id % 100), 'content-length: 0', 'etag: ' || etag, 'last-modified: ' || day) END),
+  CASE WHEN outcome = 'resolved' THEN strlen(s_html) ELSE 0 END, sha256(CASE WHEN outcome = 'resolved' THEN s_html ELSE '' END)
+FROM j
+"""
+
 #: The payload itself; the stored form's columns can't be made in SQL, so this one is tested against brute force instead.

@@ -161,9 +161,14 @@ def _matcher(key: str, shared) -> Matcher:
     return _CACHE[key]
 
 
+def contaminated():
+    """Whether at least a twentieth of a document's words are hit, over what find_contamination() added."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from what find_contamination() added."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    ).withColumn("contaminated", contaminated())

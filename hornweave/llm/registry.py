@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, linededup, media, neardup, quality, warc
+from . import bpe, chat, decontam, katz, langid, linededup, media, neardup, quality, warc
 from .common import remainder, table, written
 
 
@@ -49,6 +49,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.load(media.store(docs)))
 
 
+def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs, remainder("doc_id", 5) == 1)
+
+
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, remainder("doc_id", 4) != 2)
@@ -68,7 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs, codec).drop("text"), codec))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_decontamination, op4_minhash_neardup, op5_media_columns, op6_line_dedup, op8_quality_crf, op9_warc_revisits, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_decontamination, op4_minhash_neardup, op5_media_columns, op6_line_dedup, op7_katz_lm, op8_quality_crf, op9_warc_revisits, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 

@@ -70,7 +70,7 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = bpe.prepare(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return bpe.digest(bpe.decode(bpe.encode(docs, codec).drop("text"), codec))
+    return bpe.digest(bpe.round_trip(docs, codec))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_decontamination, op4_minhash_neardup, op5_media_columns, op6_line_dedup, op7_katz_lm, op8_quality_crf, op9_warc_revisits, op10_bpe)}

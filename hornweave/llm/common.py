@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import shared_dir, written
+
+__all__ = ["append_columns", "lower_ascii", "remainder", "shared_dir", "table", "text_chunks", "written"]
+
 #: Bytes of text that a Python worker unpacks at once; a longer single text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
@@ -85,21 +87,3 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
         T.StringType: pa.string(), T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.IntegerType: pa.int32(),
         T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.BooleanType: pa.bool_(),
     }[type(kind)]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here if a test left it unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/checkpoints/hornweave"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{re.sub(r'[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)

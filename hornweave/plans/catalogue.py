@@ -166,7 +166,7 @@ def path_l2_estimate(spark, d):
 @query(cte(*STRUCTURE, more=STEPS) + "SELECT r1, r2, count(DISTINCT (h, t)) AS pairs, least(count(DISTINCT h), count(DISTINCT m), count(DISTINCT t)) AS entity_support FROM both2 GROUP BY r1, r2")
 def path_l2_instance_stats(spark, d):
     e = edges(spark, d, *STRUCTURE)
-    return paths.instance_stats(paths.groundings(e, e, paths.estimate(e).select("r1", "r2")))
+    return paths.instance_stats(paths.groundings(e, e))
 
 
 @query(cte("placedBy", "custNation", "inRegion", more="""
@@ -217,7 +217,7 @@ def rules_b_l1(spark, d):
 
 def _l2_rules(spark, d):
     body = edges(spark, d, *STRUCTURE)
-    found = paths.instances(paths.groundings(body, body, paths.estimate(body).select("r1", "r2")))
+    found = paths.instances(paths.groundings(body, body))
     return mining.path_rules(edges(spark, d, *HEADS), found, MIN_SUPPORT)
 
 

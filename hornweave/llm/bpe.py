@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks
+from .common import text_chunks, written
 
 #: Fixed value: the published pre-tokenisation pattern of byte-level BPE vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -344,7 +344,7 @@ def _codec(name: str, vocabulary) -> Codec:
 
 
 def frequent_words(docs: DataFrame, text: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The pieces of the ``limit`` most frequent words, split at white space, of all texts (ties by word)."""
+    """The pieces of the most frequent words, split at white space, of all texts: at most ``limit`` words, equally frequent ones together."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -358,8 +358,15 @@ def frequent_words(docs: DataFrame, text: str, limit: int = LEXICON_WORDS) -> li
         yield _counted(seen)
 
     rows = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = rows.where((F.octet_length("word") < MAX_WORD_BYTES) & (F.col("n") > 1))
-    top = rows.orderBy(F.desc("n"), "word").limit(limit).collect()
+    counted = written(rows.where((F.octet_length("word") < MAX_WORD_BYTES) & (F.col("n") > 1)), "bpe_words")
+    least, words = None, 0
+    # words by count, the most frequent first, until the next count would exceed the limit: no more words than that are collected
+    for n, k in counted.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(limit).collect():
+        words += k
+        if words > limit:
+            break
+        least = n
+    top = [] if least is None else counted.where(F.col("n") >= least).select("word").collect()
     return sorted({piece for r in top for piece in SPLIT.findall(" " + r[0])})
 
 

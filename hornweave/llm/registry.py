@@ -96,6 +96,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+#: Every pair of sets that share a shingle, and reachability over the links.
+ORACLE_SQL["op4_minhash_neardup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT k, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS sh
+  FROM d
+), e AS (SELECT k, doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.k AS ka, b.k AS kb, a.doc_id AS da, b.doc_id AS db, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b USING (x) WHERE a.k < b.k GROUP BY ALL),
+l AS (SELECT da, db FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+u AS (SELECT da AS a, db AS b FROM l UNION SELECT db, da FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a),
+m AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, cast(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s LEFT JOIN m ON s.doc_id = m.a
+"""
+
 #: Windows compared as text.
 ORACLE_SQL["op6_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),

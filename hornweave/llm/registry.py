@@ -162,7 +162,7 @@ FROM d LEFT JOIN pos USING (k) LEFT JOIN its USING (k)
 
 ORACLE_SQL["op9_warc_revisits"] = r"""
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
+  SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(translate(url, chr(13) || chr(10), '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare,
     CASE WHEN page_id % 5 <> 0 THEN '"' || md5(coalesce(html, '')) || '"' END AS etag, CASE WHEN page_id % 11 <> 0 THEN 'day ' || (page_id % 97) END AS day
   FROM pages
 ), u AS (

@@ -11,14 +11,21 @@ pre-aggregated, a running maximum over buckets carries it on, and a window insid
 bucket finds nearer ones, so a URL with a large share of all records is split by time.
 Headers and payloads are joined by id afterwards.
 
-Defined cases: a null or empty URL matches nothing; null payload is empty; records of
-equal dates are ordered by id; a record repeated with the same id counts once as a
-source; a damaged record raises ValueError; an empty table gives an empty result.
+Defined cases: a null or empty URL matches nothing; a record without a date or an id is
+no source and a revisit without them is an orphan; null payload is empty; a header
+without a value is left out, line breaks in a URL are dropped and those in a header's
+value are spaces; records of equal dates are ordered by id; of records that repeat an id
+one is its source, chosen by a hash of the content, and every revisit row is resolved
+once; blocks other than HTTP (such as warcinfo) have no status and no headers; a damaged
+record raises ValueError; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +42,7 @@ RECORD = "id long, url string, ts long, kind string, status int, headers map<str
 
 def canonical_url(url: Column) -> Column:
     """Host and path without scheme, user, default port, ``www.``, fragment, tracking parameters and trailing slash; host in lower case."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    bare = F.regexp_replace(F.regexp_replace(F.trim(F.translate(url, "\r\n", "")), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r"^.*@|:(80|443)$", ""), r"^www\.", "")
     rest = F.regexp_replace(bare, r"^[^/?]*", "")
     rest = F.regexp_replace(F.regexp_replace(rest, r"([?&])(utm_[a-z]+|ref)=[^&]*", "$1"), r"[?&]+$|/+$", "")
@@ -54,12 +61,34 @@ def to_warc(rows: DataFrame) -> DataFrame:
 
 
 def serialise(r: dict) -> bytes:
-    fields = dict(r["headers"] or ())
-    http = f"HTTP/1.1 {r['status']} \r\n" + "".join(f"{k}: {v}\r\n" for k, v in sorted(fields.items())) + "\r\n"
+    fields = {k: re.sub(r"[\r\n]+", " ", v) for k, v in dict(r["headers"] or ()).items() if v is not None}
+    http = f"HTTP/1.1 {'' if r['status'] is None else r['status']} \r\n" + "".join(f"{k}: {v}\r\n" for k, v in sorted(fields.items())) + "\r\n"
     block = http.encode() + (r["payload"] or b"")
-    head = [f"WARC-Type: {r['kind']}", f"WARC-Record-ID: <urn:record:{r['id']}>", f"WARC-Date: {r['ts']}"]
-    head += [f"WARC-Target-URI: {r['url']}"] * (r["url"] is not None) + [f"WARC-Profile: {PROFILE}"] * (r["kind"] == "revisit")
-    return ("WARC/1.1\r\n" + "\r\n".join(head) + f"\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    url = None if r["url"] is None else re.sub(r"[\r\n]", "", r["url"])
+    head = {"WARC-Type": r["kind"], "WARC-Record-ID": None if r["id"] is None else f"<urn:record:{r['id']}>", "WARC-Date": r["ts"], "WARC-Target-URI": url}
+    head |= {"WARC-Profile": PROFILE if r["kind"] == "revisit" else None, "Content-Length": len(block)}
+    lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
+    return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {k.lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _number_of(record_id: str | None) -> int | None:
+    """The number in a record id; of another id (such as a UUID), 62 bits of a hash."""
+    if record_id is None:
+        return None
+    last = record_id.rpartition(":")[2].rstrip(">")
+    number = int(last) if re.fullmatch(r"-?[0-9]{1,19}", last) else 1 << 63
+    return number if -(1 << 63) <= number < 1 << 63 else int.from_bytes(hashlib.blake2b(record_id.encode(), digest_size=8).digest(), "big") >> 2
+
+
+def _seconds_of(date: str | None) -> int | None:
+    """A date as a number, or the epoch seconds of an ISO date."""
+    if date is None:
+        return None
+    return int(date) if re.fullmatch(r"-?[0-9]+", date) else int(datetime.fromisoformat(date).timestamp())
 
 
 def parse(data: bytes) -> list[dict]:
@@ -68,18 +97,22 @@ def parse(data: bytes) -> list[dict]:
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         lines = data[at:end].decode().split("\r\n") if end > 0 else [""]
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        head = _fields(lines[1:])
         if not lines[0].startswith("WARC/1.") or not head.get("content-length", "").isdigit():
             raise ValueError("not a WARC record")
         start, size = end + 4, int(head["content-length"])
         block = data[start : start + size]
         if len(block) < size or data[start + size : start + size + 4] != b"\r\n\r\n":
             raise ValueError("damaged WARC record")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        status, *fields = http.decode().split("\r\n")
+        status, fields, payload = None, {}, block
+        if block.startswith(b"HTTP/"):
+            http, _, payload = block.partition(b"\r\n\r\n")
+            first, *rest = http.decode().split("\r\n")
+            code = first.split(" ")[1:2]
+            status, fields = int(code[0]) if code and code[0] else None, _fields(rest)
         out.append({
-            "id": int(head["warc-record-id"].rpartition(":")[2].rstrip(">")), "url": head.get("warc-target-uri"), "ts": int(head["warc-date"]), "kind": head["warc-type"],
-            "status": int(status.split(" ")[1]), "headers": {k.lower(): v for k, _, v in (x.partition(": ") for x in fields)}, "payload": payload,
+            "id": _number_of(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "ts": _seconds_of(head.get("warc-date")), "kind": head.get("warc-type"),
+            "status": status, "headers": fields, "payload": payload,
         })
         at = start + size + 4
     return out
@@ -100,17 +133,17 @@ def from_warc(files: DataFrame, column: str = "record") -> DataFrame:
 
 
 def latest_before(rows: DataFrame, bucket: int) -> DataFrame:
-    """(id, source_id) of every revisit: the latest earlier full response of its URL, or null."""
+    """(id, ts, place, source_id) of every revisit with a date and a place: the latest earlier full response there, or null."""
     own = F.struct("ts", "id")
     full = (F.col("kind") == "response") & F.col("status").between(200, 299)
     r = rows.select("id", "ts", "kind", canonical_url(F.col("url")).alias("place"), F.when(full, own).alias("full"), F.floor(F.col("ts") / bucket).alias("bucket"))
-    r = r.where("place is not null and (full is not null or kind = 'revisit')")
+    r = r.where("place is not null and ts is not null and id is not null and (full is not null or kind = 'revisit')")
     in_order = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = r.groupBy("place", "bucket").agg(F.max("full").alias("last"), F.max(F.col("kind") == "revisit").alias("asked"))
     carried = carried.select("place", "bucket", "asked", F.max("last").over(in_order).alias("carried")).where("asked").drop("asked")
     inside = Window.partitionBy("place", "bucket").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     near = r.withColumn("near", F.max("full").over(inside)).where("kind = 'revisit'")
-    return near.join(carried, ["place", "bucket"]).select("id", F.coalesce("near.id", "carried.id").alias("source_id"))
+    return near.join(carried, ["place", "bucket"]).select("id", "ts", "place", F.coalesce("near.id", "carried.id").alias("source_id"))
 
 
 def resolve(rows: DataFrame, bucket: int = 3600) -> DataFrame:
@@ -119,10 +152,12 @@ def resolve(rows: DataFrame, bucket: int = 3600) -> DataFrame:
     outcome: ``full`` (not a revisit), ``resolved``, ``mismatch`` (validators differ; the
     record stays as it is) or ``orphan`` (no earlier full response).
     """
-    revisit = rows.where("kind = 'revisit'")
-    source = rows.where("kind = 'response'").select(F.col("id").alias("source_id"), F.col("status").alias("s_status"), F.col("headers").alias("s_headers"), F.col("payload").alias("s_payload")).dropDuplicates(["source_id"])
+    revisit = rows.where("kind = 'revisit'").withColumn("place", canonical_url(F.col("url")))
+    content = F.struct(F.col("status").alias("s_status"), F.col("headers").alias("s_headers"), F.col("payload").alias("s_payload"))
+    of_id = F.min_by(content, F.xxhash64("status", header_lines(F.col("headers")), "payload")).alias("s")
+    source = rows.where("kind = 'response' and id is not null").groupBy(F.col("id").alias("source_id")).agg(of_id).select("source_id", "s.*")
     found = latest_before(rows, bucket).where("source_id is not null").distinct()
-    joined = revisit.join(found, "id", "left").join(source, "source_id", "left")
+    joined = revisit.join(found, ["id", "ts", "place"], "left").join(source, "source_id", "left")
     tag = lambda c: F.regexp_replace(F.try_element_at(c, F.lit("etag")), "^W/", "")
     day = lambda c: F.try_element_at(c, F.lit("last-modified"))
     h, s = F.col("headers"), F.col("s_headers")

@@ -52,6 +52,39 @@ def test_round_trip_through_bytes(spark):
         warc.parse(one[:-5])
 
 
+def test_records_with_nulls_and_line_breaks(spark):
+    rows = [
+        rec(None, "http://h/p", 1), rec(2, "http://h/p", None), rec(3, "http://h/p", 3, None), rec(4, "http://h/p", 4, status=None), rec(5, "http://h/p", 5, headers=None),
+        rec(6, "http://h/\r\np", 6, headers={"a": "b\r\n\r\nc", "d": None}, payload=b"six"), rec(7, "http://h/p", 7, "revisit", 304), rec(8, "http://h/p", None, "revisit", 304),
+        rec(None, "http://h/p", 9, "revisit", 304), (10, None, None, None, None, None, None), (-(1 << 63), "", 10, "response", 200, None, None), ((1 << 63) - 1, "", 10, "response", 200, None, None),
+    ]
+    back = warc.from_warc(warc.to_warc(frame(spark, rows, warc.RECORD)))
+    assert sorted(str((r.id, r.ts, r.kind, r.status)) for r in back.collect()) == sorted(str((r[0], r[2], r[3], r[4])) for r in rows)
+    assert {r.id: r.headers for r in back.collect()}[6] == {"a": "b c"}
+    for table in (back, frame(spark, rows, warc.RECORD)):
+        got = [(r.id, r.ts, r.outcome, r.source_id) for r in warc.resolve(table).collect() if r.kind == "revisit"]
+        assert sorted(got, key=str) == [(7, 7, "resolved", 6), (8, None, "orphan", None), (None, 9, "orphan", None)]
+
+
+def test_repeated_ids_are_resolved_once_each(spark):
+    rows = [rec(1, "http://h/p", 1, payload=b"a"), rec(1, "http://h/p", 1, payload=b"b"), rec(1, "http://h/p", 1, payload=b"a")]
+    rows += [rec(2, "http://h/p", 2, "revisit", 304), rec(2, "http://h/p", 2, "revisit", 304), rec(2, "http://h/p", 0, "revisit", 304), rec(2, "http://h/q", 2, "revisit", 304)]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.url, r.ts, r.outcome, bytes(r.payload)) for r in warc.resolve(frame(spark, order, warc.RECORD).repartition(3)).collect() if r.kind == "revisit")
+        payload = got[1][3]
+        assert payload in (b"a", b"b")
+        assert got == [("http://h/p", 0, "orphan", b""), ("http://h/p", 2, "resolved", payload), ("http://h/p", 2, "resolved", payload), ("http://h/q", 2, "orphan", b"")]
+
+
+def test_records_of_other_writers():
+    http = b"HTTP/1.1 304 Not Modified\r\nETag:\t\"1\" \r\n\r\n"
+    one = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:0e5c6e7a-0000-4000-8000-000000000001>\r\nWARC-Date: 1970-01-01T00:01:40Z\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
+    two = b"WARC/1.1\r\nWARC-Type:revisit\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    a, b = warc.parse(one + two)
+    assert (a["ts"], a["status"], a["headers"], a["payload"]) == (100, None, {}, b"a:b") and a["id"] > 0
+    assert (b["id"], b["ts"], b["kind"], b["status"], b["headers"], b["payload"]) == (None, None, "revisit", 304, {"etag": '"1"'}, b"")
+
+
 def test_canonical_url(spark):
     cases = {
         "HTTP://www.Ex.com:80/A/?utm_source=f&b=1#x": "ex.com/A/?b=1", "https://ex.com/A/": "ex.com/A", "http://u@ex.com/p?page=2&ref=x": "ex.com/p?page=2",

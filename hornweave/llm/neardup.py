@@ -137,10 +137,13 @@ def _group_nodes(sigs: DataFrame) -> DataFrame:
 
 
 def _candidates(groups: DataFrame) -> DataFrame:
-    """(key, node, hub, size) of every node in a bucket of two nodes or more."""
-    keys = groups.select("node", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    return keys.join(shared, "key")
+    """(key, node, hub, size) of every node in a bucket of two nodes or more; ``size`` counts a node of several sets for each.
+
+    Only rows of such buckets, a small share of all, are freed of repetitions.
+    """
+    keys = groups.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub <> last").drop("last")
+    return keys.join(shared, "key").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:

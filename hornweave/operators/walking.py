@@ -84,6 +84,8 @@ class Dice:
     greedy: bool = False
     seed: int = 0
     scores: dict = field(default_factory=dict)
+    #: (time, scores then) of every record().
+    trace: list = field(default_factory=list)
     _asked: int = 0
 
     def __post_init__(self) -> None:
@@ -93,6 +95,9 @@ class Dice:
         total, n = self.scores.get(kind, (0.0, 0))
         self.scores[kind] = total + gain, n + 1
 
+    def record(self, at: float) -> None:
+        self.trace.append((at, dict(self.scores)))
+
     def mean(self, kind: str) -> float:
         total, n = self.scores.get(kind, (0.0, 0))
         return total / n if n else 1e-4

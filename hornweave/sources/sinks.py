@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +19,19 @@ def write_rules(rules: DataFrame, path: str) -> None:
     rule_lines(rules).repartition("head").sortWithinPartitions("head", F.desc("confidence"), "value").select("value").write.text(path)
 
 
+def _metrics(rules: DataFrame) -> DataFrame:
+    metric = F.struct(F.col("jaccard"), F.col("support"), F.col("head_size").alias("headSize"), F.col("body_size").alias("bodySize"), F.col("confidence"))
+    return rules.groupBy("head").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("body", metric)))).alias("metrics"))
+
+
 def rules_json(rules: DataFrame) -> DataFrame:
     """(head, value): one JSON object ``{body: metric}`` for each head."""
-    metric = F.struct(F.col("jaccard"), F.col("support"), F.col("head_size").alias("headSize"), F.col("body_size").alias("bodySize"), F.col("confidence"))
-    return rules.groupBy("head").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("body", metric))))).alias("value"))
+    return _metrics(rules).select("head", F.to_json("metrics").alias("value"))
 
 
 def write_json(rules: DataFrame, path: str) -> None:
-    lines = rules_json(rules).select(F.concat(F.lit("{"), F.to_json(F.struct("head")), F.lit("}")).alias("_"), "head", "value")
-    lines.select(F.concat(F.lit('{"'), F.replace("head", F.lit('"'), F.lit('\\"')), F.lit('": '), "value", F.lit("}")).alias("value")).write.text(path)
+    """One JSON object ``{head: {body: metric}}`` in a line for each head."""
+    _metrics(rules).select(F.to_json(F.create_map("head", "metrics")).alias("value")).write.text(path)
 
 
 def snapshot_lines(rules: DataFrame) -> DataFrame:
@@ -55,3 +61,37 @@ def write_triples(triples: DataFrame, path: str) -> None:
 def adjacency_json(edges: DataFrame) -> DataFrame:
     """(r, h, value): tails as a JSON list."""
     return edges.groupBy("r", "h").agg(F.to_json(F.array_sort(F.collect_set("t"))).alias("value"))
+
+
+def explanation_lines(explained: DataFrame) -> DataFrame:
+    """``h, t, groundings, nodes`` by tabs, from scoring.explanations()."""
+    return explained.select(F.concat_ws("\t", "h", "t", F.col("groundings").cast("string"), F.array_join("nodes", " ")).alias("value"))
+
+
+def write_table(table: DataFrame, path: str) -> None:
+    """A comparison or statistics table as CSV with a header."""
+    table.write.option("header", True).csv(path)
+
+
+def trace_lines(kinds: list[str], trace: list[tuple[float, dict]]) -> list[str]:
+    """A line for each record of walking.Dice: time, mean reward of every kind, then how often each was rewarded."""
+    lines = []
+    for at, scores in trace:
+        pairs = [scores.get(k, (0.0, 0)) for k in kinds]
+        lines.append("\t".join(map(str, [at, *[total / n if n else 0.0 for total, n in pairs], *[n for _, n in pairs]])))
+    return lines
+
+
+def heatmap_svg(cells: DataFrame, row: str, column: str, value: str, most: int = 200) -> str:
+    """A picture of a small table of (row, column, value), such as a matrix of rule types; larger ones are refused."""
+    found = cells.groupBy(row, column).agg(F.sum(value).cast("double").alias("v")).limit(most * most + 1).collect()
+    names = [sorted({str(r[i]) for r in found}) for i in (0, 1)]
+    if len(found) > most * most or max(map(len, names)) > most:
+        raise ValueError(f"more than {most} rows or columns")
+    high = max((abs(r.v or 0.0) for r in found), default=0.0) or 1.0
+    text = lambda x, y, t: f'<text x="{x}" y="{y}" font-size="10">{escape(t)}</text>'
+    parts = [text(4, 44 + 20 * i, n) for i, n in enumerate(names[0])] + [text(124 + 60 * j, 20, n) for j, n in enumerate(names[1])]
+    for r in found:
+        x, y = 120 + 60 * names[1].index(str(r[1])), 30 + 20 * names[0].index(str(r[0]))
+        parts.append(f'<rect x="{x}" y="{y}" width="60" height="20" fill="#2060c0" fill-opacity="{abs(r.v or 0.0) / high:.3f}"/>' + text(x + 4, y + 14, f"{r.v or 0.0:g}"))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{130 + 60 * len(names[1])}" height="{40 + 20 * len(names[0])}">{"".join(parts)}</svg>'

@@ -84,6 +84,31 @@ def test_other_sinks(spark, tmp_path):
     assert spark.read.option("sep", "\t").csv(str(tmp_path / "p")).count() == len(set(TRIPLES))
 
 
+def test_json_names_are_escaped(spark, tmp_path):
+    import json
+
+    r = spark.createDataFrame([('h"\\\\', "b\\n", 5, 10, 8, 0.5, 0.25)], "head string, body string, support int, body_size int, head_size int, confidence double, jaccard double")
+    sinks.write_json(r, str(tmp_path / "json"))
+    (line,) = [x.value for x in spark.read.text(str(tmp_path / "json")).collect()]
+    assert json.loads(line) == {'h"\\\\': {"b\\n": {"jaccard": 0.25, "support": 5, "headSize": 8, "bodySize": 10, "confidence": 0.5}}}
+
+
+def test_traces_tables_and_pictures(spark, tmp_path):
+    dice = walking.Dice(["a", "b"])
+    dice.add("a", 2.0)
+    dice.record(1)
+    dice.add("a", 4.0)
+    dice.record(2)
+    assert sinks.trace_lines(dice.kinds, dice.trace) == ["1\t2.0\t0.0\t1\t0", "2\t3.0\t0.0\t2\t0"]
+    table = spark.createDataFrame([("x<", "p", 1.0), ("x<", "q", 2.0), ("y", "p", None)], "a string, b string, n double")
+    sinks.write_table(table, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["a", "b", "n"]
+    picture = sinks.heatmap_svg(table, "a", "b", "n")
+    assert picture.count("<rect") == 3 and "x&lt;" in picture and 'fill-opacity="1.000"' in picture
+    explained = spark.createDataFrame([("h", "t", ["h", "m", "t"], 2)], "h string, t string, nodes array<string>, groundings long")
+    assert rows(sinks.explanation_lines(explained)) == [("h\tt\t2\th m t",)]
+
+
 def test_logs(spark):
     lines = spark.createDataFrame([("INFO MRR: 0.25, hits@1: 0.125 hits@10 = 0.5",), ("Total rules: 499,023",)], "value string")
     assert rows(rules.scrape_log(lines)) == [("MRR", 0.25), ("Total rules", 499023.0), ("hits@1", 0.125), ("hits@10", 0.5)]

@@ -242,8 +242,11 @@ def _block_links(blocks: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDupParams = NearDupParams()) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) for every row."""
+def _rooted(docs: DataFrame, doc_id: str, text: str, p: NearDupParams) -> DataFrame:
+    """(doc_id, text_key, n_shingles, root, component_id, kept) for every row.
+
+    ``root`` is the least node of the row's component, which a component without any id has too; null for an empty set.
+    """
     sigs = written(signatures(docs, doc_id, text, p), "neardup_signatures")
     groups = written(_group_nodes(sigs), "neardup_groups")
     members = written(_candidates(groups), "neardup_members")
@@ -255,15 +258,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = groups.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("root"))
     out = sigs.select("doc_id", "text_key", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("root") < NAMELESS, F.col("root"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_key", "n_shingles", "root", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDupParams = NearDupParams()) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row."""
+    return _rooted(docs, doc_id, text, p).drop("root")
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDupParams = NearDupParams()) -> DataFrame:
     """The rows of ``docs`` with one row left of each component; rows with empty sets all stay."""
-    found = near_duplicates(docs, doc_id, text, p)
-    stay = found.where("kept and n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.*")
+    found = _rooted(docs, doc_id, text, p)
+    stay = found.where("kept and n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.*")
     rows = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__key", F.xxhash64(text))
     s = stay.select(F.col("doc_id").alias("__id2"), F.col("text_key").alias("__key2"))
     one = rows.join(s, rows["__id"].eqNullSafe(s["__id2"]) & (rows["__key"] == s["__key2"]), "left_semi")

@@ -80,6 +80,16 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert {2000, 2001, 2002} <= set(got)
 
 
+def test_deduplicate_keeps_every_lone_text_without_id(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (None, texts[1] + " more"), (None, "ab"), (None, ""), (None, None), (7, texts[2]), (8, "another text of some words here")]
+    kept = [(r.doc_id, r.text) for r in neardup.deduplicate(frame(spark, rows, SCHEMA)).collect()]
+    near = {texts[1], texts[1] + " more"}
+    assert sum(t in near for _, t in kept) == 1
+    want = [(None, texts[0]), *[(None, t) for t in texts[3:]], (None, "ab"), (None, ""), (None, None), (7, texts[2]), (8, rows[-1][1])]
+    assert sorted([x for x in kept if x[1] not in near], key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(frame(spark, [], SCHEMA)).count() == 0
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.relations import INVERSE, inverse
+from ..functions.relations import INVERSE, SEPARATOR, inverse
+from ..storage import written
 from .graph import with_inverse
+from .paths import closing_supports, pair_counts
 
 METRICS = ("support", "body_size", "head_size")
 
@@ -69,6 +71,16 @@ def path_rules(heads: DataFrame, paths: DataFrame, min_support: int) -> DataFram
     return overlap_rules(head_rows, bodies, ["x", "y"], min_support)
 
 
+def two_step_rules(edges: DataFrame, min_support: int) -> DataFrame:
+    """Rules of every relation over every two-step path, steps in both directions; body sizes of paths that have a rule only."""
+    steps = with_inverse(edges)
+    found = written(closing_supports(edges, steps, min_support), "two_step_supports")
+    sizes = pair_counts(steps, found.select("r1", "r2").distinct()).withColumnRenamed("pairs", "body_size")
+    heads = edges.groupBy(F.col("r").alias("head")).agg(F.count("*").alias("head_size"))
+    rows = found.join(sizes, ["r1", "r2"]).join(F.broadcast(heads), "head")
+    return metric_columns(rows.select("head", F.concat_ws(SEPARATOR, "r1", "r2").alias("body"), "support", "body_size", "head_size"))
+
+
 def zero_rules(edges: DataFrame, min_support: int) -> DataFrame:
     """r(X,c) <- nothing, both directions: support is the number of X, body size that of the relation."""
     both = with_inverse(edges)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.relations import SEPARATOR
+from ..storage import written
 
 
 def estimate(edges: DataFrame) -> DataFrame:
@@ -46,6 +47,50 @@ def instance_stats(rows: DataFrame) -> DataFrame:
     return pairs.join(ends.groupBy("r1", "r2").agg(F.min("n").alias("entity_support")), ["r1", "r2"])
 
 
+def pair_counts(steps: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(r1, r2, pairs): distinct (h, t), h <> t, of every two-step path, or of the ``wanted`` (r1, r2).
+
+    Where r1 has one middle node for each h, or r2 one for each t, no pair has two groundings, so counts at the
+    middle node do and a hub's pairs are never listed; the others' groundings are.
+    """
+    kinds = steps.groupBy("r").agg(F.count("*").alias("n"), F.count_distinct("h").alias("heads"), F.count_distinct("t").alias("tails"))
+    found = estimate(steps) if wanted is None else estimate(steps).join(F.broadcast(wanted.select("r1", "r2")), ["r1", "r2"])
+    found = found.join(F.broadcast(kinds.select(F.col("r").alias("r1"), (F.col("n") == F.col("heads")).alias("one1"))), "r1")
+    found = found.join(F.broadcast(kinds.select(F.col("r").alias("r2"), (F.col("n") == F.col("tails")).alias("one2"))), "r2")
+    found = written(found.select("r1", "r2", "groundings", (F.col("one1") | F.col("one2")).alias("single")), "path_estimates")
+    back = steps.select(F.col("r").alias("r1"), "h", F.col("t").alias("m")).join(steps.select(F.col("r").alias("r2"), F.col("h").alias("m"), F.col("t").alias("h")), ["h", "m"])
+    closed = back.groupBy("r1", "r2").agg(F.count("*").alias("closed"))
+    counted = found.where("single").join(closed, ["r1", "r2"], "left").select("r1", "r2", (F.col("groundings") - F.coalesce("closed", F.lit(0))).alias("pairs"))
+    rows = groundings(steps, steps, found.where("not single").select("r1", "r2"))
+    listed = rows.select("r1", "r2", "h", "t").distinct().groupBy("r1", "r2").agg(F.count("*").alias("pairs"))
+    return counted.where("pairs > 0").unionByName(listed)
+
+
+def entity_supports(steps: DataFrame) -> DataFrame:
+    """(r1, r2, entity_support) of every two-step path, as in instance_stats(), from each node's least and greatest neighbours only."""
+    into = steps.groupBy(F.col("t").alias("m"), F.col("r").alias("r1")).agg(F.min("h").alias("h0"), F.max("h").alias("h1"))
+    out = steps.groupBy(F.col("h").alias("m"), F.col("r").alias("r2")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    first = steps.select(F.col("r").alias("r1"), F.col("h").alias("e"), F.col("t").alias("m")).join(out, "m").where("t0 <> e or t1 <> e")
+    last = steps.select(F.col("r").alias("r2"), F.col("h").alias("m"), F.col("t").alias("e")).join(into, "m").where("h0 <> e or h1 <> e")
+    middle = into.join(out, "m").where("h0 <> h1 or t0 <> t1 or h0 <> t0")
+    count = lambda rows, c, name: rows.select("r1", "r2", c).distinct().groupBy("r1", "r2").agg(F.count("*").alias(name))
+    n = count(first, "e", "n0").join(count(middle, "m", "n1"), ["r1", "r2"]).join(count(last, "e", "n2"), ["r1", "r2"])
+    return n.select("r1", "r2", F.least("n0", "n1", "n2").alias("entity_support"))
+
+
+def closing_supports(heads: DataFrame, steps: DataFrame, min_support: int) -> DataFrame:
+    """(head, r1, r2, support): head triples (h, t) that a two-step path joins. ``steps`` has both directions.
+
+    Each triple is looked at from its end with fewer steps, so a hub's steps aren't listed for each of its triples.
+    """
+    degree = steps.groupBy("h").agg(F.count("*").alias("n"))
+    asked = heads.select(F.col("r").alias("head"), "h", "t").join(degree.withColumnRenamed("n", "nh"), "h").join(degree.select(F.col("h").alias("t"), F.col("n").alias("nt")), "t")
+    a = steps.select(F.col("r").alias("r1"), "h", F.col("t").alias("m"))
+    b = steps.select(F.col("r").alias("r2"), F.col("h").alias("m"), "t")
+    rows = asked.where("nh <= nt").join(a, "h").join(b, ["m", "t"]).unionByName(asked.where("nh > nt").join(b, "t").join(a, ["h", "m"]))
+    return rows.select("head", "r1", "r2", "h", "t").distinct().groupBy("head", "r1", "r2").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+
+
 def compose(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (h, t), h <> t, of two pair tables joined at the middle."""
     rows = left.select("h", F.col("t").alias("m")).join(right.select(F.col("h").alias("m"), "t"), "m")

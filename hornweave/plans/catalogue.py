@@ -169,6 +169,12 @@ def path_l2_instance_stats(spark, d):
     return paths.instance_stats(paths.groundings(e, e))
 
 
+@query(cte(more=BOTH + ", " + STEPS.replace("edges", "dirs")) + "SELECT r1, r2, count(DISTINCT (h, t)) AS pairs, least(count(DISTINCT h), count(DISTINCT m), count(DISTINCT t)) AS entity_support FROM both2 GROUP BY r1, r2")
+def path_l2_instance_stats_all(spark, d):
+    steps = graph.with_inverse(edges(spark, d))
+    return paths.pair_counts(steps).join(paths.entity_supports(steps), ["r1", "r2"])
+
+
 @query(cte("placedBy", "custNation", "inRegion", more="""
   p AS (SELECT h, t FROM edges WHERE r = 'placedBy'), c AS (SELECT h, t FROM edges WHERE r = 'custNation'), i AS (SELECT h, t FROM edges WHERE r = 'inRegion'),
   pc AS (SELECT DISTINCT p.h, c.t FROM p JOIN c ON p.t = c.h WHERE p.h <> c.t), ci AS (SELECT DISTINCT c.h, i.t FROM c JOIN i ON c.t = i.h WHERE c.h <> i.t)""") + "SELECT pc.h, i.t FROM pc JOIN i ON pc.t = i.h WHERE pc.h <> i.t INTERSECT SELECT p.h, ci.t FROM p JOIN ci ON p.t = ci.h WHERE p.h <> ci.t")
@@ -226,6 +232,14 @@ def rules_b_l2(spark, d):
     return _l2_rules(spark, d)
 
 
+@query(cte(more=BOTH + """,
+  s AS (SELECT e.r AS head, a.r AS r1, b.r AS r2, count(DISTINCT (e.h, e.t)) AS support FROM edges e JOIN dirs a ON a.h = e.h JOIN dirs b ON b.h = a.t AND b.t = e.t GROUP BY ALL HAVING count(DISTINCT (e.h, e.t)) >= 10),
+  bs AS (SELECT a.r AS r1, b.r AS r2, count(DISTINCT (a.h, b.t)) AS body_size FROM dirs a JOIN dirs b ON a.t = b.h JOIN (SELECT DISTINCT r1, r2 FROM s) w ON w.r1 = a.r AND w.r2 = b.r WHERE a.h <> b.t GROUP BY ALL),
+  hs AS (SELECT r AS head, count(*) AS head_size FROM edges GROUP BY r), m AS (SELECT head, r1 || '·' || r2 AS body, support, body_size, head_size FROM s JOIN bs USING (r1, r2) JOIN hs USING (head))""") + f"SELECT head, body, {METRIC_SQL} FROM m")
+def rules_b_l2_all(spark, d):
+    return mining.two_step_rules(edges(spark, d), MIN_SUPPORT)
+
+
 @query(cte("placedBy", "custNation", "inRegion", "custRegion", more="""
   p AS (SELECT h, t FROM edges WHERE r = 'placedBy'), c AS (SELECT h, t FROM edges WHERE r = 'custNation'), i AS (SELECT h, t FROM edges WHERE r = 'inRegion'), g AS (SELECT h, t FROM edges WHERE r = 'custRegion'),
   body AS (SELECT DISTINCT p.h, i.t FROM p JOIN c ON p.t = c.h JOIN i ON c.t = i.h), head AS (SELECT DISTINCT p.h, g.t FROM p JOIN g ON p.t = g.h)""") + "SELECT (SELECT count(*) FROM body JOIN head USING (h, t)) AS support, (SELECT count(*) FROM body) AS body_size, (SELECT count(*) FROM head) AS head_size")

@@ -1,4 +1,5 @@
 import itertools
+import random
 from collections import Counter
 
 from hornweave.operators import graph, mining, paths, scoring
@@ -166,3 +167,27 @@ def test_applied_confidence(spark):
 def test_chao(spark):
     s = scoring.chao1(spark.createDataFrame([(x,) for x in "aabbcdef"], "v string"), "v").first()
     assert (s.d, s.f1, s.f2, s.estimate) == (6, 4, 2, 10.0)
+
+
+def test_two_step_rules_and_paths_of_all_relations_in_both_directions(spark):
+    rng = random.Random(2)
+    rows = {(f"o{i}", "status", f"z{i % 2}") for i in range(12)} | {(f"o{i}", "by", f"c{i % 5}") for i in range(12)} | {(f"c{i}", "seg", f"z{i % 2}") for i in range(5)}
+    rows |= {(f"o{rng.randrange(12)}", "part", f"p{rng.randrange(6)}") for _ in range(40)} | {(f"p{rng.randrange(6)}", "like", f"p{rng.randrange(6)}") for _ in range(12)}
+    rows = {x for x in rows if x[0] != x[2]}
+    steps = rows | {(t, "INVERSE_" + r, h) for h, r, t in rows}
+    ground = {(r1, r2, h, m, t) for h, r1, m in steps for m2, r2, t in steps if m == m2 and h != t}
+    pairs, want = {}, {}
+    for r1, r2, h, _, t in ground:
+        pairs.setdefault((r1, r2), set()).add((h, t))
+    heads = {r: {(h, t) for h, q, t in rows if q == r} for _, r, _ in rows}
+    for (r1, r2), body in pairs.items():
+        for r, head in heads.items():
+            if len(head & body) >= 2:
+                want[r, f"{r1}·{r2}"] = (len(head & body), len(body), len(head))
+    e = spark.createDataFrame(sorted(rows), "h string, r string, t string")
+    got = {(x.head, x.body): (x.support, x.body_size, x.head_size) for x in mining.two_step_rules(e, 2).collect()}
+    assert got == want and any("INVERSE_" in b for _, b in got)
+    both = graph.with_inverse(e)
+    assert {(x.r1, x.r2): x.pairs for x in paths.pair_counts(both).collect()} == {k: len(v) for k, v in pairs.items()}
+    support = {k: min(len({g[i] for g in ground if g[:2] == k}) for i in (2, 3, 4)) for k in pairs}
+    assert {(x.r1, x.r2): x.entity_support for x in paths.entity_supports(both).collect()} == support

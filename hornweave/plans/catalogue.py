@@ -307,17 +307,17 @@ def rules_conjunctive(spark, d):
 
 @query()
 def minhash_signature(spark, d):
-    return mining.minhash_signatures(_atoms(spark, d), 64).groupBy("atom").agg(F.count("*").alias("bins"), F.count_distinct("value").alias("distinct_values"))
+    return mining.minhash_signatures(_atoms(spark, d)).groupBy("atom").agg(F.count("*").alias("bins"), F.count_distinct("value").alias("distinct_values"))
 
 
 @query()
 def lsh_candidates(spark, d):
-    return mining.lsh_candidates(_atoms(spark, d), MIN_SUPPORT, 64)
+    return mining.lsh_candidates(_atoms(spark, d), MIN_SUPPORT)
 
 
 @query()
 def lsh_bucket_stats(spark, d):
-    return mining.bucket_stats(_atoms(spark, d), 64)
+    return mining.bucket_stats(_atoms(spark, d))
 
 
 @query(cte(*UNARY, more=ATOMS + ", m AS (SELECT a.atom AS head, b.atom AS body, count(*) AS support, a.size AS head_size, b.size AS body_size FROM heads a JOIN atoms b USING (x) WHERE a.atom <> b.atom GROUP BY ALL)") + "SELECT head, body, support / cast(head_size + body_size - support AS DOUBLE) AS jaccard FROM m WHERE support >= 10 AND support / cast(head_size + body_size - support AS DOUBLE) >= 0.2")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 from hornweave.operators import graph, mining, paths, scoring
+from hornweave.plans import catalogue
 from pyspark.sql import functions as F
 
 from .toy import TRIPLES, both, toy
@@ -191,3 +192,9 @@ def test_two_step_rules_and_paths_of_all_relations_in_both_directions(spark):
     assert {(x.r1, x.r2): x.pairs for x in paths.pair_counts(both).collect()} == {k: len(v) for k, v in pairs.items()}
     support = {k: min(len({g[i] for g in ground if g[:2] == k}) for i in (2, 3, 4)) for k in pairs}
     assert {(x.r1, x.r2): x.entity_support for x in paths.entity_supports(both).collect()} == support
+
+
+def test_minhash_queries_use_the_default_number_of_bins(spark):
+    d = "/root/testdata/sf0.001"
+    assert {r.bins for r in catalogue.minhash_signature(spark, d).select("bins").distinct().collect()} == {256}
+    assert max(r.buckets for r in catalogue.lsh_bucket_stats(spark, d).collect()) > 64

@@ -24,6 +24,23 @@ def drop_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.where("candidate = target").unionByName(kept)
 
 
+def zero_candidates(queries: DataFrame, key: str, zero: DataFrame, other: DataFrame, depth: int) -> DataFrame:
+    """(key, rule, candidate, applied) of those zero rules that can matter within the first ``depth`` positions of each query.
+
+    Every rule of ``zero`` (rule, candidate, applied) fires for every query. A candidate of ``other`` (key, candidate), which
+    further rules give or which is known, gets its own rule; of the rest only the best can be reached: as many as
+    ``depth`` and ``other`` have together, in the order of max_plus() and in that of noisy_or().
+    """
+    n = other.groupBy(key).agg(F.count("*").alias("n"))
+    places = queries.join(n, key, "left").select(key, F.explode(F.sequence(F.lit(1), F.coalesce(F.col("n"), F.lit(0)).cast("int") + depth)).alias("place"))
+    found = other.join(queries, key, "left_semi").join(zero, "candidate").select(key, "rule", "candidate", "applied")
+    score = F.round(-F.ln(1 - F.least("applied", F.lit(1 - 1e-12))), 9)
+    for order in (F.desc("applied"), F.desc(score)):
+        placed = zero.withColumn("place", F.row_number().over(Window.orderBy(order, "candidate")))  # a row for each constant of one relation
+        found = found.unionByName(places.join(placed, "place").select(key, "rule", "candidate", "applied"))
+    return found.distinct()
+
+
 def confidence_lists(fired: DataFrame) -> DataFrame:
     """The falling list of applied confidences of the rules that give each candidate."""
     return fired.groupBy(*QUERY, "candidate").agg(F.sort_array(F.collect_list("applied"), asc=False).alias("confs"), F.sort_array(F.collect_list("rule")).alias("rules"))

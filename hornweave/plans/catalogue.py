@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -425,11 +426,25 @@ RANK = """
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query, direction ORDER BY confs DESC, candidate) AS rank FROM lists)"""
 
 
-def _ranking(spark, d):
-    """(fired, known, test) of the held-out queries; scored on the rest."""
+#: Zero rules of the ranking queries; those named ``_all`` take every zero rule.
+BEST_ZEROS = 20
+
+
+def _held_out(spark, d):
     e = edges(spark, d, *CYCLE_RELATIONS)
     held = (F.col("r") == "orderSupp") & (F.substr("h", F.lit(2)).cast("long") % 10 == 0)
-    test, train = e.where(held).select("h", "t"), e.where(~held)
+    return e, e.where(held).select("h", "t"), e.where(~held)
+
+
+def _zero_rules(train, zeros):
+    zero = scoring.zero_score(train, "orderSupp")
+    zero = zero if zeros is None else zero.orderBy(F.desc("correct"), "c").limit(zeros)
+    return zero.select(F.concat(F.lit("zero "), "c").alias("rule"), F.col("c").alias("candidate"), scoring.applied_confidence(F.col("predicted"), F.col("correct"), F.lit("Z"), F.lit(0)).alias("applied"))
+
+
+def _ranking(spark, d, zeros=BEST_ZEROS):
+    """(fired, known, test) of the held-out queries; scored on the rest."""
+    e, test, train = _held_out(spark, d)
     one = scoring.cyclic_predictions(train, ("hasPart", "suppliedBy")).withColumn("rule", F.lit("path"))
     two = scoring.cyclic_predictions(graph.with_inverse(train.where("r = 'fulfils'")), ("INVERSE_fulfils",)).withColumn("rule", F.lit("inverse"))
     predictions = one.unionByName(two)
@@ -439,28 +454,31 @@ def _ranking(spark, d):
     query_id = F.concat("h", F.lit("|"), F.col("target"))
     asked = test.select("h", F.col("t").alias("target"), F.lit("tail").alias("direction"))
     fired = asked.join(predictions.withColumnRenamed("t", "candidate"), "h").join(F.broadcast(score), "rule")  # one row for each rule
-    zero = scoring.zero_score(train, "orderSupp").orderBy(F.desc("correct"), "c").limit(20)
-    zero = zero.select(F.concat(F.lit("zero "), "c").alias("rule"), F.col("c").alias("candidate"), scoring.applied_confidence(F.col("predicted"), F.col("correct"), F.lit("Z"), F.lit(0)).alias("applied"))
-    always = asked.crossJoin(F.broadcast(zero))  # twenty rules that fire for every query
+    zero = _zero_rules(train, zeros)
+    if zeros is None:
+        other = predictions.select("h", F.col("t").alias("candidate")).unionAll(e.where("r = 'orderSupp'").select("h", "t")).distinct()
+        always = asked.join(ranking.zero_candidates(asked.select("h").distinct(), "h", zero, other, 100), "h")
+    else:
+        always = asked.crossJoin(F.broadcast(zero))  # a few rules that fire for every query
     columns = [query_id.alias("query"), "direction", "candidate", "target", "rule", "applied"]
     known = asked.join(e.where("r = 'orderSupp'").select("h", F.col("t").alias("candidate")), "h").select(query_id.alias("query"), "direction", "candidate")
     return fired.select(*columns).unionByName(always.select(*columns)), known, asked.select(query_id.alias("query"), "direction", "target", "h")
 
 
-def _ranked(spark, d, k=100):
-    fired, known, asked = _ranking(spark, d)
+def _ranked(spark, d, k=100, zeros=BEST_ZEROS):
+    fired, known, asked = _ranking(spark, d, zeros)
     return ranking.max_plus(ranking.drop_known(fired, known), k), known, asked
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK) + "SELECT query, candidate, rank, confs[1] AS best, len(confs) AS rules FROM ranked WHERE rank <= 10")
-def rank_maxplus_topk(spark, d):
-    ranked, _, _ = _ranked(spark, d, 10)
+def rank_maxplus_topk(spark, d, zeros=BEST_ZEROS):
+    ranked, _, _ = _ranked(spark, d, 10, zeros)
     return ranked.select("query", "candidate", F.col("rank").cast("long").alias("rank"), F.col("confs")[0].alias("best"), F.size("confs").cast("long").alias("rules"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK + ", nor AS (SELECT query, candidate, round(list_sum(list_transform(confs, lambda c: -ln(1 - c))), 9) AS score FROM lists), rn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM nor)") + "SELECT query, candidate, score, rank FROM rn WHERE rank <= 10")
-def rank_noisyor_topk(spark, d):
-    fired, known, _ = _ranking(spark, d)
+def rank_noisyor_topk(spark, d, zeros=BEST_ZEROS):
+    fired, known, _ = _ranking(spark, d, zeros)
     return ranking.noisy_or(ranking.drop_known(fired, known), 10).select("query", "candidate", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -472,15 +490,15 @@ RAW = """, rl AS (SELECT query, direction, candidate, any_value(target) AS targe
   fr AS (SELECT query, rank AS raw_rank, cast(rank - above AS BIGINT) AS filtered_rank FROM ab WHERE candidate = target)"""
 
 
-def _filtered(spark, d):
-    fired, known, asked = _ranking(spark, d)
+def _filtered(spark, d, zeros=BEST_ZEROS):
+    fired, known, asked = _ranking(spark, d, zeros)
     ranked = ranking.max_plus(fired, 100).join(asked.select("query", "direction", "target"), ["query", "direction"])
     return ranking.filtered_rank(ranked, known), asked
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK + RAW) + "SELECT query, raw_rank, filtered_rank FROM fr")
-def rank_filtered(spark, d):
-    ranks, _ = _filtered(spark, d)
+def rank_filtered(spark, d, zeros=BEST_ZEROS):
+    ranks, _ = _filtered(spark, d, zeros)
     return ranks.select("query", "raw_rank", "filtered_rank")
 
 
@@ -490,22 +508,23 @@ def _eval_sql(by: str) -> str:
 
 
 @query(_eval_sql("direction"))
-def eval_hits_mrr(spark, d):
-    ranks, asked = _filtered(spark, d)
+def eval_hits_mrr(spark, d, zeros=BEST_ZEROS):
+    ranks, asked = _filtered(spark, d, zeros)
     return ranking.hits_and_mrr(asked.select("query", "direction"), ranks, ["direction"])
 
 
 @query(_eval_sql("grp"))
-def eval_by_group(spark, d):
-    ranks, asked = _filtered(spark, d)
+def eval_by_group(spark, d, zeros=BEST_ZEROS):
+    ranks, asked = _filtered(spark, d, zeros)
     groups = asked.select("query", "direction", (F.substr("target", F.lit(2)).cast("long") % 5).alias("grp"))
     return ranking.hits_and_mrr(groups, ranks, ["grp"])
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK + ", rl AS (SELECT rule, applied FROM z UNION ALL SELECT rule, correct / cast(predicted + 5 AS DOUBLE) FROM sc)") + "SELECT rule, row_number() OVER (ORDER BY applied DESC, rule) AS position FROM rl")
-def rule_order(spark, d):
-    fired, _, _ = _ranking(spark, d)
-    rules = fired.select("rule", "applied").distinct().withColumn("relation", F.lit("orderSupp")).withColumn("correct", F.lit(10)).withColumn("confidence", F.col("applied"))
+def rule_order(spark, d, zeros=BEST_ZEROS):
+    fired, _, _ = _ranking(spark, d, zeros)
+    fired = fired.select("rule", "applied").unionAll(_zero_rules(_held_out(spark, d)[2], zeros).select("rule", "applied"))
+    rules = fired.distinct().withColumn("relation", F.lit("orderSupp")).withColumn("correct", F.lit(10)).withColumn("confidence", F.col("applied"))
     return ranking.ordered_rules(rules).select("rule", F.col("position").cast("long").alias("position"))
 
 
@@ -514,41 +533,46 @@ LISTS = RANK + """, nr AS (SELECT query, candidate, round(list_sum(list_transfor
   a AS (SELECT query, candidate, confs[1] AS score, rank FROM ranked WHERE rank <= 10)"""
 
 
-def _two_lists(spark, d):
-    fired, known, _ = _ranking(spark, d)
+def _two_lists(spark, d, zeros=BEST_ZEROS):
+    fired, known, _ = _ranking(spark, d, zeros)
     open_ = ranking.drop_known(fired, known)
     mine = ranking.max_plus(open_, 10).select("query", "direction", "candidate", F.col("confs")[0].alias("score"), "rank")
     return mine, ranking.noisy_or(open_, 20)
 
 
 @query(cte(*CYCLE_RELATIONS, more=LISTS + ", m AS (SELECT a.query, a.candidate, row_number() OVER (PARTITION BY a.query ORDER BY b.rank NULLS LAST, a.rank) AS new_rank, count(*) OVER (PARTITION BY a.query) AS n FROM a LEFT JOIN b ON a.query = b.query AND a.candidate = b.candidate)") + "SELECT query, candidate, new_rank, round(1 - (new_rank - 1) * 0.5::DOUBLE / n, 9) AS score FROM m")
-def resultset_reorder(spark, d):
-    mine, other = _two_lists(spark, d)
+def resultset_reorder(spark, d, zeros=BEST_ZEROS):
+    mine, other = _two_lists(spark, d, zeros)
     return ranking.reorder(mine, other).select("query", "candidate", F.col("new_rank").cast("long").alias("new_rank"), F.round("score", 9).alias("score"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=LISTS + ", s AS (SELECT query, max(rank) AS n FROM b GROUP BY query), w AS (SELECT a.query, a.candidate, a.rank, round(0.7::DOUBLE * a.score * 3 / (a.rank + 2) + 0.3::DOUBLE / coalesce(b.rank, n + 1, 1), 9) AS new_score FROM a LEFT JOIN b ON a.query = b.query AND a.candidate = b.candidate LEFT JOIN s ON s.query = a.query)") + "SELECT query, candidate, round(new_score, 7) AS new_score FROM w")
-def resultset_reorder_weighted(spark, d):
-    mine, other = _two_lists(spark, d)
+def resultset_reorder_weighted(spark, d, zeros=BEST_ZEROS):
+    mine, other = _two_lists(spark, d, zeros)
     return ranking.reorder_weighted(mine, other, 2.0, 0.7).select("query", "candidate", F.round("new_score", 7).alias("new_score"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=LISTS + ", u AS (SELECT query, candidate, max(score) AS score FROM (SELECT query, candidate, score FROM a UNION ALL SELECT query, candidate, score * 0.5::DOUBLE FROM b) GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM u)") + "SELECT query, candidate, rank FROM x WHERE rank <= 10")
-def resultset_extend(spark, d):
-    mine, other = _two_lists(spark, d)
+def resultset_extend(spark, d, zeros=BEST_ZEROS):
+    mine, other = _two_lists(spark, d, zeros)
     return ranking.extend(mine, other, 10, 0.5).select("query", "candidate", F.col("rank").cast("long").alias("rank"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK) + "SELECT query, string_agg(candidate, chr(9) ORDER BY rank) AS tails FROM ranked WHERE rank <= 3 GROUP BY query")
-def predictions_file(spark, d):
+def predictions_file(spark, d, zeros=BEST_ZEROS):
     """Written as three-line records and parsed again."""
-    ranked, _, asked = _ranked(spark, d, 3)
+    ranked, _, asked = _ranked(spark, d, 3, zeros)
     rows = ranked.join(asked.select("query", "h", "target"), "query").select("h", F.lit("orderSupp").alias("r"), F.col("target").alias("t"), "direction", "candidate", F.col("confs")[0].alias("score"), "rank")
     back = results.parse_predictions(sinks.prediction_records(rows).select("value"))
     lists = back.groupBy(F.concat("h", F.lit("|"), "t").alias("query")).agg(F.sort_array(F.collect_list(F.struct("position", "candidate"))).alias("x"))
     return lists.select("query", F.array_join(F.transform("x", lambda e: e["candidate"]), "\t").alias("tails"))
 
 
+for _f in (rank_maxplus_topk, rank_noisyor_topk, rank_filtered, eval_hits_mrr, eval_by_group, rule_order, resultset_reorder, resultset_reorder_weighted, resultset_extend, predictions_file):
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, zeros=None)
+    ORACLE_SQL[f"{_f.__name__}_all"] = ORACLE_SQL[_f.__name__].replace(f" ORDER BY count(*) DESC, t LIMIT {BEST_ZEROS})", ")")
+
+
 # --- partitions ------------------------------------------------------------------
 
 MD5 = "md5(concat_ws('|', h, r, t, '2025'))"

@@ -128,3 +128,17 @@ def test_retention_equals_brute_force(spark, replicated):
     assert got == structures([tuple(r) for r in parts.collect()])
     o = partitioning.overall_retention(*tables).first()
     assert (o.total, o.kept) == (sum(x for x, _ in got), sum(x for _, x in got))
+
+
+def test_zero_candidates_give_the_same_first_places_as_every_rule_for_every_query(spark):
+    zero = spark.createDataFrame([(f"zero {i}", f"s{i:02}", (40 - i // 3) / 10_000) for i in range(40)], "rule string, candidate string, applied double")
+    other = spark.createDataFrame([("a", f"s{i:02}") for i in (0, 3, 31, 39)] + [("c", "s01")], "h string, candidate string")
+    queries = spark.createDataFrame([("a",), ("b",)], "h string")
+    fired = other.where("h = 'a'").select("h", F.lit("path").alias("rule"), "candidate", F.lit(0.5).alias("applied"))
+    few = ranking.zero_candidates(queries, "h", zero, other, 4)
+    assert few.count() == 4 + 8 + 2 and few.where("h = 'c'").count() == 0
+    assert few.where("h = 'a' and candidate in ('s31', 's39')").count() == 2
+    as_query = lambda df: df.unionByName(fired).select(F.col("h").alias("query"), F.lit("tail").alias("direction"), "rule", "candidate", "applied")
+    for rank in (ranking.max_plus, ranking.noisy_or):
+        got, want = (sorted(map(tuple, rank(as_query(z), 4).collect())) for z in (few, queries.crossJoin(zero)))
+        assert got == want and len(got) == 8

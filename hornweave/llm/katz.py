@@ -1,20 +1,32 @@
-"""Language-model scoring: a Katz back-off bigram model over the whole corpus.
-
-P(w | v) is the Good-Turing discounted relative frequency where the pair was seen, else
-alpha(v) P(w); P(w) is the discounted unigram, and all unseen words share what that
-leaves. alpha(v) is what v's seen successors leave, over what the lower order leaves
-them, so every context's distribution sums to one exactly.
-
-Texts become chunks of token arrays once. Counts live in tables partitioned by word and
-by pair. A chunk sends each of its distinct words and pairs once to their partitions,
-and the partitions answer with counts and back-off weights in the same order; so no
-table is broadcast or collected, a frequent word costs a row for each chunk, and the
-pairs of a very frequent context are dealt over several partitions. All payloads are
-packed numpy arrays; a document's score is then summed token by token inside its chunk.
+"""Language-model scoring: a Katz back-off model of any order (three by default) over the whole corpus.
+
+P(w | u v) is the Good-Turing discounted relative frequency where the sequence was seen,
+else alpha(u v) P(w | v), and so on down to the unigram, which is discounted too; all
+unseen words share what that leaves. alpha(x) is what x's seen successors leave, over
+what the lower order leaves them, so every context's distribution sums to one exactly.
+A text's first word has the context "begin", its second one "begin" and the first word:
+a history ends where the text begins.
+
+Texts become chunks of token arrays once. Counts live in tables partitioned by context,
+one level for each order. At a level a chunk sends each of its distinct sequences once to
+the partition of the context; the partition answers with counts, with what the context's
+successors add up to, and with a number by which the next level names the sequence. A
+sequence that only one chunk has is marked so: that chunk knows all its continuations
+and sends none of them. No table is broadcast or collected, a frequent sequence costs a
+row for each chunk, and the successors of a very frequent context are dealt over several
+partitions, whose sums its first partition adds up. All payloads are packed numpy arrays;
+a text's score is then summed token by token inside its chunk, from the highest order
+down.
+
+What a chunk sends is proportional to its distinct sequences. It goes in one message for
+each partition it has something for, so with a fixed size of chunks and partitions a very
+large input has many small messages, at most one for each sequence: raise ``chunk_bytes``
+and ``partition_tokens`` together with the executors' memory.
 
 Defined cases: null text is empty, its only token is the end; without training rows
 every token has probability one; rows that repeat are scored (and counted) each; a null
-document id is never trained on; an empty table gives an empty result.
+document id is never trained on; an empty table gives an empty result; other columns of
+the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -36,6 +49,8 @@ from .hashing import mix, word_hashes
 
 @dataclass(frozen=True)
 class KatzParams:
+    #: Length of the longest sequences counted.
+    order: int = 3
     #: Counts above this aren't discounted.
     k: int = 5
     chunk_bytes: int = 8 << 20
@@ -44,6 +59,10 @@ class KatzParams:
     #: A context seen more often is dealt over several partitions, one for about this many tokens.
     context_tokens: int = 500_000
 
+    def __post_init__(self) -> None:
+        if self.order < 2:
+            raise ValueError("the order must be two or more")
+
 
 #: Hashes that stand for the place before the first word, and for the end.
 BEGIN, END = np.uint64(0x0B5E5D1F3C6A9E01), np.uint64(0x0E4D7A2B8C1F6E03)
@@ -71,20 +90,47 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     return out
 
 
+def small(a: np.ndarray) -> np.ndarray:
+    """Integers in the narrowest type that holds them."""
+    low, high = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+    return a.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def coded(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and the place of each one's."""
+    distinct, place = np.unique(a, return_inverse=True)
+    return distinct, small(place)
+
+
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first from zero; np.cumsum() undoes it."""
+    return small(np.diff(a, prepend=a.dtype.type(0)))
+
+
 # --- discounts -------------------------------------------------------------------
 
 
 def discounts(counts_of_counts: list[int], k: int) -> np.ndarray:
-    """Good-Turing discounts d[0..k] (d[0] unused) from n_1 .. n_{k+1}; where they aren't proper, (r - 0.5) / r."""
+    """Good-Turing discounts d[0..k] (d[0] unused) from n_1 .. n_{k+1}.
+
+    One that isn't proper (between 0 and 1 and no less than the one before, as few large
+    counts or many copies of texts can make it) is (r - 0.5) / r, or the one before if larger.
+    """
     n = [0, *counts_of_counts]
-    d = np.ones(k + 1)
+    d = np.zeros(k + 1)
     common = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
     for r in range(1, k + 1):
         value = ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) if n[r] and common < 1 else 0.0
-        d[r] = value if 0 < value < 1 else (r - 0.5) / r
+        d[r] = value if max(0.0, d[r - 1]) < value < 1 else max((r - 0.5) / r, d[r - 1])
     return d
 
 
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What is left of the counts."""
+    k = len(d) - 1
+    return np.where(c > k, 1.0, d[np.minimum(c, k)]) * c
+
+
 class Unigrams:
     def __init__(self, total: int, types: int, counts_of_counts: list[int], k: int):
         self.total, self.types, self.k = total, types, k
@@ -95,14 +141,27 @@ class Unigrams:
 
     def p(self, c: np.ndarray) -> np.ndarray:
         """Probability of words counted c times; 0 stands for all unseen words together."""
-        seen = self.d[np.minimum(c, self.k)] * c if self.k else c
-        seen = np.where(c > self.k, c, seen)
-        return np.where(c > 0, self.scale * seen / max(self.total, 1), self.unseen)
+        return np.where(c > 0, self.scale * discounted(c, self.d) / max(self.total, 1), self.unseen)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
+def weights(total: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, factor) of contexts seen ``total`` times, whose seen successors have the discounted count ``mass`` and the lower-order probability ``lower``.
+
+    factor * mass / total + alpha * (1 - lower) is one. A context whose discounts leave
+    (almost) nothing keeps half a count for other words.
+    """
+    seen = total > 0
+    share = np.where(seen, mass / np.maximum(total, 1), 0.0)
+    left = np.maximum(1 - share, 0.5 / (total + 1))
+    rest = 1 - lower
+    alpha = np.where(seen, left / np.maximum(rest, 1e-300), 1.0)
+    factor = np.where(seen & (share > 0), (1 - left) / np.maximum(share, 1e-300), 1.0)
+    return alpha, factor
+
+
 # --- chunks ----------------------------------------------------------------------
 
 
@@ -118,7 +177,12 @@ def chunks_of(docs: DataFrame, p: KatzParams) -> DataFrame:
             t = pa.Table.from_batches(held)
             texts = t.column("text").to_pylist()
             offsets, words = word_hashes(texts)
-            distinct, tokens = np.unique(words, return_inverse=True)
+            distinct, tokens, n = np.unique(words, return_inverse=True, return_counts=True)
+            # frequent words first: their places are small numbers, which compress better
+            by_count = np.argsort(-n, kind="stable")
+            place = np.empty(len(n), np.int32)
+            place[by_count] = np.arange(len(n), dtype=np.int32)
+            distinct, tokens = distinct[by_count], place[tokens]
             row = {
                 "chunk": [number], "n_tokens": [len(words) + len(texts)], "doc_id": [t.column("doc_id").to_pylist()], "held_out": [t.column("held_out").to_pylist()],
                 "trains": [t.column("trains").to_pylist()], "arrays": [pack(np.diff(offsets).astype(np.int32), distinct, tokens.astype(np.int32))],
@@ -144,6 +208,31 @@ def chunks_of(docs: DataFrame, p: KatzParams) -> DataFrame:
     )
 
 
+@dataclass
+class Level:
+    """The distinct sequences of one length in a chunk."""
+
+    context: np.ndarray  # each one without its last word: a place in the level below
+    word: np.ndarray  # its last word: a place among the chunk's words
+    shorter: np.ndarray  # each one without its first word: a place in the level below
+    trained: np.ndarray  # how often the chunk's training texts have it
+    of_token: np.ndarray  # the sequence that ends in each token; -1 too near the text's begin
+
+
+@dataclass
+class Known:
+    """What the tables tell about the sequences of one level; arrays by place in the level."""
+
+    count: np.ndarray
+    #: Names in the tables; defined where a sequence isn't sole and was seen.
+    number: np.ndarray
+    #: Whether no other chunk has the sequence.
+    sole: np.ndarray
+    log_p: np.ndarray
+    #: factor / count of each sequence of the level below as a context.
+    scale: np.ndarray
+
+
 class Chunk:
     """Token arrays of a chunk. Its local words are the distinct ones, then BEGIN and END."""
 
@@ -164,32 +253,34 @@ class Chunk:
         dest = ((self.words >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
         return _grouped(np.argsort(dest, kind="stable"), dest)
 
-    def pairs(self) -> None:
-        """Distinct (context, word) pairs, and the pair of every token."""
+    def levels(self, order: int) -> list[Level]:
+        """Sequences of two words, three words and so on."""
         per_doc = self.n_words.astype(np.int64) + 1
         ends = np.cumsum(per_doc)
         total = int(ends[-1]) if len(ends) else 0
         n = len(self.words)
         self.starts = ends - per_doc
-        word, context = np.full(total, n - 1, dtype=np.int64), np.full(total, n - 2, dtype=np.int64)
+        word = np.full(total, n - 1, dtype=np.int64)
         inner = np.ones(total, dtype=bool)
         inner[ends - 1] = False
         word[inner] = self.tokens
-        inner[:] = True
-        inner[self.starts] = False
-        context[inner] = self.tokens
         self.word_of_token = word
-        key, self.pair_of_token = np.unique(context * n + word, return_inverse=True)
-        self.context, self.word = key // n, key % n
-        self.pair_counts = np.bincount(self.pair_of_token[np.repeat(self.trains, per_doc)], minlength=len(key))
-
-    def pair_order(self, parts: int, count: np.ndarray, p: KatzParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs in the order in which they are sent. A context's partition comes from its hash; a frequent one's also from the word's."""
-        spread = -(-count[self.context] // p.context_tokens)
-        slot = (mix(self.words)[self.word] % np.maximum(spread, 1).astype(np.uint64)).astype(np.int64)
-        home = ((self.words >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)[self.context]
-        dest = (home + slot) % parts
-        return _grouped(np.argsort(dest, kind="stable"), dest)
+        trained = np.repeat(self.trains, per_doc)
+        begins = np.zeros(total, dtype=bool)
+        begins[self.starts] = True
+        lower, out = word, []
+        for length in range(2, order + 1):
+            context = np.concatenate([[-1], lower[:-1]]) if total else lower
+            context[begins] = n - 1 - 1 if length == 2 else -1
+            at = np.flatnonzero(context >= 0)
+            key, place = np.unique(context[at] * n + word[at], return_inverse=True)
+            of_token = np.full(total, -1, dtype=np.int64)
+            of_token[at] = place
+            shorter = np.zeros(len(key), dtype=np.int64)
+            shorter[place] = lower[at]
+            out.append(Level(key // n, key % n, shorter, np.bincount(place[trained[at]], minlength=len(key)), of_token))
+            lower = of_token
+        return out
 
 
 def _grouped(order: np.ndarray, dest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,24 +290,40 @@ def _grouped(order: np.ndarray, dest: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _slices(begins: np.ndarray, n: int) -> Iterator[slice]:
-    for a, b in zip(begins.tolist(), [*begins.tolist()[1:], n], strict=True):
+    for a, b in zip(begins.tolist(), [*begins.tolist()[1:], n], strict=False):
         yield slice(a, b)
 
 
+def _runs(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+
+
+class Sending:
+    """Which sequences of a level a chunk sends where: those whose context others have too and training texts have."""
+
+    def __init__(self, level: Level, words: Known, below: Known, parts: int, p: KatzParams):
+        mine = np.flatnonzero((below.count[level.context] > 0) & ~below.sole[level.context])
+        context, word = level.context[mine], level.word[mine]
+        spread = -(-below.count[context] // p.context_tokens)
+        home = (mix(below.number.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)[context]
+        slot = (mix(words.number.astype(np.uint64))[word] % np.maximum(spread, 1).astype(np.uint64)).astype(np.int64)
+        dest = (home + slot) % parts
+        order = np.lexsort((words.number[word], below.number[context], dest))
+        self.rows, self.dests, self.begins = mine[order], *_grouped(np.arange(len(mine)), dest[order])[1:]
+        #: Contexts dealt over several partitions, in the order in which their own partitions are asked for the sums.
+        wide = np.unique(context[spread > 1])
+        at = (mix(below.number[wide].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        by_home = np.lexsort((below.number[wide], at))
+        self.wide, self.wide_dests, self.wide_begins = wide[by_home], *_grouped(np.arange(len(wide)), at[by_home])[1:]
+
+
 def _answers(rows: pa.Table, kind: str) -> list[list[np.ndarray]]:
     """Payloads of one kind that came back to a chunk, in the order of their partitions."""
     mine = [(d, x) for k, d, x in zip(rows.column("kind").to_pylist(), rows.column("dest").to_pylist(), rows.column("payload").to_pylist(), strict=True) if k == kind]
     return [unpack(x) for _, x in sorted(mine, key=lambda y: y[0])]
 
 
-def _aligned(order: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
-    """Answers, which follow the order of sending, at their own places."""
-    flat = np.concatenate(parts)
-    out = np.empty_like(flat)
-    out[order] = flat
-    return out
-
-
 MESSAGE = "kind string, chunk long, dest long, payload binary, stats array<long>"
 _MESSAGE = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("dest", pa.int64()), ("payload", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
@@ -229,6 +336,12 @@ def _counts_of_counts(c: np.ndarray, k: int) -> list[int]:
     return np.bincount(c[(c > 0) & (c <= k + 1)], minlength=k + 2)[1:].tolist()
 
 
+def _successor_sums(owner: np.ndarray, c: np.ndarray, contexts: int, k: int) -> list[np.ndarray]:
+    """For every context, how many successors have the count 1 .. k, and the sum of larger counts."""
+    sums = [np.bincount(owner[c == r], minlength=contexts).astype(np.int64) for r in range(1, k + 1)]
+    return [*sums, np.bincount(owner[c > k], weights=c[c > k], minlength=contexts).astype(np.int64)]
+
+
 # --- the exchanges ---------------------------------------------------------------
 
 
@@ -239,14 +352,14 @@ def _send_words(chunks: DataFrame, parts: int) -> DataFrame:
                 c = Chunk(r["trains"], r["arrays"])
                 order, dests, begins = c.word_order(parts)
                 words, counts = c.words[order], c.word_counts()[order]
-                rows = [("w", r["chunk"], d, pack(words[s], counts[s]), None) for d, s in zip(dests.tolist(), _slices(begins, len(order)), strict=True)]
+                rows = [("1", r["chunk"], d, pack(words[s], small(counts[s])), None) for d, s in zip(dests.tolist(), _slices(begins, len(order)), strict=True)]
                 yield from _messages(rows).to_batches()
 
     return chunks.select("chunk", "trains", "arrays").mapInArrow(run, MESSAGE)
 
 
 def _count_words(sent: DataFrame, parts: int, k: int) -> DataFrame:
-    """Answers (number, count) of every word sent, and the partition's part of the totals."""
+    """Answers (number, count, sole) of every word sent, and the partition's part of the totals."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
@@ -254,10 +367,11 @@ def _count_words(sent: DataFrame, parts: int, k: int) -> DataFrame:
         got = [unpack(x) for x in rows.column("payload").to_pylist()]
         words, place = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([g[1] for g in got]), minlength=len(words)).astype(np.int64)
+        sole = np.bincount(place, minlength=len(words)) == 1
         out, at = [], 0
         for chunk, g in zip(rows.column("chunk").to_pylist(), got, strict=True):
             mine = place[at : at + len(g[0])]
-            out.append(("w", chunk, dest, pack(mine * parts + dest, counts[mine]), None))
+            out.append(("1", chunk, dest, pack(steps(mine), small(counts[mine]), sole[mine].astype(np.int8)), None))
             at += len(mine)
         real = counts[words != BEGIN]
         out.append(("stats", None, dest, None, [int(real.sum()), int((real > 0).sum()), *_counts_of_counts(real, k)]))
@@ -271,145 +385,214 @@ def _totals(messages: DataFrame, n: int) -> list[int]:
     return [int(x or 0) for x in row]
 
 
-def _send_pairs(chunks: DataFrame, answers: DataFrame, parts: int, p: KatzParams) -> DataFrame:
+@dataclass
+class Model:
+    """What the driver knows: bounded by the order and k."""
+
+    unigrams: Unigrams
+    #: Discounts of each length from two on.
+    d: list[np.ndarray]
+
+
+def _known_words(c: Chunk, rows: pa.Table, parts: int, unigrams: Unigrams) -> Known:
+    order, dests, _ = c.word_order(parts)
+    got = _answers(rows, "1")
+    number, count, sole = np.empty(len(c.words), np.int64), np.empty(len(c.words), np.int64), np.empty(len(c.words), bool)
+    number[order] = np.concatenate([np.cumsum(g[0], dtype=np.int64) * parts + d for g, d in zip(got, dests.tolist(), strict=True)])
+    count[order], sole[order] = (np.concatenate([g[i] for g in got]) for i in (1, 2))
+    return Known(count, number, sole, np.log10(unigrams.p(count)), np.zeros(0))
+
+
+def _lower(count: np.ndarray, scale: np.ndarray | None, length: int, model: Model) -> np.ndarray:
+    """Probability of a seen sequence's last word without its first one, from that shorter sequence's count and its context's scale."""
+    return model.unigrams.p(count) if length == 2 else discounted(count, model.d[length - 3]) * scale
+
+
+def _shorter(levels: list[Level], length: int, below: Known) -> tuple[np.ndarray, np.ndarray | None]:
+    """What _lower() takes, for every sequence of a level."""
+    shorter = levels[length - 2].shorter
+    return below.count[shorter], None if length == 2 else below.scale[levels[length - 3].context[shorter]]
+
+
+def _known(levels: list[Level], length: int, words: Known, below: Known, rows: pa.Table, parts: int, model: Model, p: KatzParams) -> Known:
+    """A level from the answers, and from the chunk itself for contexts that no other one has."""
+    level = levels[length - 2]
+    d, k, n = model.d[length - 2], p.k, len(level.context)
+    send = Sending(level, words, below, parts, p)
+    count, number, sole = level.trained.astype(np.int64), np.full(n, -1, dtype=np.int64), np.ones(n, dtype=bool)
+    contexts = len(below.count)
+    own = below.sole[level.context] & (below.count[level.context] > 0)
+    seen = own & (count > 0)
+    sums = np.stack(_successor_sums(level.context[seen], count[seen], contexts, k))
+    lower = np.bincount(level.context[seen], weights=_lower(*_shorter(levels, length, below), length, model)[seen], minlength=contexts)
+    for dest, s, g in zip(send.dests.tolist(), _slices(send.begins, len(send.rows)), _answers(rows, str(length)), strict=True):
+        at = send.rows[s]
+        count[at] = g[0]
+        if length < p.order:
+            sole[at] = g[1]
+            number[at] = np.cumsum(g[2], dtype=np.int64) * parts + dest
+        v = level.context[at]
+        v = v[_runs(v)]
+        for i in range(k + 1):
+            sums[i][v] = g[3 + i]
+        lower[v[g[4 + k].astype(np.int64)]] = g[5 + k]
+    for s, g in zip(_slices(send.wide_begins, len(send.wide)), _answers(rows, f"{length}s"), strict=True):
+        for i in range(k + 1):
+            sums[i][send.wide[s]] = g[i]
+        lower[send.wide[s]] = g[k + 1]
+    total = below.count.astype(float)
+    mass = sum(d[r] * r * sums[r - 1] for r in range(1, k + 1)) + sums[k]
+    alpha, factor = weights(total, mass, lower)
+    scale = factor / np.maximum(total, 1)
+    with np.errstate(divide="ignore"):
+        high = np.log10(discounted(count, d) * scale[level.context])
+    log_p = np.where(count > 0, high, np.log10(alpha)[level.context] + below.log_p[level.shorter])
+    return Known(count, number, sole, log_p, scale)
+
+
+def _all_known(c: Chunk, levels: list[Level], rows: pa.Table, parts: int, model: Model, p: KatzParams) -> list[Known]:
+    """Words, then each level up to the last one whose discounts the model has."""
+    out = [_known_words(c, rows, parts, model.unigrams)]
+    for length in range(2, len(model.d) + 2):
+        out.append(_known(levels, length, out[0], out[-1], rows, parts, model, p))
+    return out
+
+
+def _send(chunks: DataFrame, answers: DataFrame, length: int, parts: int, model: Model, p: KatzParams) -> DataFrame:
+    """Sequences of one length on their way to their contexts' partitions, and the counts of those that needn't go."""
+
     def run(own: pa.Table, rows: pa.Table) -> pa.Table:
         if not own.num_rows:
             return _messages([])
         c = Chunk(own.column("trains")[0].as_py(), own.column("arrays")[0].as_py())
-        order, _, _ = c.word_order(parts)
-        got = _answers(rows, "w")
-        number, count = (_aligned(order, [g[i] for g in got]) for i in range(2))
-        c.pairs()
-        order, dests, begins = c.pair_order(parts, count, p)
-        context, word, seen = c.context[order], c.word[order], c.pair_counts[order]
+        chunk = own.column("chunk")[0].as_py()
+        levels = c.levels(length)
+        known = _all_known(c, levels, rows, parts, model, p)
+        level, words, below = levels[-1], known[0], known[-1]
+        send = Sending(level, words, below, parts, p)
+        low, scale = _shorter(levels, length, below)
         out = []
-        for d, s in zip(dests.tolist(), _slices(begins, len(order)), strict=True):
-            v = context[s]
-            first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            runs = np.diff(np.append(first, len(v))).astype(np.int32)
-            out.append(("p", own.column("chunk")[0].as_py(), d, pack(number[v[first]], runs, number[word[s]], count[word[s]], seen[s].astype(np.int32)), None))
+        for dest, s in zip(send.dests.tolist(), _slices(send.begins, len(send.rows)), strict=True):
+            at = send.rows[s]
+            v, w, trained = level.context[at], level.word[at], level.trained[at]
+            first = _runs(v)
+            # a sum of lower-order probabilities is of use only where the chunk has a sequence that may be unseen
+            asks = np.maximum.reduceat(trained == 0, first)
+            distinct, place = np.unique(words.number[w], return_inverse=True)
+            info = small(low[at])
+            if length == 2:  # the count of a word: once for each word
+                info = np.zeros(len(distinct), info.dtype)
+                info[place] = low[at]
+            payload = pack(
+                steps(below.number[v[first]]), small(np.diff(np.append(first, len(v)))), asks.astype(np.int8), steps(distinct), small(place),
+                small(trained), info, (below.count[v[first]] > p.context_tokens).astype(np.int8), *(coded(scale[at][first]) if length > 2 else ()),
+            )
+            out.append((str(length), chunk, dest, payload, None))
+        for dest, s in zip(send.wide_dests.tolist(), _slices(send.wide_begins, len(send.wide)), strict=True):
+            out.append((f"{length}q", chunk, dest, pack(steps(below.number[send.wide[s]])), None))
+        kept = below.sole[level.context] & (below.count[level.context] > 0)
+        out.append(("stats", None, 0, None, _counts_of_counts(level.trained[kept], p.k)))
         return _messages(out)
 
-    return chunks.select("chunk", "trains", "arrays").groupBy("chunk").cogroup(answers.where("kind = 'w'").groupBy("chunk")).applyInArrow(run, MESSAGE)
+    return chunks.select("chunk", "trains", "arrays").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, MESSAGE)
 
 
-def _count_pairs(sent: DataFrame, parts: int, unigrams: Unigrams) -> DataFrame:
-    """Answers the count of every pair sent; sends each context's counts of successors to the context's own partition."""
-    k = unigrams.k
+def _count(sent: DataFrame, length: int, parts: int, model: Model, p: KatzParams) -> DataFrame:
+    """Answers every sequence sent; sends the sums of contexts dealt over several partitions to the contexts' own partitions."""
+    k, last = p.k, length == p.order
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("chunk")
         dest = rows.column("dest")[0].as_py()
+        of = lambda kind: rows.filter(pc.equal(rows.column("kind"), kind))
+        out = [tuple(r.values()) for r in of(f"{length}q").to_pylist()]  # answered by _add_up()
+        stats = np.array([r for r in of("stats").column("stats").to_pylist()], dtype=np.int64).reshape(-1, k + 1).sum(axis=0)
+        rows = of(str(length)).sort_by("chunk")
+        if not rows.num_rows:
+            return _messages([*out, ("stats", None, dest, None, stats.tolist())])
         got = [unpack(x) for x in rows.column("payload").to_pylist()]
-        context, of_context = np.unique(np.concatenate([np.repeat(g[0], g[1]) for g in got]), return_inverse=True)
-        key, place = np.unique((of_context.astype(np.int64) << 40) | np.concatenate([g[2] for g in got]), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([g[4] for g in got]), minlength=len(key)).astype(np.int64)
-        out, at = [], 0
-        for chunk, g in zip(rows.column("chunk").to_pylist(), got, strict=True):
-            out.append(("p", chunk, dest, pack(counts[place[at : at + len(g[2])]].astype(np.int32)), None))
-            at += len(g[2])
-        word_count = np.zeros(len(key), dtype=np.int64)
-        word_count[place] = np.concatenate([g[3] for g in got])
+        heads = [np.cumsum(g[0], dtype=np.int64) for g in got]
+        numbers = [np.cumsum(g[3], dtype=np.int64)[g[4]] for g in got]
+        context, run_place = np.unique(np.concatenate(heads), return_inverse=True)
+        of_context = np.concatenate([np.repeat(x, g[1]) for x, g in zip(np.split(run_place, np.cumsum([len(h) for h in heads])[:-1]), got, strict=True)])
+        key, place = np.unique((of_context << 40) | np.concatenate(numbers), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([g[5] for g in got]), minlength=len(key)).astype(np.int64)
+        sole = np.bincount(place, minlength=len(key)) == 1
+        low, scale = np.zeros(len(key), dtype=np.int64), np.zeros(len(key))
+        low[place] = np.concatenate([g[6][g[4]] if length == 2 else g[6] for g in got])
+        if length > 2:
+            scale[place] = np.concatenate([np.repeat(g[8][g[9]], g[1]) for g in got])
+        info = _lower(low, scale, length, model)
         seen = counts > 0
-        owner, c = (key >> 40)[seen], counts[seen]
-        sums = [np.bincount(owner[c == r], minlength=len(context)).astype(np.int64) for r in range(1, k + 1)]
-        sums.append(np.bincount(owner[c > k], weights=c[c > k], minlength=len(context)).astype(np.int64))
-        lower = np.bincount(owner, weights=unigrams.p(word_count[seen]), minlength=len(context))
-        home = context % parts
+        owner = (key >> 40)[seen]
+        sums = _successor_sums(owner, counts[seen], len(context), k)
+        lower = np.bincount(owner, weights=info[seen], minlength=len(context))
+        at = run_at = 0
+        for chunk, g in zip(rows.column("chunk").to_pylist(), got, strict=True):
+            mine, v = place[at : at + len(g[4])], run_place[run_at : run_at + len(g[0])]
+            asks = np.flatnonzero(g[2])
+            more = (np.zeros(0, np.int8), np.zeros(0, np.int8)) if last else (sole[mine].astype(np.int8), steps(mine))
+            out.append((str(length), chunk, dest, pack(small(counts[mine]), *more, *[small(x[v]) for x in sums], small(asks), lower[v[asks]]), None))
+            at, run_at = at + len(mine), run_at + len(v)
+        wide = np.unique(run_place[np.concatenate([g[7] for g in got]).astype(bool)])
+        home = (mix(context[wide].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order, dests, begins = _grouped(np.argsort(home, kind="stable"), home)
         for d, s in zip(dests.tolist(), _slices(begins, len(order)), strict=True):
-            i = order[s]
-            out.append(("c", dest, d, pack(context[i], *[x[i] for x in sums], lower[i]), None))
-        out.append(("stats", None, dest, None, _counts_of_counts(counts, k)))
+            i = wide[order[s]]
+            out.append((f"{length}c", dest, d, pack(context[i], *[x[i] for x in sums], lower[i]), None))
+        out.append(("stats", None, dest, None, (stats + _counts_of_counts(counts, k)).tolist()))
         return _messages(out)
 
     return sent.groupBy("dest").applyInArrow(run, MESSAGE)
 
 
-def _weigh_contexts(word_answers: DataFrame, pair_answers: DataFrame, parts: int, d: np.ndarray) -> DataFrame:
-    """Answers log10 of the back-off weight, and the factor of seen pairs, of every word sent as a context."""
-    k = len(d) - 1
+def _add_up(counted: DataFrame, length: int, k: int) -> DataFrame:
+    """Answers the whole sums of contexts dealt over several partitions."""
 
     def run(asked: pa.Table, told: pa.Table) -> pa.Table:
-        asked, told = asked.sort_by("chunk"), told.sort_by("chunk")
-        got = [unpack(x) for x in asked.column("payload").to_pylist()]
-        if not got:
+        if not asked.num_rows:
             return _messages([])
-        dest = asked.column("dest")[0].as_py()
-        number = np.concatenate([g[0] for g in got]) // parts
-        total = np.zeros(int(number.max()) + 1)
-        total[number] = np.concatenate([g[1] for g in got])
-        mass, lower = np.zeros(len(total)), np.zeros(len(total))
-        for x in map(unpack, told.column("payload").to_pylist()):
-            at = x[0] // parts
-            mass[at] += sum(d[r] * r * x[r] for r in range(1, k + 1)) + x[k + 1]
-            lower[at] += x[k + 2]
-        alpha, factor = weights(total, mass, lower)
-        log_alpha = np.log10(alpha)
-        out, at = [], 0
-        for chunk, g in zip(asked.column("chunk").to_pylist(), got, strict=True):
-            mine = number[at : at + len(g[0])]
-            out.append(("a", chunk, dest, pack(log_alpha[mine], factor[mine]), None))
-            at += len(mine)
+        parts = [unpack(x) for x in told.sort_by("chunk").column("payload").to_pylist()]
+        context, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        sums = [np.bincount(place, weights=np.concatenate([x[i] for x in parts]), minlength=len(context)) for i in range(1, k + 3)]
+        dest, out = asked.column("dest")[0].as_py(), []
+        for chunk, x in zip(asked.column("chunk").to_pylist(), asked.column("payload").to_pylist(), strict=True):
+            at = np.searchsorted(context, np.cumsum(unpack(x)[0], dtype=np.int64))
+            out.append((f"{length}s", chunk, dest, pack(*[s[at].astype(np.int64) for s in sums[:-1]], sums[-1][at]), None))
         return _messages(out)
 
-    asked, told = word_answers.where("kind = 'w'"), pair_answers.where("kind = 'c'")
+    # columns of their own: the two sides of a cogroup mustn't share attributes
+    of = lambda kind: counted.where(F.col("kind") == kind).select(*[F.col(c).alias(c) for c in ("chunk", "dest", "payload")])
+    asked, told = of(f"{length}q"), of(f"{length}c")
     return asked.groupBy("dest").cogroup(told.groupBy("dest")).applyInArrow(run, MESSAGE)
 
 
-def weights(total: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha, factor) of contexts seen ``total`` times, whose seen successors have the discounted count ``mass`` and the lower-order probability ``lower``.
-
-    factor * mass / total + alpha * (1 - lower) is one. A context whose discounts leave
-    (almost) nothing keeps half a count for other words.
-    """
-    seen = total > 0
-    share = np.where(seen, mass / np.maximum(total, 1), 0.0)
-    left = np.maximum(1 - share, 0.5 / (total + 1))
-    rest = 1 - lower
-    alpha = np.where(seen, left / np.maximum(rest, 1e-300), 1.0)
-    factor = np.where(seen & (share > 0), (1 - left) / np.maximum(share, 1e-300), 1.0)
-    return alpha, factor
-
-
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(chunks: DataFrame, answers: DataFrame, parts: int, unigrams: Unigrams, d: np.ndarray, p: KatzParams) -> DataFrame:
+def _score(chunks: DataFrame, answers: DataFrame, parts: int, model: Model, p: KatzParams) -> DataFrame:
     def run(own: pa.Table, rows: pa.Table) -> pa.Table:
         names = RESULT.replace(",", "").split()[::2]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not own.num_rows:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
         c = Chunk(own.column("trains")[0].as_py(), own.column("arrays")[0].as_py())
-        order, _, _ = c.word_order(parts)
-        words, contexts = _answers(rows, "w"), _answers(rows, "a")
-        count = _aligned(order, [g[1] for g in words])
-        log_alpha, factor = (_aligned(order, [g[i] for g in contexts]) for i in range(2))
-        c.pairs()
-        order, _, _ = c.pair_order(parts, count, p)
-        pair_count = _aligned(order, [g[0] for g in _answers(rows, "p")]).astype(np.int64)
-        log_p = katz(pair_count, count[c.context], log_alpha[c.context], factor[c.context], np.log10(unigrams.p(count))[c.word], d)
+        levels = c.levels(p.order)
+        known = _all_known(c, levels, rows, parts, model, p)
+        word, count = c.word_of_token, known[0].count
+        log_p = known[0].log_p[word]
+        for level, k in zip(levels, known[1:], strict=True):
+            log_p = np.where(level.of_token >= 0, k.log_p[level.of_token], log_p) if len(k.log_p) else log_p
         sums = lambda x: np.add.reduceat(x, c.starts)
-        word = c.word_of_token
         n_docs = len(c.n_words)
         columns = [
             own.column("doc_id")[0].as_py(), own.column("held_out")[0].as_py(), c.n_words.astype(np.int64) + 1, sums((count[word] > 0).astype(np.int64)),
-            np.full(n_docs, unigrams.total), sums(unigrams.base(count)[word]), sums(log_p[c.pair_of_token]),
+            np.full(n_docs, model.unigrams.total), sums(model.unigrams.base(count)[word]), sums(log_p),
         ]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, RESULT)
 
 
-def katz(pair_count: np.ndarray, context_count: np.ndarray, log_alpha: np.ndarray, factor: np.ndarray, log_lower: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """log10 P(word | context): the discounted frequency of a seen pair, else the weight times the lower order."""
-    k = len(d) - 1
-    kept = np.where(pair_count > k, 1.0, d[np.minimum(pair_count, k)])
-    high = np.log10(np.maximum(kept * pair_count * factor / np.maximum(context_count, 1), 1e-300))
-    return np.where(pair_count > 0, high, log_alpha + log_lower)
-
-
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", p: KatzParams = KatzParams()) -> DataFrame:
     """The RESULT columns of every row; rows with an id for which ``held_out`` doesn't hold train the model."""
     held = F.coalesce(held_out, F.lit(False))
@@ -419,9 +602,11 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     parts = int(-(-tokens // p.partition_tokens) or 1)
     words = written(_count_words(_send_words(chunks, parts), parts, p.k), "katz_words")
     total, types, *counts = _totals(words, p.k + 3)
-    unigrams = Unigrams(total, types, counts, p.k)
-    pairs = written(_count_pairs(_send_pairs(chunks, words, parts, p), parts, unigrams), "katz_pairs")
-    d = discounts(_totals(pairs, p.k + 1), p.k)
-    contexts = _weigh_contexts(words, pairs, parts, d)
-    answers = words.where("kind = 'w'").unionAll(pairs.where("kind = 'p'")).unionAll(contexts).select("chunk", "kind", "dest", "payload")
-    return _score(chunks, answers, parts, unigrams, d, p)
+    model = Model(Unigrams(total, types, counts, p.k), [])
+    for_chunk = ("kind", "chunk", "dest", "payload")
+    answers = words.where("kind = '1'").select(*for_chunk)
+    for length in range(2, p.order + 1):
+        counted = written(_count(_send(chunks, answers, length, parts, model, p), length, parts, model, p), f"katz_level_{length}")
+        model = Model(model.unigrams, [*model.d, discounts(_totals(counted, p.k + 1), p.k)])
+        answers = answers.unionAll(counted.where(F.col("kind") == str(length)).select(*for_chunk)).unionAll(_add_up(counted, length, p.k).select(*for_chunk))
+    return _score(chunks, answers, parts, model, p)

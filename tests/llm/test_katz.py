@@ -1,11 +1,12 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hornweave.llm import katz
 from hornweave.llm.common import remainder
+from pyspark.sql import functions as F
 
 from .helpers import documents, frame, rest
 
@@ -14,35 +15,70 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
+def good_turing(counts, k):
+    """Discount factors of the counts 1 .. k by Katz's formula, rising."""
+    n = Counter(counts)
+    cut = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+    out = {}
+    for r in range(1, k + 1):
+        if n[r] and cut < 1:
+            star = (r + 1) * n[r + 1] / n[r]
+            out[r] = (star / r - cut) / (1 - cut)
+        before = out.get(r - 1, 0)
+        if not before < out.get(r, 0) < 1:
+            out[r] = max((r - 0.5) / r, before)
+    return out
+
+
 class Brute:
-    def __init__(self, rows, k=5):
+    """The model from its definition, with dictionaries of tuples."""
+
+    def __init__(self, rows, order=3, k=5):
         train = [words(t) for i, t in rows if i is not None and rest(i, 5) != 1]
-        self.uni = Counter(w for d in train for w in [*d, "end"])
-        self.ctx = Counter(w for d in train for w in ["begin", *d])
-        self.bi = Counter(x for d in train for x in zip(["begin", *d], [*d, "end"], strict=True))
+        self.order, self.k = order, k
+        self.seen = [Counter() for _ in range(order + 1)]
+        for d in train:
+            line = ["begin", *d, "end"]
+            for m in range(1, order + 1):
+                self.seen[m].update(tuple(line[i - m + 1 : i + 1]) for i in range(max(1, m - 1), len(line)))
+        self.begins = len(train)
+        self.uni = Counter({x[0]: c for x, c in self.seen[1].items()})
         self.n = sum(self.uni.values())
-        self.k = k
-        coc = lambda c: [sum(1 for v in c.values() if v == r) for r in range(1, k + 2)]
-        self.d = katz.discounts(coc(self.bi), k)
-        self.lower = katz.Unigrams(self.n, len(self.uni), coc(self.uni), k)
-
-    def p1(self, w):
-        return float(self.lower.p(np.array([self.uni[w]]))[0])
-
-    def p(self, w, v):
-        if not self.ctx[v]:
-            return self.p1(w)
-        after = {x: c for (a, x), c in self.bi.items() if a == v}
-        disc = {x: (c if c > self.k else self.d[c] * c) for x, c in after.items()}
-        share = sum(disc.values()) / self.ctx[v]
-        left = max(1 - share, 0.5 / (self.ctx[v] + 1))
+        self.d = [good_turing(c.values(), k) for c in self.seen]
+        self.after = defaultdict(dict)
+        for m in range(2, order + 1):
+            for x, c in self.seen[m].items():
+                self.after[x[:-1]][x[-1]] = c
+        kept = sum(self.keep(1, c) for c in self.uni.values())
+        left = 1 - kept / self.n if self.n else 1.0
+        self.unseen = max(left, 0.5 / (self.n + 1)) if self.n else 1.0
+        self.scale = (1 - self.unseen) / (1 - left) if left < 1 else 0.0
+        self.weight = {}
+
+    def keep(self, m, c):
+        return c if c > self.k else self.d[m][c] * c
+
+    def count(self, context):
+        return self.begins if context == ("begin",) else self.seen[len(context)][context]
+
+    def p(self, w, context=()):
+        if not context:
+            return self.scale * self.keep(1, self.uni[w]) / self.n if self.uni[w] else self.unseen
+        n = self.count(context)
+        if not n:
+            return self.p(w, context[1:])
+        after, m = self.after[context], len(context) + 1
+        share = sum(self.keep(m, c) for c in after.values()) / n
+        left = max(1 - share, 0.5 / (n + 1))
         if w in after:
-            return disc[w] / self.ctx[v] * (1 - left) / share
-        return left / (1 - sum(self.p1(x) for x in after)) * self.p1(w)
+            return self.keep(m, after[w]) / n * (1 - left) / share
+        if context not in self.weight:
+            self.weight[context] = left / (1 - sum(self.p(x, context[1:]) for x in after))
+        return self.weight[context] * self.p(w, context[1:])
 
     def score(self, text):
-        d = words(text)
-        return sum(math.log10(self.p(w, v)) for v, w in zip(["begin", *d], [*d, "end"], strict=True))
+        line = ["begin", *words(text), "end"]
+        return sum(math.log10(self.p(line[i], tuple(line[max(0, i - self.order + 1) : i]))) for i in range(1, len(line)))
 
     def base(self, text):
         return sum(math.log10((self.uni[w] + 0.5) / (self.n + 0.5 * (len(self.uni) + 1))) for w in [*words(text), "end"])
@@ -54,20 +90,34 @@ def corpus():
     return rows + [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t, *_ in documents()]
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
 @pytest.mark.parametrize("small", [False, True])
-def test_matches_brute_force(spark, small):
+def test_matches_brute_force(spark, small, order):
     rows = corpus()
-    p = katz.KatzParams(chunk_bytes=2000, partition_tokens=300, context_tokens=50) if small else katz.KatzParams()
-    got = katz.score(frame(spark, rows, "doc_id long, text string"), remainder("doc_id", 5) == 1, p=p).collect()
-    b = Brute(rows)
+    p = katz.KatzParams(order, chunk_bytes=2000, partition_tokens=300, context_tokens=20) if small else katz.KatzParams(order)
+    docs = frame(spark, rows, "doc_id long, text string").repartition(3 if small else 1)
+    got = katz.score(docs.withColumn("held_out", F.lit("mine")).withColumn("trains", F.lit(1)), remainder("doc_id", 5) == 1, p=p).collect()
+    b = Brute(rows, order)
     want = [(str(i), rest(i, 5) == 1 if i is not None else False, len(words(t)) + 1, sum(b.uni[w] > 0 for w in [*words(t), "end"]), b.n, round(b.base(t), 6), round(b.score(t), 6)) for i, t in rows]
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
 
 
 def test_every_context_sums_to_one():
     b = Brute(corpus())
-    for v in [*list(b.ctx)[:40], "never seen"]:
-        assert abs(sum(b.p(w, v) for w in [*b.uni, "never seen"]) - 1) < 1e-9
+    contexts = [("begin",), ("never", "seen"), ("never seen",), *[x for m in (1, 2) for x in list(b.seen[m])[:60] if x[-1] != "end"]]
+    for context in contexts:
+        assert abs(sum(b.p(w, context) for w in [*b.uni, "never seen"]) - 1) < 1e-9
+
+
+def test_texts_that_occur_twice_score_higher(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(60))
+    rows = [(i, text()) for i in range(300)]
+    twice = [i for i in range(300) if rest(i, 5) != 1][:20]
+    rows += [(1000 + i, rows[i][1]) for i in twice if rest(1000 + i, 5) != 1]
+    got = {r.doc_id: r.score / r.n_tokens for r in katz.score(frame(spark, rows, "doc_id long, text string"), remainder("doc_id", 5) == 1).collect()}
+    once = [v for i, v in got.items() if i < 1000 and i not in twice and rest(i, 5) != 1]
+    assert min(got[i - 1000] for i in got if i >= 1000) > max(once)
 
 
 def test_weights_when_discounts_leave_nothing():

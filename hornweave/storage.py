@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Attribute of a DataFrame of written(): its folder.
+_PATH = "_written_to"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one is set here only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; one is set here only where that is unset and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints/hornweave"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def application_dir(spark: SparkSession) -> str:
+    """Where this application's tables go."""
+    return f"{shared_dir(spark)}/hornweave-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/{re.sub(r'[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{application_dir(spark)}/{re.sub(r'[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
+    writer = df.write.mode("error")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    setattr(found, _PATH, path)
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read any more; what was derived from them must have been written itself."""
+    for table in tables:
+        path = getattr(table, _PATH, None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps, which it does once their plans are garbage on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables this application has written; results that read them must have been saved before."""
+    _delete(spark, application_dir(spark))

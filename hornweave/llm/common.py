@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import shared_dir, written
+from ..storage import discard, release_shuffles, shared_dir, written
 
-__all__ = ["append_columns", "lower_ascii", "remainder", "shared_dir", "table", "text_chunks", "written"]
+__all__ = ["append_columns", "discard", "fresh_prefix", "lower_ascii", "release_shuffles", "remainder", "shared_dir", "table", "text_chunks", "written"]
 
 #: Bytes of text that a Python worker unpacks at once; a longer single text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -38,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_prefix(columns: list[str]) -> str:
+    """Underscores that no column's name starts with, for columns of an operator's own."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 @lru_cache(maxsize=1)
 def _trim() -> Callable[[int], int]:
     """The C library's malloc_trim(), where it has one."""

@@ -2,25 +2,28 @@
 
 The alphabet is words. A pattern is 13 consecutive words of a benchmark item, or a
 whole shorter item. Patterns of one length share a table: blocks of two words give
-the shift, a hash bucket of the pattern's last block gives the candidates, and a
-direct comparison of all words confirms an occurrence.
+the shift, a hash bucket of the pattern's last block (and its first one, the prefix)
+gives the candidates, and a direct comparison of all words confirms an occurrence.
 
 Defined cases: null text (or text without words) has no words, no hits, no items; an
-item without words gives no pattern; repeated rows get equal results; repeated items
-count once by id; an empty benchmark hits nothing.
+item without words gives no pattern; an item without an id gives hits like any other,
+but no id to the list of items; repeated rows get equal results; repeated items count
+once by id; an empty benchmark hits nothing; columns of the input that are named as the
+added ones (in any case) are replaced, unless a ``prefix`` keeps them apart.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, written
+from .common import append_columns, fresh_prefix, text_chunks, written
 
 WINDOW = 13
 BLOCK = 2
@@ -42,16 +45,26 @@ class PatternTable:
 
     length: int
     shift: dict = field(default_factory=dict)  # block -> safe shift; a block in no pattern shifts the most
-    buckets: dict = field(default_factory=lambda: defaultdict(list))  # hash of the last block -> patterns
+    buckets: dict = field(default_factory=dict)  # hash of the last and the first block -> patterns
 
-    def add(self, pattern: tuple[bytes, ...], items: list) -> None:
-        size = min(BLOCK, self.length)
-        for end in range(size, self.length + 1):
-            block = pattern[end - size : end]
-            self.shift[block] = min(self.shift.get(block, self.length), self.length - end)
-        self.buckets[hash(pattern[-size:])].append((pattern, items))
-
-    def search(self, words: list[bytes]) -> list[tuple[int, list]]:
+    def add(self, words: list[bytes], at: int, ids: tuple[str, ...]) -> None:
+        """The pattern words[at : at + length]; one that is there already gets the ids too."""
+        size, end_of = min(BLOCK, self.length), at + self.length
+        for end in range(at + size, end_of + 1):
+            block = tuple(words[end - size : end])
+            step = end_of - end
+            if self.shift.get(block, self.length) > step:
+                self.shift[block] = step
+        bucket = self.buckets.setdefault(hash((*words[end_of - size : end_of], *words[at : at + size])), [])
+        pattern = words[at:end_of]
+        for k, (other, start, known) in enumerate(bucket):
+            if other[start : start + self.length] == pattern:
+                if not set(ids) <= set(known):
+                    bucket[k] = (other, start, tuple(sorted({*known, *ids})))
+                return
+        bucket.append((words, at, ids))
+
+    def search(self, words: list[bytes]) -> list[tuple[int, tuple[str, ...]]]:
         """(start, items) of every occurrence."""
         m, size, n = self.length, min(BLOCK, self.length), len(words)
         shift, buckets, most = self.shift.get, self.buckets, self.length - min(BLOCK, self.length) + 1
@@ -63,9 +76,9 @@ class PatternTable:
                 end += step
                 continue
             start = end - m
-            window = tuple(words[start:end])
-            for pattern, items in buckets.get(hash(block), ()):
-                if pattern == window:
+            window = words[start:end]
+            for other, at, items in buckets.get(hash((*block, *window[:size])), ()):
+                if other[at : at + m] == window:
                     found.append((start, items))
             end += 1
         return found
@@ -73,14 +86,15 @@ class PatternTable:
 
 class Matcher:
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        patterns: dict[tuple, set] = defaultdict(set)
-        for item_id, text in items:
-            words = tuple(words_of(text))
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                patterns[words[i : i + window]].add(str(item_id))
+        """items: (id or None, text); a word's bytes are held once, a pattern is a place in its item's words."""
         tables: dict[int, PatternTable] = {}
-        for pattern, ids in patterns.items():
-            tables.setdefault(len(pattern), PatternTable(len(pattern))).add(pattern, sorted(ids))
+        one: dict[bytes, bytes] = {}
+        for item_id, text in items:
+            words = [one.setdefault(w, w) for w in words_of(text)]
+            length = min(len(words), window)
+            table = tables.setdefault(length, PatternTable(length)) if words else None
+            for i in range(len(words) - length + 1 if words else 0):
+                table.add(words, i, () if item_id is None else (str(item_id),))
         self.tables = list(tables.values())
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -112,43 +126,72 @@ FIELDS = [
 ]
 
 
+def _columns(found: Iterator[tuple[int, list[tuple[int, int]], set[str]]]) -> list[list]:
+    """FIELDS from (number of words, merged spans, ids) of every text."""
+    rows = [(n, sum(b - a for a, b in spans), [x for span in spans for x in span], sorted(ids)) for n, spans, ids in found]
+    return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in FIELDS]
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    max_benchmark_bytes: int = MAX_BENCHMARK_BYTES,
+    max_benchmark_bytes: int = MAX_BENCHMARK_BYTES, prefix: str = "",
 ) -> DataFrame:
     """Adds to every row its word count, the merged hit spans and the sorted ids of the items found.
 
-    The benchmark is measured first. Up to ``max_benchmark_bytes`` it is one broadcast; a
-    larger one is dealt into blocks by a hash of the id, and the documents pass over each.
+    The benchmark is measured first. Up to ``max_benchmark_bytes`` it is one broadcast. A
+    larger one is dealt into blocks by a hash of the item; each block's pass over the texts
+    gives the hits of the (distinct) texts that have any, and all of them are joined to the
+    rows once, by two hashes of the text.
     """
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // max_benchmark_bytes) or 1
-    out = docs.drop(*[f.name for f in FIELDS])
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        shared = sc.broadcast([tuple(r) for r in part.collect()])
+    fields = [T.StructField(prefix + f.name, f.dataType) for f in FIELDS]
+    if blocks == 1:
+        shared, key = sc.broadcast([tuple(r) for r in items.collect()]), uuid.uuid4().hex
 
-        def search(texts, spans=None, ids=None, shared=shared, key=uuid.uuid4().hex):
+        def search(texts):
             matcher = _matcher(key, shared)
-            columns = ([], [], [], [])
-            for k, x in enumerate(texts):
-                words = words_of(x)
-                found, hit = matcher.search(words)
-                if spans is not None:
-                    flat = spans[k]
-                    found, hit = merge_spans([*found, *zip(flat[::2], flat[1::2], strict=True)]), hit | set(ids[k])
-                columns[0].append(len(words))
-                columns[1].append(sum(b - a for a, b in found))
-                columns[2].append([x for span in found for x in span])
-                columns[3].append(sorted(hit))
-            return columns
-
-        out = append_columns(out, text, FIELDS, search, inputs=["hit_spans", "hit_items"] if b else None)
-        if b + 1 < blocks:
-            out = written(out, "decontam_block")
-    return out
+            return _columns((len(w), *matcher.search(w)) for w in map(words_of, texts))
+
+        return append_columns(docs, text, fields, search)
+
+    hits = None
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        one = _block_hits(docs, text, sc.broadcast([tuple(r) for r in part.collect()]))
+        hits = one if hits is None else hits.unionAll(one)
+    hits = written(hits.distinct(), "decontam_hits").groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("ids")).alias("ids"))
+    own = fresh_prefix(docs.columns)
+    keys = [F.xxhash64(text).alias(own + "k1"), F.xxhash64(F.lit(1), text).alias(own + "k2")]
+    hits = hits.select(*[F.col(c).alias(own + c) for c in hits.columns])
+    rows = docs.select("*", *keys).join(hits, [own + "k1", own + "k2"], "left").drop(own + "k1", own + "k2")
+
+    def finish(texts, spans, ids):
+        return _columns((len(words_of(t)), merge_spans(list(zip((s or [])[::2], (s or [])[1::2], strict=True))), set(i or ())) for t, s, i in zip(texts, spans, ids, strict=True))
+
+    return append_columns(rows, text, fields, finish, inputs=[own + "spans", own + "ids"]).drop(own + "spans", own + "ids")
+
+
+def _block_hits(docs: DataFrame, text: str, shared) -> DataFrame:
+    """(k1, k2, spans, ids) of the texts that hold a pattern of one block of the benchmark."""
+    rows = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), F.col(text).alias("text"))
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch, "text"):
+                matcher = _matcher(key, shared)
+                found = [matcher.search(words_of(t)) for t in part.column("text").to_pylist()]
+                some = [k for k, (spans, _) in enumerate(found) if spans]
+                spans = [[x for span in found[k][0] for x in span] for k in some]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("k1").take(pa.array(some, pa.int64())), part.column("k2").take(pa.array(some, pa.int64())), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(found[k][1]) for k in some], pa.list_(pa.string()))],
+                    names=["k1", "k2", "spans", "ids"],
+                )
+
+    return rows.mapInArrow(run, "k1 long, k2 long, spans array<long>, ids array<string>")
 
 
 _CACHE: dict[str, Matcher] = {}
@@ -162,9 +205,10 @@ def _matcher(key: str, shared) -> Matcher:
     return _CACHE[key]
 
 
-def contaminated():
+def contaminated(prefix: str = "") -> Column:
     """Whether at least a twentieth of a document's words are hit, over what find_contamination() added."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    hit, words = F.col(prefix + "n_hit"), F.col(prefix + "n_words")
+    return (hit > 0) & (20 * hit >= words)
 
 
 def digest(found: DataFrame) -> DataFrame:

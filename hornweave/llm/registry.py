@@ -141,7 +141,7 @@ WITH d AS (
   FROM (SELECT row_number() OVER () AS rowid_, * FROM documents)
 ), b AS (
   SELECT cast(item_id AS VARCHAR) AS i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ), p AS (
   SELECT DISTINCT i, least(len(w), 13) AS m, array_to_string(w[s : s + least(len(w), 13) - 1], ' ') AS win
   FROM b, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS u(s) WHERE len(w) > 0
@@ -153,7 +153,7 @@ WITH d AS (
 ), pos AS (
   SELECT k, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT k, s, m FROM hits), unnest(range(s, s + m)) AS u(x) GROUP BY k
 ), its AS (
-  SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT k, i FROM hits) GROUP BY k
+  SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT k, i FROM hits WHERE i IS NOT NULL) GROUP BY k
 )
 SELECT d.doc_id, cast(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
@@ -191,5 +191,3 @@ SELECT vid, outcome, coalesce(source_id, -1), CASE WHEN outcome = 'resolved' THE
   CASE WHEN outcome = 'resolved' THEN strlen(s_html) ELSE 0 END, sha256(CASE WHEN outcome = 'resolved' THEN s_html ELSE '' END)
 FROM j
 """
-
-#: The payload itself; the stored form's columns can't be made in SQL, so this one is tested against brute force instead.

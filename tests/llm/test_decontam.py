@@ -23,7 +23,7 @@ def brute(text, items):
             for k in range(len(w) - m + 1):
                 if w[k : k + m] == v[s : s + m]:
                     hit.update(range(k, k + m))
-                    ids.add(str(item))
+                    ids |= set() if item is None else {str(item)}
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
@@ -31,9 +31,10 @@ def cases():
     rng = random.Random(5)
     vocab = ["the", "of", "Ünd", "x1", "q", "zz", "and"]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
-    items = [(i, text(rng.choice([3, 5, 13, 14, 30]))) for i in range(12)] + [(50, None), (51, "--"), (52, "solo"), (1, "a second text of item one")]
+    items = [(i, text(rng.choice([3, 5, 13, 14, 30]))) for i in range(12)] + [(50, None), (51, "--"), (52, "solo"), (1, "a second text of item one"), (None, "words of an item without id")]
     docs = [(i, text(rng.randint(0, 60))) for i in range(40)]
     docs += [(200 + k, f"{text(20)}, {t}! {text(4)}") for k, (_, t) in enumerate(items) if t]
+    docs += [(400, "some words of an item without id here"), (401, f"words of an item without id, {items[3][1]}")]
     docs += [(300, None), (301, ""), (302, "solo"), (303, "SOLO. solo"), (302, "solo"), (None, "solo x"), (304, text(4000) + " " + items[4][1])]
     return docs, items
 
@@ -57,6 +58,18 @@ def test_empty_tables(spark):
 
 def test_shift_skips_positions():
     t = decontam.PatternTable(4)
-    t.add((b"a", b"b", b"c", b"d"), ["1"])
+    t.add([b"a", b"b", b"c", b"d"], 0, ("1",))
+    t.add([b"z", b"a", b"b", b"c", b"d"], 1, ("2",))
     assert t.shift == {(b"a", b"b"): 2, (b"b", b"c"): 1, (b"c", b"d"): 0}
-    assert t.search([b"x"] * 5 + [b"a", b"b", b"c", b"d"] * 2) == [(5, ["1"]), (9, ["1"])]
+    assert t.search([b"x"] * 5 + [b"a", b"b", b"c", b"d"] * 2) == [(5, ("1", "2")), (9, ("1", "2"))]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 20])
+def test_clashing_columns(spark, block):
+    d = frame(spark, [(1, "a b solo", 7, "x", "y"), (2, None, 8, "x", "y")], "doc_id long, text string, N_HIT int, __k1 string, __spans string")
+    b = frame(spark, [(5, "solo"), (6, "b solo extra words " * 5)], "item_id long, text string")
+    out = decontam.find_contamination(d, b, max_benchmark_bytes=block, prefix="p_")
+    assert out.columns == [*d.columns, "p_n_words", "p_n_hit", "p_hit_spans", "p_hit_items"]
+    assert sorted((r.doc_id, r.N_HIT, r["__k1"], r.p_n_words, r.p_n_hit, r.p_hit_items) for r in out.collect()) == [(1, 7, "x", 3, 1, ["5"]), (2, 8, "x", 0, 0, [])]
+    replaced = decontam.find_contamination(d, b, max_benchmark_bytes=block)
+    assert replaced.columns == ["doc_id", "text", "__k1", "__spans", "n_words", "n_hit", "hit_spans", "hit_items"]

@@ -167,27 +167,31 @@ WITH p AS (
   FROM pages
 ), u AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@|:(80|443)$', '', 'g'), '^www\.', '') AS host,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '[?&]+$|/+$', '', 'g'), '/+$', '') AS rest
+    regexp_extract(bare, '^[^/?]*([^?]*)', 1) AS path,
+    list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)(=|$)')) AS own
   FROM p
-), f AS (SELECT *, CASE WHEN host <> '' THEN host || rest END AS place, 2 * page_id AS id, page_id AS ts FROM u),
+), r AS (
+  SELECT *, CASE WHEN len(own) > 0 THEN path || '?' || array_to_string(own, '&') ELSE regexp_replace(path, '/+$', '') END AS rest FROM u
+), f AS (SELECT *, CASE WHEN host <> '' THEN host || rest END AS place, 2 * page_id AS id, page_id AS ts FROM r),
 v AS (SELECT *, 2 * page_id + 1 AS vid, page_id + 1000 * (page_id % 3) AS vts FROM f),
 m AS (
   SELECT v.page_id, max(struct_pack(ts := f.ts, id := f.id)).id AS source_id
   FROM v JOIN f ON v.place = f.place AND (f.ts < v.vts OR f.ts = v.vts AND f.id < v.vid) GROUP BY v.page_id
 ), j AS (
-  SELECT v.vid, v.etag AS etag, v.day AS day, v.page_id, m.source_id, s.html AS s_html, s.etag AS s_etag, s.day AS s_day,
+  SELECT v.vid, v.etag AS etag, v.day AS day, v.page_id, m.source_id, s.html AS s_html, s.etag AS s_etag, s.day AS s_day, s.page_id AS s_page,
     CASE WHEN m.source_id IS NULL THEN 'orphan' WHEN coalesce(v.etag = s.etag, v.day = s.day, true) THEN 'resolved' ELSE 'mismatch' END AS outcome
   FROM v LEFT JOIN m USING (page_id) LEFT JOIN f s ON s.id = m.source_id
 )
 SELECT id AS record_id, 'full' AS outcome, cast(-1 AS BIGINT) AS source_id, 200 AS status,
-  sha256(concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || strlen(html), 'content-type: text/html', 'etag: ' || etag, 'last-modified: ' || day)) AS headers_sha256,
+  sha256(concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || strlen(html), 'content-type: text/html', 'etag: ' || etag, 'last-modified: ' || day, 'set-cookie: a=' || (page_id % 7), 'set-cookie: b=' || (page_id % 3))) AS headers_sha256,
   cast(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_sha256
 FROM f
 UNION ALL
 SELECT vid, outcome, coalesce(source_id, -1), CASE WHEN outcome = 'resolved' THEN 200 ELSE 304 END,
   sha256(CASE WHEN outcome = 'resolved'
-    THEN concat_ws(chr(10), 'cache-control: max-age=' || (page_id % 100), 'content-length: ' || strlen(s_html), 'content-type: text/html', 'etag: ' || coalesce(etag, s_etag), 'last-modified: ' || coalesce(day, s_day))
-    ELSE concat_ws(chr(10), 'cache-control: max-age=' || (page_id % 100), 'content-length: 0', 'etag: ' || etag, 'last-modified: ' || day) END),
+    THEN concat_ws(chr(10), 'cache-control: max-age=' || (page_id % 100), 'content-length: ' || strlen(s_html), 'content-type: text/html', 'etag: ' || coalesce(etag, s_etag), 'last-modified: ' || coalesce(day, s_day),
+      CASE WHEN page_id % 2 = 0 THEN 'set-cookie: c=1' ELSE 'set-cookie: a=' || (s_page % 7) || chr(10) || 'set-cookie: b=' || (s_page % 3) END)
+    ELSE concat_ws(chr(10), 'cache-control: max-age=' || (page_id % 100), 'content-length: 0', 'etag: ' || etag, 'last-modified: ' || day, CASE WHEN page_id % 2 = 0 THEN 'set-cookie: c=1' END) END),
   CASE WHEN outcome = 'resolved' THEN strlen(s_html) ELSE 0 END, sha256(CASE WHEN outcome = 'resolved' THEN s_html ELSE '' END)
 FROM j
 """

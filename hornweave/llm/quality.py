@@ -1,18 +1,25 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is labelled bad (0) or good (1) from features of itself and of its two
-neighbours. Weights are fitted on the driver, on a bounded sample of labelled
-documents, each line bearing its document's label. A document's score is the mean
-of the forward-backward marginals of ``good``, weighted by line length.
+neighbours. A document's score is the mean of the forward-backward marginals of
+``good``, weighted by line length.
+
+Only documents are labelled; the labels of lines are latent. Weights are fitted on the
+driver by the likelihood of the documents' labels given their scores. The gradient of a
+mean of marginals is a covariance with the features, which two more forward-backward
+passes give: with the lines' scores tilted a little to either side by what the likelihood
+asks of them, expected features differ by it.
 
 Defined cases: null text is empty; an empty text is one empty line and gets a score
 like any other; without labelled rows, or with one label only, every score is the share
 of label 1 (0.5 without rows); repeated rows get equal results; a document with several
-label rows takes the smallest label.
+label rows takes the smallest label, and for the fit one with several texts takes one of
+them, by a hash; a column of the input named as the score (in any case) is replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,13 +41,15 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class QualityParams:
-    #: Labelled documents to fit on, chosen by a hash of the id; the bound of the sample.
+    #: Labelled documents to fit on, chosen by a hash of the id: the bound of the sample (about this many, one row each).
     max_documents: int = 3_000
-    #: Documents with more lines aren't chosen for fitting (all are scored).
-    max_fit_lines: int = 500
+    #: Consecutive lines that a document gives to the fit at most, from a place given by a hash of its text (scores take all lines).
+    fit_lines: int = 500
     steps: int = 150
     rate: float = 0.08
-    decay: float = 1e-4
+    decay: float = 1e-3
+    #: Size of the tilt.
+    tilt: float = 1e-3
 
 
 @dataclass
@@ -150,31 +159,40 @@ def forward_backward(good: np.ndarray, transition: np.ndarray, n_lines: np.ndarr
     return marginal, log_z, np.exp(both).sum(axis=0)
 
 
-def fit_weights(x: np.ndarray, n_lines: np.ndarray, y: np.ndarray, p: QualityParams) -> CrfModel:
-    """Maximum conditional likelihood by full-batch gradient steps (Adam)."""
+def fit_weights(x: np.ndarray, chars: np.ndarray, n_lines: np.ndarray, y: np.ndarray, p: QualityParams) -> CrfModel:
+    """Maximum likelihood of the documents' labels, by full-batch gradient steps (Adam)."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = with_neighbours((x - mean) / scale, n_lines)
-    label = np.repeat(y, n_lines).astype(float)
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = (n_lines[y == k] - 1).sum()
+    starts = np.cumsum(n_lines) - n_lines
+    weight = np.maximum(chars, 1.0)
+    weight /= np.repeat(np.add.reduceat(weight, starts), n_lines)
     theta = np.zeros(z.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, p.steps + 1):
-        w, transition = theta[:-4], theta[-4:].reshape(2, 2)
-        marginal, _, pair = forward_backward(z @ w, transition, n_lines, pairs=True)
-        gradient = np.concatenate([z.T @ (label - marginal), (seen - pair).reshape(-1)]) / len(y) - p.decay * theta
+        good, transition = z @ theta[:-4], theta[-4:].reshape(2, 2)
+        marginal, _, _ = forward_backward(good, transition, n_lines)
+        score = np.clip(np.add.reduceat(weight * marginal, starts), 1e-3, 1 - 1e-3)
+        asked = np.repeat(np.where(y == 1, 1 / score, -1 / (1 - score)), n_lines) * weight
+        up, _, pairs_up = forward_backward(good + p.tilt * asked, transition, n_lines, pairs=True)
+        down, _, pairs_down = forward_backward(good - p.tilt * asked, transition, n_lines, pairs=True)
+        gradient = np.concatenate([z.T @ (up - down), (pairs_up - pairs_down).reshape(-1)]) / (2 * p.tilt * len(y)) - p.decay * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta = theta + p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return CrfModel(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
+def line_marginals(texts: list[str | None], model: CrfModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(P(good) of every line, its weight, lines of every text)."""
+    x, chars, n_lines = line_features(texts)
+    good, _, _ = forward_backward(with_neighbours((x - model.mean) / model.scale, n_lines) @ model.weights, model.transition, n_lines)
+    return good, np.maximum(chars, 1), n_lines
+
+
 def score_texts(texts: list[str | None], model: CrfModel) -> list[float]:
     if model.prior is not None:
         return [model.prior] * len(texts)
-    x, chars, n_lines = line_features(texts)
-    good, _, _ = forward_backward(with_neighbours((x - model.mean) / model.scale, n_lines) @ model.weights, model.transition, n_lines)
-    weight, starts = np.maximum(chars, 1), np.cumsum(n_lines) - n_lines
+    good, weight, n_lines = line_marginals(texts, model)
+    starts = np.cumsum(n_lines) - n_lines
     return (np.add.reduceat(weight * good, starts) / np.add.reduceat(weight, starts)).clip(0, 1).tolist()
 
 
@@ -184,27 +202,31 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_i
     n = known.count()
     share = min(1.0, p.max_documents / max(n, 1))
     chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) <= p.max_fit_lines)
-    # about max_documents ids: the bound of the broadcast
-    rows = rows.join(F.broadcast(chosen), "id").select("text", "y")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    # about max_documents ids: the bound of the broadcast, and of the rows after it
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text", F.lit(1))).alias("text")).select("text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                x, _, n_lines = line_features(part.column("text").to_pylist())
-                ends = np.cumsum(n_lines)
-                blobs = [x[e - k : e].astype(np.float32).tobytes() for e, k in zip(ends, n_lines, strict=True)]
+                texts = part.column("text").to_pylist()
+                x, chars, n_lines = line_features(texts)
+                begins, blobs = np.cumsum(n_lines) - n_lines, []
+                for t, at, n in zip(texts, begins.tolist(), n_lines.tolist(), strict=True):
+                    more = max(n - p.fit_lines, 0)
+                    at += zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % (more + 1)
+                    rows_of = slice(at, at + n - more)
+                    blobs.append(np.column_stack([chars[rows_of], x[rows_of]]).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(blobs, pa.binary())], names=["y", "x"])
 
-    # the limit only matters if many rows share a chosen id; the sample stays bounded then
-    got = rows.mapInArrow(features, "y int, x binary").limit(2 * p.max_documents).toArrow()
+    got = rows.mapInArrow(features, "y int, x binary").toArrow()
     y = np.array(got.column("y").to_pylist(), dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return CrfModel(*[np.zeros(0)] * 4, prior=float(y.mean()) if len(y) else 0.5)
-    parts = [np.frombuffer(b, dtype=np.float32).reshape(-1, len(FEATURES)) for b in got.column("x").to_pylist()]
+    parts = [np.frombuffer(b, dtype=np.float32).reshape(-1, len(FEATURES) + 1) for b in got.column("x").to_pylist()]
     order = sorted(range(len(parts)), key=lambda i: (len(parts[i]), y[i], parts[i].tobytes()))  # the same sums whatever order rows arrive in
     x = np.concatenate([parts[i] for i in order]).astype(float)
-    return fit_weights(x, np.array([len(parts[i]) for i in order]), y[order], p)
+    return fit_weights(x[:, 1:], x[:, 0], np.array([len(parts[i]) for i in order]), y[order], p)
 
 
 def score(docs: DataFrame, model: CrfModel, text: str = "text", column: str = "score") -> DataFrame:

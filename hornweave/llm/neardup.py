@@ -7,20 +7,25 @@ signature takes half as many hash evaluations. Minima and maxima are banded apar
 2. Nodes that share a band are candidates. In every bucket each node is compared with
    the bucket's least node on full sets; confirmed links give components.
 3. A bucket whose nodes are then in several components still has pairs that were not
-   compared. Its nodes outside its largest component are compared with all others, in
-   blocks of bounded size that return a spanning forest of the links they find. So the
-   links of a bucket are never lost, pairs are never listed, and a group of near copies
-   that hangs together costs a comparison for each member.
+   compared. Its nodes outside its largest component are compared with all others whose
+   sets are of a similar size (sizes fall into classes; a link needs equal or
+   neighbouring ones), in blocks of bounded size that return a spanning forest of the
+   links they find. So the links of a bucket are never lost, pairs are never listed, and
+   a group of near copies that hangs together costs a comparison for each member.
 4. Components over both kinds of links.
 
+Buckets of very many nodes are joined apart from the others, see join_large().
+
 Defined cases: a text without words (or null) has an empty set, no links and its own id;
 a text of fewer words than a shingle is one shingle; rows that share an id are one node;
 a row with a null id takes part in links and gets the least id it reaches, null (and
-kept) if none; an empty table gives an empty result.
+kept) if none; an empty table gives an empty result; further columns of the input,
+whatever their names, are ignored here and kept by deduplicate().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import discard, fresh_prefix, text_chunks, written
 from .components import components
 from .hashing import mix, shingle_sets
 
@@ -45,6 +50,10 @@ class NearDupParams:
     rows: int = 4
     #: Nodes in a block of step 3: two blocks of sets are in a worker's memory at once.
     block: int = 256
+    #: Buckets of more nodes are large, see join_large().
+    large: int = 1_000
+    #: Large buckets that are broadcast at most; of more, the plain join is left to adaptive splitting of skewed partitions.
+    most_large: int = 200_000
 
 
 #: Ids of nodes without a document id start here.
@@ -136,14 +145,28 @@ def _group_nodes(sigs: DataFrame) -> DataFrame:
     return sigs.where("n_shingles > 0").groupBy("k1", "k2").agg(named.alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
 
 
-def _candidates(groups: DataFrame) -> DataFrame:
-    """(key, node, hub, size) of every node in a bucket of two nodes or more; ``size`` counts a node of several sets for each.
+def join_large(rows: DataFrame, table: DataFrame, on: list[str], size: str, p: NearDupParams) -> DataFrame:
+    """rows.join(table, on), where ``table`` (of written()) has one row for each key and the number of its ``rows`` in ``size``.
+
+    The rows of large keys are joined where they are, by a broadcast of those keys' rows of ``table``, so none of
+    them gathers in one task. The number of such keys is looked at before.
+    """
+    large = table.where(F.col(size) > p.large)
+    n = large.count()
+    if not 0 < n <= p.most_large:
+        return rows.join(table, on)
+    rest = rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(table.where(F.col(size) <= p.large), on)
+    return rows.join(F.broadcast(large), on).unionByName(rest)
+
+
+def _candidates(groups: DataFrame, p: NearDupParams) -> DataFrame:
+    """(key, node, n_shingles, hub, size) of every node in a bucket of two nodes or more; a node of several sets has a row, and counts, for each.
 
     Only rows of such buckets, a small share of all, are freed of repetitions.
     """
-    keys = groups.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    keys = groups.select("node", "n_shingles", F.explode(F.array_distinct("bands")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub <> last").drop("last")
-    return keys.join(shared, "key").distinct()
+    return join_large(keys, written(shared, "neardup_buckets"), ["key"], "size", p).distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
@@ -155,25 +178,34 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _open_blocks(members: DataFrame, labels: DataFrame, p: NearDupParams) -> DataFrame:
-    """(key, i, j, node, rest, label) for step 3: each row of a task (key, i, j) compares its block i of ``rest`` nodes with block j.
+    """(key, i, j, node, rest, label) for step 3: each row of a task (key, i, j) compares the ``rest`` nodes of two blocks with all nodes of both.
 
-    ``j`` below zero is a block of the bucket's largest component, else of other ``rest`` nodes.
+    A block holds nodes of one bucket and one class of set sizes, either of the bucket's largest component or of its
+    other, ``rest``, nodes. The sizes of linked sets differ by the factor of the least similarity at most, which is
+    a class's width, so nodes of classes that are neither equal nor neighbours have no link.
     """
-    rows = members.where("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    width = -math.log(p.percent / 100) * (1 + 1e-9)
+    size_class = F.floor(F.ln("n_shingles") / width).cast("int")
+    rows = members.where("size > 2").select("key", "node", "n_shingles").join(labels, "node", "left")
+    rows = rows.select("key", "node", F.coalesce("component", "node").alias("label"), size_class.alias("class")).distinct()
     by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    by_key = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("labels"))
-    by_key = by_key.where("labels > 1").select(
-        "key", "main", F.ceil(F.col("n_main") / p.block).cast("int").alias("main_blocks"), F.ceil((F.col("n_all") - F.col("n_main")) / p.block).cast("int").alias("rest_blocks")
-    )
-    rows = rows.join(by_key, "key").withColumn("rest", F.col("label") != F.col("main"))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int")
-    rows = rows.withColumn("own", own)
-    task = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    with_main = F.transform(F.sequence(F.lit(1), F.col("main_blocks")), lambda j: task(F.col("own"), -j))
-    with_rest = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda j: task(F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
-    from_main = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: task(i, -F.col("own") - 1))
-    tasks = F.when(F.col("rest"), F.concat(with_main, with_rest)).otherwise(from_main)
-    return rows.select("key", "node", "rest", "label", F.explode(tasks).alias("t")).select("key", "t.i", "t.j", "node", "rest", "label")
+    by_key = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n_all")).where("labels > 1")
+    rows = join_large(rows, written(by_key.drop("labels"), "neardup_open"), ["key"], "n_all", p)
+    rows = written(rows.select("key", "node", "label", "class", (F.col("label") != F.col("main")).alias("rest")), "neardup_open_rows")
+    blocks = rows.groupBy("key", "class").agg(F.count("*").alias("n"), F.ceil(F.count_if(~F.col("rest")) / p.block).cast("int").alias("main"), F.ceil(F.count_if("rest") / p.block).cast("int").alias("rest"))
+    # for every class of a bucket, the blocks of its neighbours too
+    near = blocks.select("key", F.explode(F.array(*[(F.col("class") + F.lit(d)).alias("c") for d in (-1, 0, 1)])).alias("class"), F.struct(F.col("class").alias("of"), "main", "rest").alias("b"))
+    near = near.groupBy("key", "class").agg(F.collect_list("b").alias("near"))
+    sides = blocks.select("key", "class", "n", F.col("main").alias("own_main"), F.col("rest").alias("own_rest")).join(near, ["key", "class"])
+    rows = join_large(rows, written(sides, "neardup_sides"), ["key", "class"], "n", p)
+    block = lambda c, rest, k: (c.cast("long") * 2 + rest.cast("long")) * F.lit(1 << 32) + k.cast("long")
+    own = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("rest"), F.col("own_rest")).otherwise(F.col("own_main")), F.lit(1)))
+    rows = rows.withColumn("own", block(F.col("class"), F.col("rest"), own))
+    ids = lambda b, rest, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: block(b["of"], F.lit(rest), k))
+    some = lambda b, rest, n: F.when(n > 0, ids(b, rest, n)).otherwise(F.array().cast("array<long>"))
+    others = F.flatten(F.transform("near", lambda b: F.concat(some(b, True, b["rest"]), F.when(F.col("rest"), some(b, False, b["main"])).otherwise(F.array().cast("array<long>")))))
+    rows = rows.select("key", "node", "rest", "label", "own", F.explode(others).alias("other"))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "rest", "label")
 
 
 def spanning_links(nodes: np.ndarray, rest: np.ndarray, labels: np.ndarray, offsets: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -249,12 +281,14 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, p: NearDupParams) -> DataFr
     """
     sigs = written(signatures(docs, doc_id, text, p), "neardup_signatures")
     groups = written(_group_nodes(sigs), "neardup_groups")
-    members = written(_candidates(groups), "neardup_members")
+    members = written(_candidates(groups, p), "neardup_members")
     sets = written(shingle_rows(docs, members.select("node").distinct(), doc_id, text, p), "neardup_sets")
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirm(pairs, sets, p), "neardup_links")
-    more = _block_links(_open_blocks(members, components(links), p), sets, p)
+    more = written(_block_links(_open_blocks(members, components(links), p), sets, p), "neardup_more")
+    discard(members, sets)
     labels = components(links.unionAll(more))
+    discard(links, more)
     named = groups.select("k1", "k2", "node").join(labels, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("root"))
     out = sigs.select("doc_id", "text_key", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).when(F.col("root") < NAMELESS, F.col("root"))
@@ -272,9 +306,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
     """The rows of ``docs`` with one row left of each component; rows with empty sets all stay."""
     found = _rooted(docs, doc_id, text, p)
     stay = found.where("kept and n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.*")
-    rows = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__key", F.xxhash64(text))
-    s = stay.select(F.col("doc_id").alias("__id2"), F.col("text_key").alias("__key2"))
-    one = rows.join(s, rows["__id"].eqNullSafe(s["__id2"]) & (rows["__key"] == s["__key2"]), "left_semi")
-    one = one.dropDuplicates(["__id", "__key"])
+    own = fresh_prefix(docs.columns)
+    number, key = F.col(doc_id).cast("long"), F.xxhash64(text)
+    rows = docs.withColumn(own + "id", number).withColumn(own + "key", key)
+    s = stay.select(F.col("doc_id").alias(own + "id2"), F.col("text_key").alias(own + "key2"))
+    one = rows.join(s, F.col(own + "id").eqNullSafe(F.col(own + "id2")) & (F.col(own + "key") == F.col(own + "key2")), "left_semi")
+    one = one.dropDuplicates([own + "id", own + "key"])
     empty = rows.where(F.coalesce(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0)
-    return one.unionAll(empty).drop("__id", "__key")
+    return one.unionAll(empty).drop(own + "id", own + "key")

@@ -62,10 +62,10 @@ def cases(seed=4, crowd=90):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_matches_brute_force(spark, block):
+@pytest.mark.parametrize("block, large, most", [(256, 1000, 1000), (8, 3, 100_000), (8, 3, 0)])
+def test_matches_brute_force(spark, block, large, most):
     rows = cases()
-    out = neardup.near_duplicates(frame(spark, rows, SCHEMA), p=neardup.NearDupParams(block=block)).collect()
+    out = neardup.near_duplicates(frame(spark, rows, SCHEMA), p=neardup.NearDupParams(block=block, large=large, most_large=most)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == sorted(brute(rows), key=str)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
@@ -80,6 +80,26 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert {2000, 2001, 2002} <= set(got)
 
 
+def test_buckets_of_unlike_sizes(spark):
+    """Texts that start alike share bands though their sizes differ; rows that share an id bring sets of several sizes into a bucket."""
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(120):
+        words = base + [f"x{i % 9}y{k}" for k in range(rng.choice([0, 3, 6, 9, 12, 15, 25, 60]))]
+        rows.append((rng.choice([i, 7, None]), " ".join(words)))
+    out = neardup.near_duplicates(frame(spark, rows, SCHEMA), p=neardup.NearDupParams(block=4, rows=1, large=5)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == sorted(brute(rows), key=str)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b c d e f g", "x", "y", 5), (2, "a b c d e f g", "x", "y", 6), (None, "other words", "x", "z", 7), (3, None, "q", None, None)]
+    docs = frame(spark, rows, "doc_id long, text string, __id string, __key string, component_id int")
+    assert neardup.near_duplicates(docs).columns == ["doc_id", "text_key", "n_shingles", "component_id", "kept"]
+    out = neardup.deduplicate(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
 def test_deduplicate_keeps_every_lone_text_without_id(spark):
     texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
     rows = [(None, t) for t in texts] + [(None, texts[0]), (None, texts[1] + " more"), (None, "ab"), (None, ""), (None, None), (7, texts[2]), (8, "another text of some words here")]

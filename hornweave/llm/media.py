@@ -5,12 +5,14 @@ five row filters undone in numpy. The hash keeps the signs of the 8 x 8 lowest
 frequencies of a 24 x 24 box-averaged thumbnail against their median.
 
 Defined cases: null text is empty; a payload is padded with bytes 255 to a positive
-multiple of 576; equal texts give equal values; a damaged image raises ValueError.
+multiple of 576; equal texts give equal values; a null image gives null samples and hash;
+a damaged image raises ValueError; of a very long text the payload, the image and a
+block of rows are in memory at once; columns of the input named as added ones (in any
+case) are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 
@@ -27,6 +29,8 @@ PAD = b"\xff"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
 THUMB, LOW = 24, 8
+#: Rows that are filtered, unfiltered or averaged together.
+BLOCK_ROWS = 2048
 
 
 def payload_of(text: str | None) -> bytes:
@@ -38,11 +42,12 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def filter_rows(image: np.ndarray) -> np.ndarray:
-    """Rows with their filter byte: of no filter, Sub and Up, the one with the least sum of absolute differences."""
+def filter_rows(image: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows with their filter byte: of no filter, Sub and Up, the one with the least sum of absolute differences. ``above`` is the row before them."""
     height, width = image.shape
     sub, up = image.copy(), image.copy()
     sub[:, 1:] -= image[:, :-1]
+    up[0] -= above
     up[1:] -= image[:-1]
     options = np.stack([image, sub, up])
     cost = np.abs(options.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64)
@@ -53,10 +58,10 @@ def filter_rows(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def unfilter_rows(rows: np.ndarray) -> np.ndarray:
-    """Undoes filters 0 to 4 of 8-bit greyscale rows."""
+def unfilter_rows(rows: np.ndarray, above: np.ndarray | None = None) -> np.ndarray:
+    """Undoes filters 0 to 4 of 8-bit greyscale rows. ``above`` is the row before them, zeros for the first."""
     kinds, out = rows[:, 0], rows[:, 1:].copy()
-    above = np.zeros(out.shape[1], dtype=np.uint8)
+    above = np.zeros(out.shape[1], dtype=np.uint8) if above is None else above
     for y, kind in enumerate(kinds.tolist()):
         row = out[y]
         if kind == SUB:
@@ -86,7 +91,13 @@ def encode_png(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
         raise ValueError("the payload must fill whole rows")
     image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
     header = struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(filter_rows(image).tobytes(), level)) + _chunk(b"IEND", b"")
+    packer, body, above = zlib.compressobj(level), [], np.zeros(width, dtype=np.uint8)
+    for top in range(0, len(image), BLOCK_ROWS):
+        block = image[top : top + BLOCK_ROWS]
+        body.append(packer.compress(filter_rows(block, above)))
+        above = block[-1]
+    body.append(packer.flush())
+    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", b"".join(body)) + _chunk(b"IEND", b"")
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -108,10 +119,22 @@ def decode_png(data: bytes) -> np.ndarray:
     if header is None or not ended or header[2:] != (8, 0, 0, 0, 0):
         raise ValueError("not a complete greyscale 8-bit PNG")
     width, height = header[:2]
-    rows = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8)
-    if rows.size != height * (width + 1):
+    out, above, got, left = np.empty((height, width), dtype=np.uint8), None, 0, b""
+    unpacker, feed = zlib.decompressobj(), b"".join(body)
+    while feed or not unpacker.eof:
+        data = left + unpacker.decompress(feed, BLOCK_ROWS * (width + 1))
+        feed, n = unpacker.unconsumed_tail, len(data) // (width + 1)
+        if not n and not feed:
+            break
+        if got + n > height:
+            raise ValueError("wrong number of samples")
+        if n:
+            block = unfilter_rows(np.frombuffer(data, np.uint8, n * (width + 1)).reshape(n, width + 1), above)
+            out[got : got + n], above, got = block, block[-1], got + n
+        left = data[n * (width + 1) :]
+    if got != height or left or not unpacker.eof:
         raise ValueError("wrong number of samples")
-    return unfilter_rows(rows.reshape(height, width + 1))
+    return out
 
 
 def _boxes(length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +147,17 @@ _COSINES = np.cos(np.pi * np.arange(LOW)[:, None] * (2 * np.arange(THUMB)[None]
 
 def cosine_hash(image: np.ndarray) -> bytes:
     """64 bits in 8 bytes."""
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    total[1:, 1:] = image.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
     (y0, y1), (x0, x1) = _boxes(image.shape[0]), _boxes(image.shape[1])
-    thumb = (total[np.ix_(y1, x1)] - total[np.ix_(y0, x1)] - total[np.ix_(y1, x0)] + total[np.ix_(y0, x0)]) / np.outer(y1 - y0, x1 - x0)
+    total = np.zeros((THUMB, THUMB), dtype=np.int64)
+    for top in range(0, len(image), BLOCK_ROWS):
+        block = image[top : top + BLOCK_ROWS]
+        run = np.zeros((len(block), image.shape[1] + 1), dtype=np.int64)
+        block.cumsum(axis=1, dtype=np.int64, out=run[:, 1:])
+        columns = run[:, x1] - run[:, x0]
+        for k, (a, b) in enumerate(zip((y0 - top).clip(0), (y1 - top).clip(0, len(block)), strict=True)):
+            if a < b:
+                total[k] += columns[a:b].sum(axis=0)
+    thumb = total / np.outer(y1 - y0, x1 - x0)
     low = np.round(_COSINES @ thumb @ _COSINES.T, 6).reshape(-1)
     return np.packbits(low > np.median(low[1:])).tobytes()
 
@@ -147,8 +177,8 @@ def load(stored: DataFrame, media: str = "media") -> DataFrame:
     """Reads ``media`` back: appends ``payload`` (its samples) and ``phash`` (binary)."""
 
     def run(images):
-        decoded = [decode_png(x) for x in images]
-        return [[x.tobytes() for x in decoded], [cosine_hash(x) for x in decoded]]
+        decoded = [None if x is None else decode_png(x) for x in images]
+        return [[None if x is None else x.tobytes() for x in decoded], [None if x is None else cosine_hash(x) for x in decoded]]
 
     return append_columns(stored, media, [T.StructField("payload", T.BinaryType()), T.StructField("phash", T.BinaryType())], run)
 
@@ -160,9 +190,3 @@ def digest(loaded: DataFrame) -> DataFrame:
         F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), F.lower(F.hex("phash")).alias("feature"),
     )
-
-
-def brute_force(text: str | None) -> tuple:
-    """What digest() gives, without the image."""
-    p = payload_of(text)
-    return len((text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])

@@ -7,7 +7,8 @@ batches are scored sparsely in numpy.
 Defined cases: null text or text without a letter gives ``und`` with score 0; an
 empty table, or one without training rows, gives ``und`` everywhere; repeated rows
 get equal results; ties go to the language that sorts first; a column of the input
-named as an output column is replaced.
+named as an output column is replaced; more languages than the matrix is allowed to hold
+(``max_langs``) raise ValueError before anything is counted.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ class LangIdParams:
     alpha: float = 0.5
     #: Training uses about this many rows of each language at most: whole texts, chosen by a hash of the row's text.
     max_rows_per_lang: int = 5_000
+    #: Bound of the languages, and so of the matrix, which is 256 kB for each with the default ``bits``.
+    max_langs: int = 512
 
 
 @dataclass
@@ -88,7 +91,9 @@ def ngram_features(texts: list[str | None], params: LangIdParams) -> tuple[np.nd
 def fit(docs: DataFrame, text: str, lang: str, usable: Column, params: LangIdParams = LangIdParams()) -> LangIdModel:
     """Learns from the rows where ``usable`` holds and ``lang`` is not null."""
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    totals = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    totals = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(params.max_langs + 1).collect()}
+    if len(totals) > params.max_langs:
+        raise ValueError(f"more than {params.max_langs} languages; {lang!r} may not hold language codes")
     langs = sorted(totals)
     dim = 1 << params.bits
     prior = np.array([totals[x] for x in langs], dtype=float)

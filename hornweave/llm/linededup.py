@@ -10,7 +10,8 @@ have no window and stay; windows of blank lines only don't count; a later occurr
 the document of the first one leaves the first one's own lines; rows that repeat both id
 and text are one document and get equal results; rows that share an id only are separate
 texts at the same place in the order, so the same window at the same position is first
-in each of them; a column of the input named as an added one is replaced.
+in each of them; a column of the input named as an added one (in any case) is replaced,
+unless a ``prefix`` keeps them apart; other columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_prefix
+
 WINDOW = 3
-_OWN = ("__id", "__text_key")
+_OWN = ("id", "text_key")
 
 
 def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,24 +53,27 @@ def later_spans(found: DataFrame) -> DataFrame:
     later = found.join(repeated, ["h1", "h2"]).where(_place(found) > F.col("first"))
     own = (F.col(_OWN[0]).eqNullSafe(F.col("first.id"))) & (F.col("pos") < F.col("first.pos") + WINDOW)
     start = F.when(own, F.col("first.pos") + WINDOW).otherwise(F.col("pos"))
-    return later.groupBy(*_OWN).agg(F.collect_set(F.struct(start.alias("from"), (F.col("pos") + WINDOW - 1).alias("to"))).alias("__spans"))
+    return later.groupBy(*_OWN).agg(F.collect_set(F.struct(start.alias("from"), (F.col("pos") + WINDOW - 1).alias("to"))).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows with ``text`` freed of repeated windows, and with ``n_lines`` and ``n_removed`` added."""
-    docs = docs.drop("n_lines", "n_removed")
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
+    """Rows with ``text`` freed of repeated windows, and with ``n_lines`` and ``n_removed`` (after ``prefix``) added."""
+    added = {(prefix + c).lower() for c in ("n_lines", "n_removed")}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     names = docs.columns
+    own = fresh_prefix(names)
+    key, lines_, covered_, kept_ = (own + c for c in ("key", "lines", "covered", "kept"))
     spans = later_spans(windows(docs, doc_id, text))
-    rows = docs.withColumn(_OWN[1], F.xxhash64(text)).alias("d").join(
-        spans.alias("s"), F.col(f"d.{doc_id}").eqNullSafe(F.col(f"s.{_OWN[0]}")) & (F.col(f"d.{_OWN[1]}") == F.col(f"s.{_OWN[1]}")), "left"
+    rows = docs.withColumn(key, F.xxhash64(text)).alias("d").join(
+        spans.alias("s"), F.col(f"d.{doc_id}").eqNullSafe(F.col(f"s.{_OWN[0]}")) & (F.col(f"d.{key}") == F.col(f"s.{_OWN[1]}")), "left"
     )
-    rows = rows.select(*[F.col(f"d.`{c}`") for c in names], F.col("s.__spans"), F.split(F.col(f"d.{text}"), "\n", -1).alias("__lines"))
-    covered = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["from"], s["to"]))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__covered"))
-    rows = rows.withColumn("__covered", covered).withColumn("__kept", F.when(F.size("__covered") > 0, kept))
-    new_text = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
+    covered = F.array_distinct(F.flatten(F.transform(F.col("s.spans"), lambda s: F.sequence(s["from"], s["to"]))))
+    rows = rows.select(*[F.col(f"d.`{c}`") for c in names], covered.alias(covered_), F.split(F.col(f"d.{text}"), "\n", -1).alias(lines_))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines_) - 1), F.col(covered_))
+    rows = rows.withColumn(kept_, F.when(F.size(covered_) > 0, kept))
+    new_text = F.when(F.col(kept_).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept_, lambda i: F.get(lines_, i)), "\n"))
     return rows.select(
         *[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(lines_), F.lit(0)).cast("long").alias(prefix + "n_lines"),
+        F.coalesce(F.size(lines_) - F.size(kept_), F.lit(0)).cast("long").alias(prefix + "n_removed"),
     )

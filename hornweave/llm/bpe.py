@@ -5,19 +5,18 @@ automaton that shares prefixes and suffixes (incremental minimisation of a sorte
 list). States are flat arrays in one file, shipped with ``SparkContext.addFile`` and
 memory-mapped by all Python workers of an executor. A word's rank among the accepted
 words (the sum of the counts passed on its way) addresses its ids. Words that the
-automaton doesn't accept are merged exactly, by rank.
+automaton doesn't accept are merged exactly, by rank. The file is in the shared folder.
 
 Defined cases: null text is empty and has no tokens; a special token's string inside a
-text becomes its id, as the tokenizers library does; repeated rows get equal results.
+text becomes its id, as the tokenizers library does; repeated rows get equal results; a
+column of the input named ``ids`` or ``decoded`` (in any case) is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
-import os
-import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks, written
+from .common import put_file, text_chunks, written
 
 #: Fixed value: the published pre-tokenisation pattern of byte-level BPE vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -226,17 +225,14 @@ def build_automaton(words: list[bytes]) -> dict[str, np.ndarray]:
     return {"first": as_int(first), "label": as_int(label), "target": as_int(target), "skip": as_int(skip), "final": as_int([f for f, _ in states]), "root": as_int([root])}
 
 
-def write_lexicon(path: str, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-    """``words``: sorted and distinct; ``ids``: the tokens of each, ``sizes`` of them."""
+def lexicon_file(words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The file of an automaton. ``words``: sorted and distinct; ``ids``: the tokens of each, ``sizes`` of them."""
     arrays = build_automaton(words)
     owner = np.repeat(np.arange(len(arrays["first"]) - 1), np.diff(arrays["first"]))
     arrays["edge"] = owner * 256 + arrays.pop("label")  # state and label: one sorted list to search in
     arrays |= {"start": np.cumsum(sizes) - sizes, "size": sizes, "ids": ids}
     header = json.dumps({k: len(v) for k, v in arrays.items()}).encode()
-    with open(path, "wb") as f:
-        f.write(len(header).to_bytes(8, "little") + header + b" " * (-len(header) % 8))
-        for v in arrays.values():
-            f.write(v.astype(np.int64).tobytes())
+    return b"".join([len(header).to_bytes(8, "little"), header, b" " * (-len(header) % 8), *[v.astype(np.int64).tobytes() for v in arrays.values()]])
 
 
 class Lexicon:
@@ -390,13 +386,8 @@ def prepare(docs: DataFrame, vocabulary_path: str, text: str = "text", lexicon_w
     vocabulary = Vocabulary(vocabulary_path)
     words = sorted(w.encode("utf-8", "surrogatepass") for w in frequent_words(docs, text, lexicon_words))
     spark = docs.sparkSession
-    folder = tempfile.mkdtemp()  # on the driver only; executors get the file from Spark's own file server
-    path = os.path.join(folder, "lexicon")
-    write_lexicon(path, words, *vocabulary.merge_many(words))
-    with open(path, "rb") as f:
-        name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:16]}-{os.path.basename(folder)}"
-    os.rename(path, named := os.path.join(folder, name))
-    spark.sparkContext.addFile(named)
+    name = f"lexicon-{uuid.uuid4().hex}"
+    spark.sparkContext.addFile(put_file(spark, name, lexicon_file(words, *vocabulary.merge_many(words))))
     return SharedCodec(name, spark.sparkContext.broadcast(vocabulary))
 
 

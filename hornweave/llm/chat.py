@@ -97,8 +97,14 @@ def assemble(turns: DataFrame) -> DataFrame:
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """The contract's columns, from parsing the formatted text again."""
+    """The contract's columns, from parsing the formatted text again.
+
+    The turns read back must be as many as the mask has, with assistants where it says so; a row for which they
+    aren't raises an error, so the mask can't come to lie on other turns unseen.
+    """
     read = conversations.withColumn("turns", parse(F.col("formatted")))
+    agree = F.transform("turns", lambda t: F.coalesce(t["role"] == ASSISTANT, F.lit(False))) == F.col("loss_mask")
+    read = read.withColumn("loss_mask", F.when(agree, F.col("loss_mask")).otherwise(F.raise_error(F.lit("the loss mask doesn't fit the turns read back")).cast("array<boolean>")))
     read = read.withColumn("all", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""))
     masked = F.filter(F.arrays_zip("turns", "loss_mask"), lambda z: z["loss_mask"])
     read = read.withColumn("loss", F.array_join(F.transform(masked, lambda z: z["turns"]["text"]), ""))

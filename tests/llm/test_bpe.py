@@ -56,7 +56,8 @@ def test_long_and_short_merging_agree():
 def test_automaton_is_minimal_and_exact(tmp_path):
     words = sorted({a + b for a in (b"re", b"un", b"", b"over") for b in (b"act", b"acts", b"play", b"plays", b"x")})
     path = str(tmp_path / "lexicon")
-    bpe.write_lexicon(path, words, np.arange(2 * len(words)), np.full(len(words), 2))
+    with open(path, "wb") as f:
+        f.write(bpe.lexicon_file(words, np.arange(2 * len(words)), np.full(len(words), 2)))
     lexicon = bpe.Lexicon(path)
     assert lexicon.ranks([*words, b"reac", b"xx", b"", b"zzz", b"acts" * 40]).tolist() == [*range(len(words)), -1, -1, -1, -1, -1]
     assert lexicon.start[3] == 6 and lexicon.size[3] == 2
@@ -64,6 +65,14 @@ def test_automaton_is_minimal_and_exact(tmp_path):
     assert len(lexicon.first) - 1 < len(trie) / 2  # suffixes are shared
 
 
+def test_clashing_columns_are_replaced(spark):
+    docs = frame(spark, [(1, "a b", "x", "y", 3)], "doc_id long, text string, IDS string, decoded string, other int")
+    codec = bpe.prepare(docs, PATH)
+    assert bpe.round_trip(docs, codec).columns == ["doc_id", "other", "ids", "decoded"]
+    out = bpe.decode(bpe.encode(docs, codec), codec).first()
+    assert (out.text, out.decoded, out.other) == ("a b", "a b", 3)
+
+
 def test_empty_table(spark):
     docs = frame(spark, [], "doc_id long, text string")
     codec = bpe.prepare(docs, PATH)

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hornweave.llm import chat
 
 from .helpers import frame
@@ -48,6 +49,13 @@ def test_spans_and_escapes(spark):
         assert r.in_loss == (r.role == "assistant")
 
 
+def test_mask_that_does_not_fit_is_noticed(spark):
+    for mask in ("array(true)", "array(false, false)"):
+        bad = spark.sql(f"select 1L as conv_id, '<|im_start|>user\\na<|im_end|>\\n' as formatted, {mask} as loss_mask")
+        with pytest.raises(Exception, match="loss mask"):
+            chat.digest(bad).collect()
+
+
 def test_malformed_text_parses_into_nulls(spark):
     got = spark.sql("select '<|im_start|>user' as f").select(chat.parse(chat.F.col("f")).alias("t")).first().t
     assert got == [None]

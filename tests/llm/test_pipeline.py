@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import corpus_pipeline
@@ -10,6 +11,10 @@ from .test_linededup import brute as deduped_lines
 from .test_neardup import brute as components
 
 
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
 def write(spark, folder, docs, items):
     frame(spark, docs).coalesce(2).write.parquet(os.path.join(folder, "documents.parquet"))
     frame(spark, items, "item_id long, text string").write.parquet(os.path.join(folder, "benchmark.parquet"))
@@ -32,7 +37,22 @@ def test_equals_brute_force(spark, tmp_path):
     assert set(out) == {i for i, _ in docs}
     assert not {100, 101, 102, 106, 107, 108} & set(out) and {103, 104, 105} <= set(out)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert all(out[i].n_tokens == len(library.encode(t).ids) for i, t in docs)
+    for i, t in docs:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert (out[i].n_tokens, out[i].ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
+        assert out[i].decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    item = "secret benchmark words " + sentence("de", 3, 25)
+    write(spark, str(tmp_path), [], [(7, item)])
+    names = ["n_lines", "n_removed", "N_WORDS", "n_hit", "hit_spans", "lang_pred", "score", "__lang", "__id", "__key", "component_id", "kept", "__k1"]
+    rows = [(i, sentence("en" if i % 2 else "de", i, 30) + f"\nline {i}\nend {i}", "en" if i % 2 else "de", *[f"{n} {i}" for n in names]) for i in range(12)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, rows)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 12
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import release_memory, release_shuffles, text_chunks, written
 from .hashing import mix, word_hashes
 
 
@@ -53,7 +53,7 @@ class KatzParams:
     order: int = 3
     #: Counts above this aren't discounted.
     k: int = 5
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 6 << 20
     #: Tokens for each partition of the count tables.
     partition_tokens: int = 2_000_000
     #: A context seen more often is dealt over several partitions, one for about this many tokens.
@@ -299,6 +299,20 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
 
 
+def _ranks(a: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), dtype=np.int64)
+    out[np.argsort(a, kind="stable")] = np.arange(len(a))
+    return out
+
+
+def _sorted_by(dest: np.ndarray, parts: int, numbers: np.ndarray, context: np.ndarray, word_numbers: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by partition, the context's number and the word's number."""
+    contexts, words = len(numbers), len(word_numbers)
+    if parts * contexts * words >= 1 << 62:
+        return np.lexsort((word_numbers[word], numbers[context], dest))
+    return np.argsort((dest * contexts + _ranks(numbers)[context]) * words + _ranks(word_numbers)[word])
+
+
 class Sending:
     """Which sequences of a level a chunk sends where: those whose context others have too and training texts have."""
 
@@ -309,7 +323,7 @@ class Sending:
         home = (mix(below.number.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)[context]
         slot = (mix(words.number.astype(np.uint64))[word] % np.maximum(spread, 1).astype(np.uint64)).astype(np.int64)
         dest = (home + slot) % parts
-        order = np.lexsort((words.number[word], below.number[context], dest))
+        order = _sorted_by(dest, parts, below.number, context, words.number, word)
         self.rows, self.dests, self.begins = mine[order], *_grouped(np.arange(len(mine)), dest[order])[1:]
         #: Contexts dealt over several partitions, in the order in which their own partitions are asked for the sums.
         wide = np.unique(context[spread > 1])
@@ -329,6 +343,7 @@ _MESSAGE = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("dest", pa.
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
+    release_memory()
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_MESSAGE.types)], schema=_MESSAGE)
 
 
@@ -601,12 +616,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = int(-(-tokens // p.partition_tokens) or 1)
     words = written(_count_words(_send_words(chunks, parts), parts, p.k), "katz_words")
+    release_shuffles(docs.sparkSession)
     total, types, *counts = _totals(words, p.k + 3)
     model = Model(Unigrams(total, types, counts, p.k), [])
     for_chunk = ("kind", "chunk", "dest", "payload")
     answers = words.where("kind = '1'").select(*for_chunk)
     for length in range(2, p.order + 1):
         counted = written(_count(_send(chunks, answers, length, parts, model, p), length, parts, model, p), f"katz_level_{length}")
+        release_shuffles(docs.sparkSession)
         model = Model(model.unigrams, [*model.d, discounts(_totals(counted, p.k + 1), p.k)])
         answers = answers.unionAll(counted.where(F.col("kind") == str(length)).select(*for_chunk)).unionAll(_add_up(counted, length, p.k).select(*for_chunk))
     return _score(chunks, answers, parts, model, p)

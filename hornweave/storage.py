@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Attribute of a DataFrame of written(): its folder.
 _PATH = "_written_to"
+#: Setting under which Spark deletes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,12 +31,23 @@ def application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/hornweave-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
+    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back. Shuffle files of the way there are deleted."""
     spark = df.sparkSession
     path = f"{application_dir(spark)}/{re.sub(r'[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with _shuffles_deleted(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     setattr(found, _PATH, path)
     return found
@@ -64,12 +78,6 @@ def discard(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps, which it does once their plans are garbage on the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def clean(spark: SparkSession) -> None:
     """Deletes all tables this application has written; results that read them must have been saved before."""
     _delete(spark, application_dir(spark))

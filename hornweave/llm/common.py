@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import discard, put_file, release_shuffles, shared_dir, written
+from ..storage import discard, put_file, shared_dir, written
 
-__all__ = ["append_columns", "discard", "fresh_prefix", "lower_ascii", "put_file", "release_shuffles", "remainder", "shared_dir", "table", "text_chunks", "written"]
+__all__ = ["append_columns", "discard", "fresh_prefix", "lower_ascii", "put_file", "remainder", "shared_dir", "table", "text_chunks", "written"]
 
 #: Bytes of text that a Python worker unpacks at once; a longer single text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20

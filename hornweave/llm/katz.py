@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, release_shuffles, text_chunks, written
+from .common import release_memory, text_chunks, written
 from .hashing import mix, word_hashes
 
 
@@ -53,7 +53,7 @@ class KatzParams:
     order: int = 3
     #: Counts above this aren't discounted.
     k: int = 5
-    chunk_bytes: int = 6 << 20
+    chunk_bytes: int = 8 << 20
     #: Tokens for each partition of the count tables.
     partition_tokens: int = 2_000_000
     #: A context seen more often is dealt over several partitions, one for about this many tokens.
@@ -616,14 +616,12 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = int(-(-tokens // p.partition_tokens) or 1)
     words = written(_count_words(_send_words(chunks, parts), parts, p.k), "katz_words")
-    release_shuffles(docs.sparkSession)
     total, types, *counts = _totals(words, p.k + 3)
     model = Model(Unigrams(total, types, counts, p.k), [])
     for_chunk = ("kind", "chunk", "dest", "payload")
     answers = words.where("kind = '1'").select(*for_chunk)
     for length in range(2, p.order + 1):
         counted = written(_count(_send(chunks, answers, length, parts, model, p), length, parts, model, p), f"katz_level_{length}")
-        release_shuffles(docs.sparkSession)
-        model = Model(model.unigrams, [*model.d, discounts(_totals(counted, p.k + 1), p.k)])
+            model = Model(model.unigrams, [*model.d, discounts(_totals(counted, p.k + 1), p.k)])
         answers = answers.unionAll(counted.where(F.col("kind") == str(length)).select(*for_chunk)).unionAll(_add_up(counted, length, p.k).select(*for_chunk))
     return _score(chunks, answers, parts, model, p)

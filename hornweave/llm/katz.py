@@ -96,12 +96,6 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
-def coded(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, and the place of each one's."""
-    distinct, place = np.unique(a, return_inverse=True)
-    return distinct, small(place)
-
-
 def steps(a: np.ndarray) -> np.ndarray:
     """Differences of neighbours, the first from zero; np.cumsum() undoes it."""
     return small(np.diff(a, prepend=a.dtype.type(0)))
@@ -251,7 +245,7 @@ class Chunk:
     def word_order(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Local words in the order in which they are sent: (places, partitions that get some, where each begins)."""
         dest = ((self.words >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
-        return _grouped(np.argsort(dest, kind="stable"), dest)
+        return _grouped(np.lexsort((self.words, dest)), dest)
 
     def levels(self, order: int) -> list[Level]:
         """Sequences of two words, three words and so on."""
@@ -367,7 +361,7 @@ def _send_words(chunks: DataFrame, parts: int) -> DataFrame:
                 c = Chunk(r["trains"], r["arrays"])
                 order, dests, begins = c.word_order(parts)
                 words, counts = c.words[order], c.word_counts()[order]
-                rows = [("1", r["chunk"], d, pack(words[s], small(counts[s])), None) for d, s in zip(dests.tolist(), _slices(begins, len(order)), strict=True)]
+                rows = [("1", r["chunk"], d, pack(np.diff(words[s], prepend=np.uint64(0)), small(counts[s])), None) for d, s in zip(dests.tolist(), _slices(begins, len(order)), strict=True)]
                 yield from _messages(rows).to_batches()
 
     return chunks.select("chunk", "trains", "arrays").mapInArrow(run, MESSAGE)
@@ -380,7 +374,7 @@ def _count_words(sent: DataFrame, parts: int, k: int) -> DataFrame:
         rows = rows.sort_by("chunk")
         dest = rows.column("dest")[0].as_py()
         got = [unpack(x) for x in rows.column("payload").to_pylist()]
-        words, place = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        words, place = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([g[1] for g in got]), minlength=len(words)).astype(np.int64)
         sole = np.bincount(place, minlength=len(words)) == 1
         out, at = [], 0
@@ -418,15 +412,12 @@ def _known_words(c: Chunk, rows: pa.Table, parts: int, unigrams: Unigrams) -> Kn
     return Known(count, number, sole, np.log10(unigrams.p(count)), np.zeros(0))
 
 
-def _lower(count: np.ndarray, scale: np.ndarray | None, length: int, model: Model) -> np.ndarray:
-    """Probability of a seen sequence's last word without its first one, from that shorter sequence's count and its context's scale."""
-    return model.unigrams.p(count) if length == 2 else discounted(count, model.d[length - 3]) * scale
+def _lower(count: np.ndarray, length: int, model: Model) -> np.ndarray:
+    """Probability of a seen sequence's last word without its first one, but for the scale of that shorter sequence's context, from the shorter sequence's count.
 
-
-def _shorter(levels: list[Level], length: int, below: Known) -> tuple[np.ndarray, np.ndarray | None]:
-    """What _lower() takes, for every sequence of a level."""
-    shorter = levels[length - 2].shorter
-    return below.count[shorter], None if length == 2 else below.scale[levels[length - 3].context[shorter]]
+    All successors of a context share that scale, so sums don't need it before they are used.
+    """
+    return model.unigrams.p(count) if length == 2 else discounted(count, model.d[length - 3])
 
 
 def _known(levels: list[Level], length: int, words: Known, below: Known, rows: pa.Table, parts: int, model: Model, p: KatzParams) -> Known:
@@ -439,7 +430,7 @@ def _known(levels: list[Level], length: int, words: Known, below: Known, rows: p
     own = below.sole[level.context] & (below.count[level.context] > 0)
     seen = own & (count > 0)
     sums = np.stack(_successor_sums(level.context[seen], count[seen], contexts, k))
-    lower = np.bincount(level.context[seen], weights=_lower(*_shorter(levels, length, below), length, model)[seen], minlength=contexts)
+    lower = np.bincount(level.context[seen], weights=_lower(below.count[level.shorter[seen]], length, model), minlength=contexts)
     for dest, s, g in zip(send.dests.tolist(), _slices(send.begins, len(send.rows)), _answers(rows, str(length)), strict=True):
         at = send.rows[s]
         count[at] = g[0]
@@ -455,6 +446,8 @@ def _known(levels: list[Level], length: int, words: Known, below: Known, rows: p
         for i in range(k + 1):
             sums[i][send.wide[s]] = g[i]
         lower[send.wide[s]] = g[k + 1]
+    if length > 2:
+        lower = lower * below.scale[levels[length - 3].shorter]
     total = below.count.astype(float)
     mass = sum(d[r] * r * sums[r - 1] for r in range(1, k + 1)) + sums[k]
     alpha, factor = weights(total, mass, lower)
@@ -485,7 +478,7 @@ def _send(chunks: DataFrame, answers: DataFrame, length: int, parts: int, model:
         known = _all_known(c, levels, rows, parts, model, p)
         level, words, below = levels[-1], known[0], known[-1]
         send = Sending(level, words, below, parts, p)
-        low, scale = _shorter(levels, length, below)
+        low = below.count[level.shorter]
         out = []
         for dest, s in zip(send.dests.tolist(), _slices(send.begins, len(send.rows)), strict=True):
             at = send.rows[s]
@@ -500,7 +493,7 @@ def _send(chunks: DataFrame, answers: DataFrame, length: int, parts: int, model:
                 info[place] = low[at]
             payload = pack(
                 steps(below.number[v[first]]), small(np.diff(np.append(first, len(v)))), asks.astype(np.int8), steps(distinct), small(place),
-                small(trained), info, (below.count[v[first]] > p.context_tokens).astype(np.int8), *(coded(scale[at][first]) if length > 2 else ()),
+                small(trained), info, (below.count[v[first]] > p.context_tokens).astype(np.int8),
             )
             out.append((str(length), chunk, dest, payload, None))
         for dest, s in zip(send.wide_dests.tolist(), _slices(send.wide_begins, len(send.wide)), strict=True):
@@ -532,11 +525,9 @@ def _count(sent: DataFrame, length: int, parts: int, model: Model, p: KatzParams
         key, place = np.unique((of_context << 40) | np.concatenate(numbers), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([g[5] for g in got]), minlength=len(key)).astype(np.int64)
         sole = np.bincount(place, minlength=len(key)) == 1
-        low, scale = np.zeros(len(key), dtype=np.int64), np.zeros(len(key))
+        low = np.zeros(len(key), dtype=np.int64)
         low[place] = np.concatenate([g[6][g[4]] if length == 2 else g[6] for g in got])
-        if length > 2:
-            scale[place] = np.concatenate([np.repeat(g[8][g[9]], g[1]) for g in got])
-        info = _lower(low, scale, length, model)
+        info = _lower(low, length, model)
         seen = counts > 0
         owner = (key >> 40)[seen]
         sums = _successor_sums(owner, counts[seen], len(context), k)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, text_chunks, written
+from .common import discard, release_memory, text_chunks, written
 from .hashing import mix, word_hashes
 
 
@@ -264,15 +264,17 @@ class Chunk:
         begins[self.starts] = True
         lower, out = word, []
         for length in range(2, order + 1):
-            context = np.concatenate([[-1], lower[:-1]]) if total else lower
+            context = np.concatenate([[-1], lower[:-1]]).astype(np.int64) if total else lower
             context[begins] = n - 1 - 1 if length == 2 else -1
             at = np.flatnonzero(context >= 0)
             key, place = np.unique(context[at] * n + word[at], return_inverse=True)
-            of_token = np.full(total, -1, dtype=np.int64)
+            # places within a chunk: 32 bits do
+            of_token = np.full(total, -1, dtype=np.int32)
             of_token[at] = place
-            shorter = np.zeros(len(key), dtype=np.int64)
+            shorter = np.zeros(len(key), dtype=np.int32)
             shorter[place] = lower[at]
-            out.append(Level(key // n, key % n, shorter, np.bincount(place[trained[at]], minlength=len(key)), of_token))
+            uses = np.bincount(place[trained[at]], minlength=len(key)).astype(np.int32)
+            out.append(Level((key // n).astype(np.int32), (key % n).astype(np.int32), shorter, uses, of_token))
             lower = of_token
         return out
 
@@ -429,27 +431,25 @@ def _known(levels: list[Level], length: int, words: Known, below: Known, rows: p
     contexts = len(below.count)
     own = below.sole[level.context] & (below.count[level.context] > 0)
     seen = own & (count > 0)
-    sums = np.stack(_successor_sums(level.context[seen], count[seen], contexts, k))
+    mass = np.bincount(level.context[seen], weights=discounted(count[seen], d), minlength=contexts)
+    of_sums = lambda g: sum(d[r] * r * g[r - 1] for r in range(1, k + 1)) + g[k]
     lower = np.bincount(level.context[seen], weights=_lower(below.count[level.shorter[seen]], length, model), minlength=contexts)
     for dest, s, g in zip(send.dests.tolist(), _slices(send.begins, len(send.rows)), _answers(rows, str(length)), strict=True):
         at = send.rows[s]
         count[at] = g[0]
         if length < p.order:
             sole[at] = g[1]
-            number[at] = np.cumsum(g[2], dtype=np.int64) * parts + dest
+            number[at[g[1] == 0]] = np.cumsum(g[2], dtype=np.int64) * parts + dest
         v = level.context[at]
         v = v[_runs(v)]
-        for i in range(k + 1):
-            sums[i][v] = g[3 + i]
+        mass[v] = of_sums(g[3:])
         lower[v[g[4 + k].astype(np.int64)]] = g[5 + k]
     for s, g in zip(_slices(send.wide_begins, len(send.wide)), _answers(rows, f"{length}s"), strict=True):
-        for i in range(k + 1):
-            sums[i][send.wide[s]] = g[i]
+        mass[send.wide[s]] = of_sums(g)
         lower[send.wide[s]] = g[k + 1]
     if length > 2:
         lower = lower * below.scale[levels[length - 3].shorter]
     total = below.count.astype(float)
-    mass = sum(d[r] * r * sums[r - 1] for r in range(1, k + 1)) + sums[k]
     alpha, factor = weights(total, mass, lower)
     scale = factor / np.maximum(total, 1)
     with np.errstate(divide="ignore"):
@@ -536,7 +536,7 @@ def _count(sent: DataFrame, length: int, parts: int, model: Model, p: KatzParams
         for chunk, g in zip(rows.column("chunk").to_pylist(), got, strict=True):
             mine, v = place[at : at + len(g[4])], run_place[run_at : run_at + len(g[0])]
             asks = np.flatnonzero(g[2])
-            more = (np.zeros(0, np.int8), np.zeros(0, np.int8)) if last else (sole[mine].astype(np.int8), steps(mine))
+            more = (np.zeros(0, np.int8), np.zeros(0, np.int8)) if last else (sole[mine].astype(np.int8), steps(mine[~sole[mine]]))
             out.append((str(length), chunk, dest, pack(small(counts[mine]), *more, *[small(x[v]) for x in sums], small(asks), lower[v[asks]]), None))
             at, run_at = at + len(mine), run_at + len(v)
         wide = np.unique(run_place[np.concatenate([g[7] for g in got]).astype(bool)])
@@ -612,7 +612,9 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     for_chunk = ("kind", "chunk", "dest", "payload")
     answers = words.where("kind = '1'").select(*for_chunk)
     for length in range(2, p.order + 1):
-        counted = written(_count(_send(chunks, answers, length, parts, model, p), length, parts, model, p), f"katz_level_{length}")
+        sent = written(_send(chunks, answers, length, parts, model, p), f"katz_sent_{length}")
+        counted = written(_count(sent, length, parts, model, p), f"katz_level_{length}")
+        discard(sent)
         model = Model(model.unigrams, [*model.d, discounts(_totals(counted, p.k + 1), p.k)])
         answers = answers.unionAll(counted.where(F.col("kind") == str(length)).select(*for_chunk)).unionAll(_add_up(counted, length, p.k).select(*for_chunk))
     return _score(chunks, answers, parts, model, p)

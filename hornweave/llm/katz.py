@@ -179,7 +179,7 @@ def chunks_of(docs: DataFrame, p: KatzParams) -> DataFrame:
             distinct, tokens = distinct[by_count], place[tokens]
             row = {
                 "chunk": [number], "n_tokens": [len(words) + len(texts)], "doc_id": [t.column("doc_id").to_pylist()], "held_out": [t.column("held_out").to_pylist()],
-                "trains": [t.column("trains").to_pylist()], "arrays": [pack(np.diff(offsets).astype(np.int32), distinct, tokens.astype(np.int32))],
+                "trains": [t.column("trains").to_pylist()], "arrays": [pack(np.diff(offsets).astype(np.int32), np.diff(distinct, prepend=np.uint64(0)), tokens.astype(np.int32))],
             }
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
@@ -232,7 +232,7 @@ class Chunk:
 
     def __init__(self, trains: list[bool], arrays: bytes):
         self.n_words, distinct, self.tokens = unpack(arrays)
-        self.words = np.concatenate([distinct, [BEGIN, END]]).astype(np.uint64)
+        self.words = np.concatenate([np.cumsum(distinct, dtype=np.uint64), [BEGIN, END]]).astype(np.uint64)
         self.trains = np.array(trains, dtype=bool)
 
     def word_counts(self) -> np.ndarray:
@@ -436,7 +436,7 @@ def _known(levels: list[Level], length: int, words: Known, below: Known, rows: p
     lower = np.bincount(level.context[seen], weights=_lower(below.count[level.shorter[seen]], length, model), minlength=contexts)
     for dest, s, g in zip(send.dests.tolist(), _slices(send.begins, len(send.rows)), _answers(rows, str(length)), strict=True):
         at = send.rows[s]
-        count[at] = g[0]
+        count[at] += g[0]
         if length < p.order:
             sole[at] = g[1]
             number[at[g[1] == 0]] = np.cumsum(g[2], dtype=np.int64) * parts + dest
@@ -506,7 +506,7 @@ def _send(chunks: DataFrame, answers: DataFrame, length: int, parts: int, model:
 
 
 def _count(sent: DataFrame, length: int, parts: int, model: Model, p: KatzParams) -> DataFrame:
-    """Answers every sequence sent; sends the sums of contexts dealt over several partitions to the contexts' own partitions."""
+    """Answers how much more often others have every sequence sent; sends the sums of contexts dealt over several partitions to the contexts' own partitions."""
     k, last = p.k, length == p.order
 
     def run(rows: pa.Table) -> pa.Table:
@@ -537,7 +537,7 @@ def _count(sent: DataFrame, length: int, parts: int, model: Model, p: KatzParams
             mine, v = place[at : at + len(g[4])], run_place[run_at : run_at + len(g[0])]
             asks = np.flatnonzero(g[2])
             more = (np.zeros(0, np.int8), np.zeros(0, np.int8)) if last else (sole[mine].astype(np.int8), steps(mine[~sole[mine]]))
-            out.append((str(length), chunk, dest, pack(small(counts[mine]), *more, *[small(x[v]) for x in sums], small(asks), lower[v[asks]]), None))
+            out.append((str(length), chunk, dest, pack(small(counts[mine] - g[5]), *more, *[small(x[v]) for x in sums], small(asks), lower[v[asks]]), None))
             at, run_at = at + len(mine), run_at + len(v)
         wide = np.unique(run_place[np.concatenate([g[7] for g in got]).astype(bool)])
         home = (mix(context[wide].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.relations import inverse
+from ..functions.relations import inverse, is_inverse
 from ..storage import written
 
 
@@ -33,6 +33,15 @@ def is_true(queries: DataFrame, kg: DataFrame) -> DataFrame:
     return queries.join(kg, ["h", "r", "t"], "left_semi")
 
 
+def is_true_either_way(queries: DataFrame, kg: DataFrame) -> DataFrame:
+    """As is_true(), for queries of relations and of their inverses."""
+    turned = is_inverse(F.col("r"))
+    h, t = F.when(turned, F.col("t")).otherwise(F.col("h")), F.when(turned, F.col("h")).otherwise(F.col("t"))
+    asked = queries.select("h", "r", "t", h.alias("__h"), F.when(turned, inverse(F.col("r"))).otherwise(F.col("r")).alias("__r"), t.alias("__t"))
+    known = kg.select(F.col("h").alias("__h"), F.col("r").alias("__r"), F.col("t").alias("__t"))
+    return asked.join(known, ["__h", "__r", "__t"], "left_semi").select("h", "r", "t")
+
+
 def is_false(queries: DataFrame, kg: DataFrame) -> DataFrame:
     return queries.join(kg, ["h", "r", "t"], "left_anti")
 
@@ -53,14 +62,13 @@ def by_entity(kg: DataFrame, entity: str) -> DataFrame:
 
 
 def relation_stats(kg: DataFrame) -> DataFrame:
-    """Triples (loops apart), distinct heads and tails, loops, and whether each head has one tail."""
-    ends = F.count_distinct("h").alias("heads"), F.count_distinct("t").alias("tails")
-    plain = kg.where("h <> t").groupBy("r").agg(F.count("*").alias("triples"), *ends)
-    looped = kg.where("h = t").groupBy("r").agg(F.count("*").alias("loops"))
-    zero = F.lit(0).cast("long")
-    return plain.join(looped, "r", "full").select(
-        "r", *[F.coalesce(c, zero).alias(c) for c in ("triples", "heads", "tails", "loops")]
-    )
+    """Triples (loops apart), distinct heads and tails, loops. Rows are counted at each end of a relation first, so no distinct count is spread out."""
+    n, loops = F.count_if(F.col("h") != F.col("t")), F.count_if(F.col("h") == F.col("t"))
+    at_head = kg.groupBy("r", "h").agg(n.alias("n"), loops.alias("loops")).groupBy("r")
+    at_head = at_head.agg(F.sum("n").alias("triples"), F.count_if(F.col("n") > 0).alias("heads"), F.sum("loops").alias("loops"))
+    at_tail = kg.groupBy("r", "t").agg(n.alias("n")).groupBy("r").agg(F.count_if(F.col("n") > 0).alias("tails"))
+    # a row for each relation
+    return at_head.join(at_tail, "r").select("r", "triples", "heads", "tails", "loops")
 
 
 def functional_relations(kg: DataFrame) -> DataFrame:
@@ -72,6 +80,19 @@ def degree(kg: DataFrame) -> DataFrame:
     return edges(kg).select(F.explode(F.array("h", "t")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def running_total(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before each one in a total order."""
+    own = rows.withColumn("__value", value)
+    placed = own.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "running_total")
+    sums = placed.groupBy("__part").agg(F.sum("__value").alias("s"))
+    base = sums.select("__part", F.coalesce(F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    inside = F.sum("__value").over(Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1))
+    # one row for each range partition
+    rows = placed.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(base), "__part")
+    return rows.withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__part", "__row", "__inside", "__base", "__value")
+
+
 def dictionary(names: DataFrame, column: str, key: str = "id") -> DataFrame:
     """Ids from 1 in name order, without a window over everything.
 
@@ -121,13 +142,17 @@ def random_triples(kg: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
 
 
 def random_entities(kg: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` draws with replacement from the distinct heads, and tails, of each relation: (r, side, draw, entity)."""
+    """``n`` draws with replacement from the distinct heads, and tails, of each relation: (r, side, draw, entity).
+
+    Entities are numbered within relation and side from one numbering of all; a draw's number comes from an md5, so any engine can repeat it.
+    """
     ends = kg.select("r", F.explode(F.array(F.struct(F.lit("head").alias("side"), F.col("h").alias("e")), F.struct(F.lit("tail").alias("side"), F.col("t").alias("e")))).alias("x")).select("r", "x.*").distinct()
-    numbered = ends.withColumn("k", F.row_number().over(Window.partitionBy("r", "side").orderBy("e")) - 1)
-    sizes = ends.groupBy("r", "side").agg(F.count("*").alias("size"))
-    draws = sizes.select("r", "side", "size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
-    draws = draws.withColumn("k", F.pmod(F.xxhash64("r", "side", "draw", F.lit(seed)), F.col("size")))
-    return draws.join(numbered, ["r", "side", "k"]).select("r", "side", "draw", F.col("e").alias("entity"))
+    numbered = running_total(ends, [F.col("r"), F.col("side"), F.col("e")], F.lit(1), "n")
+    sizes = numbered.groupBy("r", "side").agg(F.min("n").alias("first"), F.count("*").alias("size"))
+    draws = sizes.select("r", "side", "first", "size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "r", "side", "draw", F.lit(seed))), 1, 12), 16, 10).cast("long")
+    draws = draws.select("r", "side", "draw", (F.col("first") + F.pmod(number, F.col("size"))).alias("n"))
+    return draws.join(numbered, ["r", "side", "n"]).select("r", "side", "draw", F.col("e").alias("entity"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

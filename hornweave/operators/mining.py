@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.relations import INVERSE, SEPARATOR, inverse
+from ..functions.relations import INVERSE, SEPARATOR
 from ..storage import written
 from .graph import with_inverse
 from .paths import closing_supports, pair_counts
@@ -54,7 +54,7 @@ def overlap_rules(heads: DataFrame, bodies: DataFrame, element: list[str], min_s
 
 def _sized(rows: DataFrame, name: str, element: list[str]) -> DataFrame:
     sizes = rows.groupBy(name).agg(F.count("*").alias(f"{name}_size"))
-    return rows.select(name, *element).join(F.broadcast(sizes), name)  # one row for each relation or relation path
+    return rows.select(name, *element).join(sizes, name)  # small for relations; many for paths, so Spark's own size check decides
 
 
 def binary_rules(edges: DataFrame, min_support: int) -> DataFrame:
@@ -113,21 +113,26 @@ def path_unary_rules(edges: DataFrame, first: str, second: str, min_support: int
     return rows.select("head_relation", "c", "c2", "support", (F.col("full_size") - F.coalesce("lost", F.lit(0))).alias("body_size"))
 
 
+def better_than(gain: float, confidence: str, jaccard: str) -> Column:
+    """Whether a row's confidence and Jaccard similarity beat the given ones, the former by the factor ``gain``."""
+    return (F.col("confidence") > gain * F.col(confidence)) & (F.col("jaccard") > F.col(jaccard))
+
+
 def conjunctive_rules(atoms: DataFrame, rules: DataFrame, min_support: int, gain: float = 1.5) -> DataFrame:
-    """head <- body1, body2 for pairs of rules of one head; kept if the pair's confidence is over ``gain`` times each one's.
+    """head <- body1, body2 for pairs of rules of one head; kept if the pair is better than each one: a confidence over ``gain`` times its, and a larger Jaccard similarity.
 
-    ``rules`` are those to be combined (head, body, confidence).
+    ``rules`` are those to be combined (head, body, head_size, confidence, jaccard).
     """
     elements = atoms.select("atom", "x")
-    a = rules.select("head", F.col("body").alias("body1"), F.col("confidence").alias("conf1"))
-    b = rules.select("head", F.col("body").alias("body2"), F.col("confidence").alias("conf2"))
+    a = rules.select("head", "head_size", F.col("body").alias("body1"), F.col("confidence").alias("conf1"), F.col("jaccard").alias("jac1"))
+    b = rules.select("head", F.col("body").alias("body2"), F.col("confidence").alias("conf2"), F.col("jaccard").alias("jac2"))
     pairs = a.join(b, "head").where("body1 < body2")
     both = pairs.select("body1", "body2").distinct().join(elements.withColumnRenamed("atom", "body1"), "body1").join(elements.withColumnRenamed("atom", "body2"), ["body2", "x"])
     size = both.groupBy("body1", "body2").agg(F.count("*").alias("body_size")).where(F.col("body_size") >= min_support)
     joint = both.join(pairs.select("head", "body1", "body2"), ["body1", "body2"]).join(elements.withColumnRenamed("atom", "head"), ["head", "x"])
     joint = joint.groupBy("head", "body1", "body2").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
-    rows = joint.join(size, ["body1", "body2"]).join(pairs, ["head", "body1", "body2"]).withColumn("confidence", F.col("support") / F.col("body_size"))
-    return rows.where((F.col("confidence") > gain * F.col("conf1")) & (F.col("confidence") > gain * F.col("conf2"))).select("head", "body1", "body2", "support", "body_size", "confidence")
+    rows = metric_columns(joint.join(size, ["body1", "body2"]).join(pairs, ["head", "body1", "body2"]))
+    return rows.where(better_than(gain, "conf1", "jac1") & better_than(gain, "conf2", "jac2")).select("head", "body1", "body2", "support", "body_size", "confidence", "jaccard")
 
 
 # --- min-hash --------------------------------------------------------------------
@@ -164,8 +169,3 @@ def bucket_stats(atoms: DataFrame, bins: int = 256) -> DataFrame:
     info = atoms.select("atom", "kind").distinct()
     buckets = minhash_signatures(atoms, bins).join(info, "atom").groupBy("kind", "bin", "value").agg(F.count("*").alias("n"))
     return buckets.groupBy("kind").agg(F.count("*").alias("buckets"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.avg("n").alias("mean"))
-
-
-def inverse_rule_symmetry(rules: DataFrame) -> DataFrame:
-    """Rules with head and (one-step) body inverted: the same rules in the other direction."""
-    return rules.withColumn("head", inverse(F.col("head"))).withColumn("body", inverse(F.col("body")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import written
+from .graph import running_total
 
 TRIPLE = ["h", "r", "t"]
 
@@ -22,19 +23,6 @@ def shuffled(seed: int) -> Column:
     return F.md5(F.concat_ws("|", "h", "r", "t", F.lit(str(seed))))
 
 
-def running_total(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows before each one in a total order."""
-    own = rows.withColumn("__value", value)
-    placed = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(placed.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "running_total")
-    sums = placed.groupBy("__part").agg(F.sum("__value").alias("s"))
-    base = sums.select("__part", F.coalesce(F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = F.sum("__value").over(Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1))
-    # one row for each range partition
-    rows = placed.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(base), "__part")
-    return rows.withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__part", "__row", "__inside", "__base", "__value")
-
-
 def random_nonoverlap(edges: DataFrame, max_edges: int, seed: int = 2025) -> DataFrame:
     """Consecutive pieces of ``max_edges`` of a shuffled edge list."""
     rows = running_total(edges.select(*TRIPLE), [shuffled(seed)], F.lit(1), "n")

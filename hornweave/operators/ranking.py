@@ -24,20 +24,23 @@ def drop_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.where("candidate = target").unionByName(kept)
 
 
-def zero_candidates(queries: DataFrame, key: str, zero: DataFrame, other: DataFrame, depth: int) -> DataFrame:
+def zero_candidates(queries: DataFrame, key: str | list[str], zero: DataFrame, other: DataFrame, depth: int, by: list[str] | None = None) -> DataFrame:
     """(key, rule, candidate, applied) of those zero rules that can matter within the first ``depth`` positions of each query.
 
-    Every rule of ``zero`` (rule, candidate, applied) fires for every query. A candidate of ``other`` (key, candidate), which
-    further rules give or which is known, gets its own rule; of the rest only the best can be reached: as many as
-    ``depth`` and ``other`` have together, in the order of max_plus() and in that of noisy_or().
+    Every rule of ``zero`` (rule, candidate, applied and the columns ``by``) fires for every query of equal ``by``. A candidate of
+    ``other`` (key, candidate), which further rules give or which is known, gets its own rule; of the rest only the
+    best can be reached: as many as ``depth`` and ``other`` have together, in the order of max_plus() and in that of noisy_or().
     """
-    n = other.groupBy(key).agg(F.count("*").alias("n"))
-    places = queries.join(n, key, "left").select(key, F.explode(F.sequence(F.lit(1), F.coalesce(F.col("n"), F.lit(0)).cast("int") + depth)).alias("place"))
-    found = other.join(queries, key, "left_semi").join(zero, "candidate").select(key, "rule", "candidate", "applied")
+    key, by = [key] if isinstance(key, str) else list(key), by or []
+    own = [*key, *[c for c in by if c not in key]]
+    n = other.groupBy(*key).agg(F.count("*").alias("n"))
+    places = queries.join(n, key, "left").select(*own, F.explode(F.sequence(F.lit(1), F.coalesce(F.col("n"), F.lit(0)).cast("int") + depth)).alias("place"))
+    found = other.join(queries, key).join(zero, [*by, "candidate"]).select(*own, "rule", "candidate", "applied")
     score = F.round(-F.ln(1 - F.least("applied", F.lit(1 - 1e-12))), 9)
+    window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     for order in (F.desc("applied"), F.desc(score)):
-        placed = zero.withColumn("place", F.row_number().over(Window.orderBy(order, "candidate")))  # a row for each constant of one relation
-        found = found.unionByName(places.join(placed, "place").select(key, "rule", "candidate", "applied"))
+        placed = zero.withColumn("place", F.row_number().over(window.orderBy(order, "candidate")))  # a row for each constant of one relation
+        found = found.unionByName(places.join(placed, [*by, "place"]).select(*own, "rule", "candidate", "applied"))
     return found.distinct()
 
 
@@ -101,17 +104,23 @@ def reorder(mine: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def reorder_weighted(mine: DataFrame, other: DataFrame, alpha: float, beta: float) -> DataFrame:
-    """beta * conf * (1 + alpha) / (p + alpha) + (1 - beta) / p', with own position p and the other list's p' (one more than its length if absent)."""
+    """beta * conf * (1 + alpha) / (p + alpha) + (1 - beta) / p, with the position p in the other list (one more than its length if absent)."""
     theirs = other.select(*QUERY, "candidate", F.col("rank").alias("their_rank"))
     sizes = other.groupBy(*QUERY).agg(F.max("rank").alias("their_size"))
     rows = mine.select(*QUERY, "candidate", "rank", "score").join(theirs, [*QUERY, "candidate"], "left").join(sizes, QUERY, "left")
-    p2 = F.coalesce(F.col("their_rank"), F.col("their_size") + 1, F.lit(1))
-    score = F.round(beta * F.col("score") * (1 + alpha) / (F.col("rank") + alpha) + (1 - beta) / p2, 9)
+    p = F.coalesce(F.col("their_rank"), F.col("their_size") + 1, F.lit(1))
+    score = F.round(beta * F.col("score") * (1 + alpha) / (p + alpha) + (1 - beta) / p, 9)
     rows = rows.withColumn("new_score", score)
     order = Window.partitionBy(*QUERY).orderBy(F.desc("new_score"), "rank")
     return rows.withColumn("new_rank", F.row_number().over(order)).select(*QUERY, "candidate", "new_score", "new_rank")
 
 
+def adjust(results: DataFrame) -> DataFrame:
+    """Lists put into the order of their scores, equal ones as they stood: (query, direction, candidate, score, rank)."""
+    order = Window.partitionBy(*QUERY).orderBy(F.desc("score"), "rank", "candidate")
+    return results.select(*QUERY, "candidate", "score", F.row_number().over(order).alias("rank"))
+
+
 def extend(mine: DataFrame, other: DataFrame, k: int, factor: float) -> DataFrame:
     """Both lists together: each candidate's larger of its score and ``factor`` times the other's; top ``k``."""
     scaled = other.select(*QUERY, "candidate", (F.col("score") * factor).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relations import inverse, is_inverse
@@ -13,16 +13,14 @@ from .graph import with_inverse
 
 
 def sample_paths(edges: DataFrame, steps: int, cyclic: bool, per_relation: int, seed: int = 0) -> DataFrame:
-    """(nodes, rels): for each head relation up to ``per_relation`` starting edges (in a hashed order), each continued by every fitting edge.
+    """(nodes, rels): for each head relation in both directions up to ``per_relation`` starting edges (in a hashed order), each continued by every fitting edge.
 
     No relation is followed by its inverse along the same edge; nodes differ, but for the
     last of a cyclic path, which is the first.
     """
-    from pyspark.sql import Window
-
     both = with_inverse(edges)
     order = Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", "h", "t", F.lit(str(seed)))), "h", "t")
-    rows = edges.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_relation)
+    rows = both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_relation)
     rows = rows.select(F.array("h", "t").alias("nodes"), F.array("r").alias("rels"))
     nxt = both.select(F.col("h").alias("at"), F.col("r").alias("new_r"), F.col("t").alias("new"))
     for i in range(1, steps):
@@ -35,10 +33,12 @@ def sample_paths(edges: DataFrame, steps: int, cyclic: bool, per_relation: int,
 
 
 def generalisations(paths: DataFrame) -> DataFrame:
-    """Distinct rules (rule_type, rule) that a path stands for; the first step is the head.
+    """Distinct rules (rule_type, rule) that a path stands for; the first step is the head, with X its forward subject and Y its object.
 
-    A cyclic path gives C and, with constants at both cut ends, two AC1 rules; others give
-    AC1 (last node constant), AC2 (open) and Z. Inverse relations are written forward.
+    A cyclic path gives C, and two AC1 rules: with Y's node constant in the head and the chain's end (an X-rule, the
+    chain walked from X), and with X's node (a Y-rule). Another path, whose steps after the head leave its second
+    node, gives the AC1 rule with the last node constant, AC2 with it open, and Z. A head walked backwards has X and
+    Y exchanged. Inverse relations are written forward.
     """
     n = F.size("rels")
     cyclic = F.col("nodes")[0] == F.element_at("nodes", -1)
@@ -46,32 +46,47 @@ def generalisations(paths: DataFrame) -> DataFrame:
     def atom(r, a, b):
         return F.when(is_inverse(r), F.concat(inverse(r), F.lit("("), b, F.lit(","), a, F.lit(")"))).otherwise(F.concat(r, F.lit("("), a, F.lit(","), b, F.lit(")")))
 
-    def body(start: str, end):
-        """Steps after the head's, from its tail."""
-        def one(i):
-            a = F.when(i == 1, F.lit(start)).otherwise(F.char(F.lit(64) + i - 1))
-            b = F.when(i == n - 1, end).otherwise(F.char(F.lit(64) + i))
-            return atom(F.get("rels", i), a, b)
-        return F.array_join(F.transform(F.sequence(F.lit(1), n - 1), one), ", ")
-
-    head_rel, first, last = F.col("rels")[0], F.col("nodes")[0], F.element_at("nodes", -1)
-    rule = lambda head, b: F.concat(head, F.lit(" <= "), b)
+    def body(start, end, back=False):
+        """Steps after the head's, from its second node; ``back`` walks them from the last one, from the head's first node."""
+        def one(k):
+            i = n - k if back else k
+            r = inverse(F.get("rels", i)) if back else F.get("rels", i)
+            a = F.when(k == 1, start).otherwise(F.char(F.lit(64) + k - 1))
+            b = F.when(k == n - 1, end).otherwise(F.char(F.lit(64) + k))
+            return atom(r, a, b)
+        return F.when(n > 1, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), one), ", ")).otherwise("")
+
+    r0, first, second, last = F.col("rels")[0], F.col("nodes")[0], F.col("nodes")[1], F.element_at("nodes", -1)
+    turned = is_inverse(r0)
+    # the names of the head's nodes in the order walked
+    name1, name2 = F.when(turned, "Y").otherwise("X"), F.when(turned, "X").otherwise("Y")
+    rule = lambda kind, head, b: F.struct(F.lit(kind).alias("rule_type"), F.concat(head, F.lit(" <= "), b).alias("rule"))
     open_end = F.char(F.lit(64) + n - 1)
-    y_head, x_const = atom(head_rel, F.lit("X"), F.lit("Y")), atom(head_rel, first, F.lit("Y"))
     options = F.array(
-        F.when(cyclic, F.struct(F.lit("C").alias("rule_type"), rule(y_head, body("Y", F.lit("X"))).alias("rule"))),
-        F.struct(F.lit("AC1").alias("rule_type"), rule(x_const, body("Y", last)).alias("rule")),
-        F.when(~cyclic, F.struct(F.lit("AC2").alias("rule_type"), rule(x_const, body("Y", open_end)).alias("rule"))),
-        F.when(~cyclic, F.struct(F.lit("Z").alias("rule_type"), F.concat(x_const, F.lit(" <= ")).alias("rule"))),
+        # the chain from X to Y, whichever way the head was walked
+        F.when(cyclic, rule("C", atom(r0, name1, name2), F.when(turned, body(F.lit("X"), F.lit("Y"))).otherwise(body(F.lit("X"), F.lit("Y"), back=True)))),
+        F.when(cyclic, rule("AC1", atom(r0, name1, second), body(name1, second, back=True))),
+        F.when(cyclic, rule("AC1", atom(r0, first, name2), body(name2, first))),
+        F.when(~cyclic & (n > 1), rule("AC1", atom(r0, first, name2), body(name2, last))),
+        F.when(~cyclic & (n > 1), rule("AC2", atom(r0, first, name2), body(name2, open_end))),
+        F.when(~cyclic, rule("Z", atom(r0, first, name2), F.lit(""))),
+        F.when(n == 1, rule("Z", atom(r0, name1, second), F.lit(""))),
     )
-    return paths.where(n > 1).select(F.inline(F.filter(options, lambda x: x.isNotNull()))).distinct()
+    return paths.where("nodes[0] <> nodes[1]").select(F.inline(F.filter(options, lambda x: x.isNotNull()))).distinct()
+
+
+def gain(kind: int) -> Column:
+    """What a rule earns, from its correct predictions, confidence, applied confidence and length (correct, confidence, applied, body_size).
+
+    1 correct; 2 correct x confidence; 3 correct x applied; 4 correct x applied squared; 5 correct x applied, halved for each step after the first.
+    """
+    c, p, a, n = F.col("correct").cast("double"), F.col("confidence"), F.col("applied"), F.col("body_size")
+    return {1: c, 2: c * p, 3: c * a, 4: c * a * a, 5: c * a * F.pow(F.lit(0.5), n - 1)}[kind]
 
 
 def reward(scored: DataFrame, kind: int = 5) -> DataFrame:
-    """Gain of each rule type: 1 correct, 2 correct x confidence, 3 the same over 2^length, 4 the square, 5 confidence over correct predictions weighted by length."""
-    c, p, n = F.col("correct"), F.col("confidence"), F.col("body_size")
-    gain = {1: c.cast("double"), 2: c * p, 3: c * p / F.pow(F.lit(2.0), n - 1), 4: c * p * p, 5: c * p / n}[kind]
-    return scored.groupBy("rule_type").agg(F.round(F.sum(gain), 9).alias("gain"), F.count("*").alias("rules"))
+    """Total gain of each rule type."""
+    return scored.groupBy("rule_type").agg(F.round(F.sum(gain(kind)), 9).alias("gain"), F.count("*").alias("rules"))
 
 
 @dataclass

@@ -12,7 +12,7 @@ from ..functions import relations as fn
 from ..operators import graph, merging, mining, partitioning, paths, ranking, scoring, walking
 from ..sources import rules as rule_files
 from ..sources import results, sinks
-from ..sources.triples import RELATIONS, kg_sql, star_schema_kg
+from ..sources.triples import RELATIONS, kg_sql, stored_kg
 from . import rule_query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ BOTH = "dirs AS (SELECT h, r, t FROM edges UNION ALL SELECT t, 'INVERSE_' || r,
 
 
 def kg(spark: SparkSession, d: str, *relations: str) -> DataFrame:
-    return star_schema_kg(spark, d, relations or None)
+    return stored_kg(spark, d, relations or None)
 
 
 def edges(spark: SparkSession, d: str, *relations: str) -> DataFrame:
@@ -114,14 +114,14 @@ def lookup_entity(spark, d):
     return graph.by_entity(kg(spark, d, "custNation", "suppNation", "inRegion", "hosts"), "N5")
 
 
-@query(cte("returnedPart", "hasPart") + "SELECT h, r, t FROM edges WHERE r = 'hasPart' AND EXISTS (SELECT 1 FROM edges b WHERE b.r = 'returnedPart' AND b.h = edges.h AND b.t = edges.t)")
+@query(cte("returnedPart", "hasPart") + "SELECT h, r, t FROM edges a SEMI JOIN (SELECT h, t FROM edges WHERE r = 'returnedPart') b USING (h, t) WHERE a.r = 'hasPart'")
 def is_true_semi(spark, d):
     e = edges(spark, d, "returnedPart", "hasPart")
     asked = e.where("r = 'returnedPart'").withColumn("r", F.lit("hasPart"))
     return graph.is_true(asked, e.where("r = 'hasPart'"))
 
 
-@query(cte("returnedPart", "hasPart") + "SELECT h, 'returnedPart' AS r, t FROM edges WHERE r = 'hasPart' AND NOT EXISTS (SELECT 1 FROM edges b WHERE b.r = 'returnedPart' AND b.h = edges.h AND b.t = edges.t)")
+@query(cte("returnedPart", "hasPart") + "SELECT h, 'returnedPart' AS r, t FROM edges a ANTI JOIN (SELECT h, t FROM edges WHERE r = 'returnedPart') b USING (h, t) WHERE a.r = 'hasPart'")
 def known_anti(spark, d):
     e = edges(spark, d, "returnedPart", "hasPart")
     return graph.is_false(e.where("r = 'hasPart'").withColumn("r", F.lit("returnedPart")), e)
@@ -292,18 +292,18 @@ def rules_unary_path(spark, d):
     return mining.path_unary_rules(edges(spark, d, "placedBy", "custNation", "priority", "status", "custSegment"), "placedBy", "custNation", MIN_SUPPORT)
 
 
-CONJ = ("custNation", "custSegment", "custRegion")
+CONJ = ("custNation", "custSegment", "custRegion", "suppNation", "suppRegion", "brand", "ptype")
 
 
-@query(cte(*CONJ, more=ATOMS + """, one AS (SELECT a.atom AS head, b.atom AS body, count(*) / cast(b.size AS DOUBLE) AS confidence FROM heads a JOIN atoms b USING (x) WHERE a.atom <> b.atom AND b.kind = 'const' GROUP BY a.atom, b.atom, b.size HAVING count(*) >= 10),
-  pairs AS (SELECT a.head, a.body AS body1, b.body AS body2, a.confidence AS conf1, b.confidence AS conf2 FROM one a JOIN one b ON a.head = b.head AND a.body < b.body),
+@query(cte(*CONJ, more=ATOMS + """, one AS (SELECT a.atom AS head, b.atom AS body, a.size AS head_size, count(*) / cast(b.size AS DOUBLE) AS confidence, count(*) / cast(a.size + b.size - count(*) AS DOUBLE) AS jaccard FROM heads a JOIN atoms b USING (x) WHERE a.atom <> b.atom AND b.kind = 'const' GROUP BY a.atom, b.atom, a.size, b.size HAVING count(*) >= 10),
+  pairs AS (SELECT a.head, a.head_size, a.body AS body1, b.body AS body2, a.confidence AS conf1, b.confidence AS conf2, a.jaccard AS jac1, b.jaccard AS jac2 FROM one a JOIN one b ON a.head = b.head AND a.body < b.body),
   shared AS (SELECT p.body1, p.body2, a.x FROM (SELECT DISTINCT body1, body2 FROM pairs) p JOIN atoms a ON a.atom = p.body1 JOIN atoms b ON b.atom = p.body2 AND a.x = b.x),
   sz AS (SELECT body1, body2, count(*) AS body_size FROM shared GROUP BY ALL HAVING count(*) >= 10),
-  jt AS (SELECT p.head, p.body1, p.body2, p.conf1, p.conf2, count(*) AS support FROM pairs p JOIN shared s USING (body1, body2) JOIN atoms h ON h.atom = p.head AND h.x = s.x GROUP BY ALL HAVING count(*) >= 10)""") + "SELECT head, body1, body2, support, body_size, support / cast(body_size AS DOUBLE) AS confidence FROM jt JOIN sz USING (body1, body2) WHERE support / cast(body_size AS DOUBLE) > 1.1 * conf1 AND support / cast(body_size AS DOUBLE) > 1.1 * conf2")
+  jt AS (SELECT p.head, p.head_size, p.body1, p.body2, p.conf1, p.conf2, p.jac1, p.jac2, count(*) AS support FROM pairs p JOIN shared s USING (body1, body2) JOIN atoms h ON h.atom = p.head AND h.x = s.x GROUP BY ALL HAVING count(*) >= 10)""") + "SELECT head, body1, body2, support, body_size, confidence, jaccard FROM (SELECT *, support / cast(body_size AS DOUBLE) AS confidence, support / cast(head_size + body_size - support AS DOUBLE) AS jaccard FROM jt JOIN sz USING (body1, body2)) WHERE confidence > 1.5::DOUBLE * greatest(conf1, conf2) AND jaccard > greatest(jac1, jac2)")
 def rules_conjunctive(spark, d):
     k = kg(spark, d, *CONJ)
     atoms = mining.unary_atoms(k.where("h <> t"), graph.loops(k), MIN_SUPPORT)
-    return mining.conjunctive_rules(atoms, mining.unary_rules(atoms, MIN_SUPPORT, ("const",)), MIN_SUPPORT, 1.1)
+    return mining.conjunctive_rules(atoms, mining.unary_rules(atoms, MIN_SUPPORT, ("const",)), MIN_SUPPORT)
 
 
 @query()
@@ -546,7 +546,7 @@ def resultset_reorder(spark, d, zeros=BEST_ZEROS):
     return ranking.reorder(mine, other).select("query", "candidate", F.col("new_rank").cast("long").alias("new_rank"), F.round("score", 9).alias("score"))
 
 
-@query(cte(*CYCLE_RELATIONS, more=LISTS + ", s AS (SELECT query, max(rank) AS n FROM b GROUP BY query), w AS (SELECT a.query, a.candidate, a.rank, round(0.7::DOUBLE * a.score * 3 / (a.rank + 2) + 0.3::DOUBLE / coalesce(b.rank, n + 1, 1), 9) AS new_score FROM a LEFT JOIN b ON a.query = b.query AND a.candidate = b.candidate LEFT JOIN s ON s.query = a.query)") + "SELECT query, candidate, round(new_score, 7) AS new_score FROM w")
+@query(cte(*CYCLE_RELATIONS, more=LISTS + ", s AS (SELECT query, max(rank) AS n FROM b GROUP BY query), w AS (SELECT a.query, a.candidate, a.rank, round(0.7::DOUBLE * a.score * 3 / (coalesce(b.rank, n + 1, 1) + 2) + 0.3::DOUBLE / coalesce(b.rank, n + 1, 1), 9) AS new_score FROM a LEFT JOIN b ON a.query = b.query AND a.candidate = b.candidate LEFT JOIN s ON s.query = a.query)") + "SELECT query, candidate, round(new_score, 7) AS new_score FROM w")
 def resultset_reorder_weighted(spark, d, zeros=BEST_ZEROS):
     mine, other = _two_lists(spark, d, zeros)
     return ranking.reorder_weighted(mine, other, 2.0, 0.7).select("query", "candidate", F.round("new_score", 7).alias("new_score"))

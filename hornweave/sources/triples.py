@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import application_dir
+
 INVERSE = "INVERSE_"
 
 
@@ -94,6 +97,28 @@ def kg_sql(relations: tuple[str, ...] | list[str] | None = None) -> str:
     return "\nUNION ALL ".join(RELATIONS[r].sql(r) for r in relations or RELATIONS)
 
 
+#: Relations of a folder that this application has stored already: {(application, folder): names}.
+_STORED: dict[tuple[str, str], set[str]] = {}
+
+
+def stored_kg(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+    """star_schema_kg(), kept as a table by relation in the shared folder.
+
+    A relation is projected from the star schema when an application first asks for it; from
+    then on a plan has one scan for all its relations, pruned to their folders.
+    """
+    wanted = list(relations or RELATIONS)
+    key = f"{spark.sparkContext.applicationId}", sf_dir
+    root = f"{application_dir(spark)}/kg-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    have = _STORED.setdefault(key, set())
+    missing = [r for r in wanted if r not in have]
+    if missing:
+        star_schema_kg(spark, sf_dir, missing).write.mode("append").partitionBy("r").parquet(root)
+        have.update(missing)
+    found = spark.read.schema("h string, t string, r string").option("basePath", root)
+    return found.parquet(*[f"{root}/r={r}" for r in wanted]).select("h", "r", "t")
+
+
 def star_schema_kg(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | list[str] | None = None) -> DataFrame:
     """The knowledge graph (h, r, t) over the driver's tables."""
     sql = kg_sql(relations)

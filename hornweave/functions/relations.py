@@ -19,6 +19,11 @@ def inverse(r: Column) -> Column:
     return F.when(is_inverse(r), F.substr(r, F.lit(len(INVERSE) + 1))).otherwise(F.concat(F.lit(INVERSE), r))
 
 
+def flip(relation: str) -> str:
+    """inverse() of a name."""
+    return relation.removeprefix(INVERSE) if relation.startswith(INVERSE) else INVERSE + relation
+
+
 def path_inverse(path: Column) -> Column:
     """array<string>: reversed, every relation inverted."""
     return F.transform(F.reverse(path), inverse)
@@ -48,6 +53,23 @@ def path_length(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(SEPARATOR), F.lit(""))) + 1
 
 
+def path_first(path: Column) -> Column:
+    return F.get(path, F.lit(0))
+
+
+def path_last(path: Column) -> Column:
+    return F.try_element_at(path, F.lit(-1))
+
+
+def path_rest(path: Column) -> Column:
+    """Without the first relation."""
+    return F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
+
+
+def path_connect(head: Column, tail: Column) -> Column:
+    return F.concat(head, tail)
+
+
 BITS = 15
 
 

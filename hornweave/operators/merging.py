@@ -55,6 +55,20 @@ def first_of_class(rules: DataFrame, klass: str, n: int) -> DataFrame:
     return rules.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
 
 
+def sample_rules(rules: DataFrame, each: int = 3, most: int = 10) -> DataFrame:
+    """Rules to show, of (head, body, level, arity, confidence, support): ``each`` of the binary ones of level L1 and of L2, binary ones up to ``most`` with what follows, and ``most`` unary ones."""
+    best = [F.desc("confidence"), F.desc("support"), "head", "body"]
+    rows = rules.withColumn("k", F.row_number().over(Window.partitionBy("arity", "level").orderBy(*best)))
+    first = F.when((F.col("arity") == "binary") & F.col("level").isin("L1", "L2") & (F.col("k") <= each), 0).otherwise(1)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("arity").orderBy(first, F.when(F.col("arity") == "binary", F.col("level")), *best)))
+    return rows.where(F.col("place") <= most).drop("k")
+
+
+def level_counts(rules: DataFrame) -> DataFrame:
+    """Rules by level (L0 for an empty body, L1, L2, ...) and arity."""
+    return rules.groupBy("level", "arity").agg(F.count("*").alias("rules"))
+
+
 def best_of(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:
     """Names of the largest and smallest value in each group."""
     return rows.groupBy(by).agg(F.max_by(name, F.struct(value, name)).alias("best"), F.min_by(name, F.struct(value, name)).alias("worst"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relations import INVERSE, SEPARATOR
@@ -164,6 +164,14 @@ def lsh_candidates(atoms: DataFrame, min_support: int, bins: int = 256, ratio: f
     return pairs.where(F.col("estimate") >= ratio * min_support).select("head", "body", "collisions", "estimate")
 
 
+def largest_buckets(atoms: DataFrame, most: int = 10, bins: int = 256) -> DataFrame:
+    """The ``most`` largest min-hash buckets of each kind of atom: (kind, place, n)."""
+    info = atoms.select("atom", "kind").distinct()
+    buckets = minhash_signatures(atoms, bins).join(info, "atom").groupBy("kind", "bin", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("kind").orderBy(F.desc("n"), "bin", "value")
+    return buckets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("kind", "place", "n")
+
+
 def bucket_stats(atoms: DataFrame, bins: int = 256) -> DataFrame:
     """Number and sizes of min-hash buckets by kind of atom."""
     info = atoms.select("atom", "kind").distinct()

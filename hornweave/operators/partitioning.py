@@ -75,22 +75,22 @@ def degrees(edges: DataFrame) -> DataFrame:
 def hub_replication(edges: DataFrame, max_edges: int, threshold: float = 50, seed: int = 2025, tries: int = 20) -> DataFrame:
     """Edges at hubs go to every part, the others into shuffled pieces.
 
-    The degree threshold grows by a fifth and one until hub edges leave room; after
-    ``tries`` the parts are random.
+    The degree threshold grows by a fifth and one until hub edges leave room; after ``tries`` the parts are random. An
+    edge is at a hub if the larger degree of its ends reaches the threshold, so one pass counts for all thresholds.
     """
-    degree = written(degrees(edges), "degrees")
-    total = edges.count()
-    for _ in range(tries):
-        hubs = degree.where(F.col("degree") >= threshold).select("node")
-        marked = edges.select(*TRIPLE).join(hubs.withColumnRenamed("node", "h").withColumn("a", F.lit(1)), "h", "left").join(hubs.withColumnRenamed("node", "t").withColumn("b", F.lit(1)), "t", "left")
-        marked = marked.select(*TRIPLE, F.coalesce("a", "b").isNotNull().alias("hub"))
-        n_hub = marked.where("hub").count()
+    degree = degrees(edges)
+    marked = edges.select(*TRIPLE).join(degree.select(F.col("node").alias("h"), F.col("degree").alias("dh")), "h").join(degree.select(F.col("node").alias("t"), F.col("degree").alias("dt")), "t")
+    marked = written(marked.select(*TRIPLE, F.greatest("dh", "dt").alias("degree")), "hub_degrees")
+    thresholds = [float(threshold)]
+    while len(thresholds) < tries:
+        thresholds.append(thresholds[-1] * 1.2 + 1)
+    total, *hubs = marked.agg(F.count("*"), *[F.count_if(F.col("degree") >= x) for x in thresholds]).first()
+    for limit, n_hub in zip(thresholds, hubs, strict=True):
         if n_hub < max_edges:
             parts = max(1, math.ceil((total - n_hub) / (max_edges - n_hub)))
-            rest = random_nonoverlap(marked.where("not hub"), max_edges - n_hub, seed)
-            copies = marked.where("hub").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part_id"), *TRIPLE)
+            rest = random_nonoverlap(marked.where(F.col("degree") < limit), max_edges - n_hub, seed)
+            copies = marked.where(F.col("degree") >= limit).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part_id"), *TRIPLE)
             return rest.unionAll(copies)
-        threshold = threshold * 1.2 + 1
     return random_nonoverlap(edges, max_edges, seed)
 
 
@@ -133,36 +133,73 @@ def communities(edges: DataFrame, max_edges: int, sweeps: int = 5) -> DataFrame:
     """Label propagation, then communities (an edge follows its head) laid one after another, largest first, and cut into parts."""
     rows = edges.select(*TRIPLE).join(propagate_labels(edges, sweeps).select(F.col("node").alias("h"), "label"), "h")
     size = rows.groupBy("label").agg(F.count("*").alias("n"))
-    laid = running_total(size, [F.desc("n"), F.col("label")], F.col("n"), "before").select("label", "before")
-    within = F.row_number().over(Window.partitionBy("label").orderBy(*TRIPLE)) - 1
-    rows = rows.withColumn("k", within).join(laid, "label")
-    return rows.select(F.floor((F.col("before") + F.col("k")) / max_edges).cast("long").alias("part_id"), *TRIPLE)
+    laid = running_total(rows.join(size, "label"), [F.desc("n"), F.col("label"), *map(F.col, TRIPLE)], F.lit(1), "place")
+    return laid.select(F.floor(F.col("place") / max_edges).cast("long").alias("part_id"), *TRIPLE)
 
 
-def bfs_expansion(edges: DataFrame, max_edges: int, radius: int = 2, seed: int = 2025) -> DataFrame:
-    """Balls of a radius around hashed seeds, one for each part; nodes reached by several go to the first seed, edges follow their head.
+def bfs_expansion(edges: DataFrame, max_edges: int, radius: int = 2, seed: int = 2025, coverage: float = 0.95, replication: float = 3.0) -> DataFrame:
+    """Overlapping balls: all edges at the nodes within ``radius`` steps of a seed, so that paths near it stay together.
 
-    Balls over ``max_edges`` are cut, and edges out of reach form random parts after them.
+    Seeds are nodes not covered yet, in a hashed order, one, two, four and so on at a time, until ``coverage`` of all
+    nodes are covered or the balls hold ``replication`` times all edges. Balls are laid one after another and cut into
+    parts (an edge is once in a part), and edges that no ball has make further parts.
     """
-    parts = max(1, math.ceil(edges.count() / max_edges))
-    both = edges.select(F.explode(F.array(F.struct(F.col("h").alias("a"), F.col("t").alias("b")), F.struct(F.col("t").alias("a"), F.col("h").alias("b")))).alias("x")).select("x.*").distinct()
-    seeds = both.select(F.col("a").alias("node")).distinct().orderBy(F.md5(F.concat_ws("|", "node", F.lit(str(seed)))), "node").limit(parts)  # one for each part
-    ball = seeds.select("node", F.xxhash64("node").alias("ball"))
-    for _ in range(radius):
-        reached = ball.select(F.col("node").alias("a"), "ball").join(both, "a").select(F.col("b").alias("node"), "ball")
-        new = reached.join(ball.select("node"), "node", "left_anti").groupBy("node").agg(F.min("ball").alias("ball"))
-        ball = written(ball.unionAll(new), "bfs")
-    rows = edges.select(*TRIPLE).join(ball.withColumnRenamed("node", "h"), "h", "left")
-    inside = rows.where("ball is not null")
-    size = inside.groupBy("ball").agg(F.count("*").alias("n"), F.ceil(F.count("*") / max_edges).alias("pieces"))
-    laid = running_total(size, [F.desc("n"), F.col("ball")], F.col("pieces"), "first").select("ball", "first")
-    within = F.row_number().over(Window.partitionBy("ball").orderBy(*TRIPLE)) - 1
-    inside = inside.withColumn("k", within).join(laid, "ball").select((F.col("first") + F.floor(F.col("k") / max_edges)).cast("long").alias("part_id"), *TRIPLE)
-    used = size.agg(F.coalesce(F.sum("pieces"), F.lit(0))).first()[0]
-    rest = random_nonoverlap(rows.where("ball is null"), max_edges, seed).withColumn("part_id", F.col("part_id") + int(used))
+    edges = edges.select(*TRIPLE)
+    both = written(edges.select(F.explode(F.array(F.struct(F.col("h").alias("a"), F.col("t").alias("b")), F.struct(F.col("t").alias("a"), F.col("h").alias("b")))).alias("x")).select("x.*").distinct(), "bfs_neighbours")
+    nodes = written(both.select(F.col("a").alias("node")).distinct().select("node", F.md5(F.concat_ws("|", "node", F.lit(str(seed)))).alias("place")), "bfs_nodes")
+    total, all_nodes = edges.count(), nodes.count()
+    covered = nodes.select("node").limit(0)
+    balls, laid, turn = None, 0, 0
+    while total:
+        seeds = nodes.join(covered, "node", "left_anti").orderBy("place", "node").limit(1 << turn)
+        ball = seeds.select("node", F.col("node").alias("ball"))
+        for _ in range(radius):
+            reached = ball.select(F.col("node").alias("a"), "ball").join(both, "a").select(F.col("b").alias("node"), "ball")
+            ball = ball.unionAll(reached).distinct()
+        ball = written(ball, "bfs_ball")
+        ends = edges.join(ball.withColumnRenamed("node", "h"), "h").select("ball", *TRIPLE).unionAll(edges.join(ball.withColumnRenamed("node", "t"), "t").select("ball", *TRIPLE))
+        rows = written(ends.distinct().withColumn("turn", F.lit(turn)), "bfs_edges")
+        balls = rows if balls is None else balls.unionAll(rows)
+        covered = written(covered.unionAll(ball.select("node")).distinct(), "bfs_covered")
+        laid, turn = laid + rows.count(), turn + 1
+        if covered.count() >= coverage * all_nodes or laid >= replication * total:
+            break
+    if balls is None:
+        return edges.select(F.lit(0).cast("long").alias("part_id"), *TRIPLE)
+    inside = running_total(balls, [F.col("turn"), F.md5("ball"), F.col("ball"), *map(F.col, TRIPLE)], F.lit(1), "place")
+    inside = inside.select(F.floor(F.col("place") / max_edges).cast("long").alias("part_id"), *TRIPLE).distinct()
+    used = -(-laid // max_edges)
+    rest = random_nonoverlap(edges.join(balls.select(*TRIPLE).distinct(), TRIPLE, "left_anti"), max_edges, seed).withColumn("part_id", F.col("part_id") + used)
     return inside.unionAll(rest)
 
 
+def run_strategy(edges: DataFrame, name: str, max_edges: int, seed: int = 2025) -> DataFrame:
+    """The parts of a named strategy."""
+    parts = max(1, math.ceil(edges.count() / max_edges))
+    return {
+        "random_nonoverlap": lambda: random_nonoverlap(edges, max_edges, seed),
+        "random_multi": lambda: random_multi(edges, max_edges, 2, seed),
+        "edge_cut": lambda: edge_cut(edges, parts),
+        "vertex_cut": lambda: vertex_cut(edges, math.isqrt(parts) or 1, -(-parts // (math.isqrt(parts) or 1))),
+        "louvain": lambda: communities(edges, max_edges),
+        "hub_replication": lambda: hub_replication(edges, max_edges, seed=seed),
+        "bfs_expansion": lambda: bfs_expansion(edges, max_edges, seed=seed),
+        "relation_centric": lambda: relation_centric(edges, max_edges, seed),
+    }[name]()
+
+
+def strategy_metrics(parts: DataFrame, name: str, cycles: bool = True) -> DataFrame:
+    """One row: parts, replication and the retention of two-step paths and two-cycles (with ``cycles``, of triangles too)."""
+    parts = written(parts, f"parts_{name}")
+    out = replication(parts).withColumn("strategy", F.lit(name))
+    kinds = {"pt": retention_paths, "c2": retention_cycles2} | ({"c3": retention_cycles3} if cycles else {})
+    shares = [f(parts).select(F.col("total").alias(f"{k}_total"), F.col("kept").alias(f"{k}_kept"), F.col("retention").alias(f"{k}_retention")) for k, f in kinds.items()]
+    for share in shares:
+        out = out.crossJoin(share)  # single rows
+    total, kept = (sum((F.col(f"{k}_{x}") for k in kinds), F.lit(0)) for x in ("total", "kept"))
+    return out.withColumn("overall_retention", F.when(total > 0, kept / total))
+
+
 # --- statistics and retention ----------------------------------------------------
 
 

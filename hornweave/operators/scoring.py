@@ -6,21 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.relations import SEPARATOR, flip
 
 
 def step(edges: DataFrame, relation: str, a: str, b: str) -> DataFrame:
     return edges.where(F.col("r") == relation).select(F.col("h").alias(a), F.col("t").alias(b))
 
 
-def grounding_chain(edges: DataFrame, path: tuple[str, ...], branching: int | None = None) -> DataFrame:
+def grounding_chain(edges: DataFrame, path: tuple[str, ...], branching: int | None = None, first: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
     """(n0, n1, ... nk) of a path, all nodes different (object identity).
 
-    ``branching`` drops inner nodes with that many continuations or more.
+    ``branching`` drops inner nodes with that many continuations or more; ``first`` (n0) and ``last`` (nk) restrict the ends before anything is joined.
     """
     rows = step(edges, path[0], "n0", "n1").where("n0 <> n1")
+    if first is not None:
+        rows = rows.join(first, "n0", "left_semi")
+    if last is not None and len(path) == 1:
+        rows = rows.join(last, "n1", "left_semi")
     for i, relation in enumerate(path[1:], 1):
         new = f"n{i + 1}"
         nxt = step(edges, relation, f"n{i}", new)
+        if last is not None and i == len(path) - 1:
+            nxt = nxt.join(last, new, "left_semi")
         if branching is not None:
             small = nxt.groupBy(f"n{i}").agg(F.count("*").alias("n")).where(F.col("n") < branching).select(f"n{i}")
             nxt = nxt.join(small, f"n{i}", "left_semi")
@@ -115,6 +122,48 @@ def keep_rules(rules: DataFrame, config: Config = Config()) -> DataFrame:
     )
 
 
+def singletons(edges: DataFrame, paths: list[tuple[str, ...]]) -> DataFrame:
+    """(path, ends, singleton): whether a body's open end has one value at most."""
+    out = None
+    for path in paths:
+        one = grounding_chain(edges, path).agg(F.count_distinct(F.col(f"n{len(path)}")).alias("ends")).withColumn("path", F.lit(SEPARATOR.join(path)))
+        out = one if out is None else out.unionByName(one)
+    return out.select("path", "ends", (F.col("ends") <= 1).alias("singleton"))
+
+
+def last_groundings(edges: DataFrame, path: tuple[str, ...], constant: str | None, least: int) -> DataFrame:
+    """(ends): the values of the last atom's variable in the groundings of an acyclic body, if there are ``least`` or more.
+
+    With a constant at the end the variable is the one before it.
+    """
+    k = len(path)
+    rows = grounding_chain(edges, path)
+    if constant is not None:
+        rows = rows.where(F.col(f"n{k}") == constant)
+    found = rows.agg(F.count_distinct(F.col(f"n{k if constant is None else k - 1}")).alias("ends"))
+    return found.where(F.col("ends") >= least)
+
+
+def predicted_without(edges: DataFrame, path: tuple[str, ...], constant: str | None, head: str, head_constant: str) -> DataFrame:
+    """(x): true triples head(x, head_constant) whose acyclic body holds without the triple itself."""
+    truth = step(edges, head, "x", "c").where(F.col("c") == head_constant)
+    k = len(path)
+    chain = grounding_chain(edges, path)
+    if constant is not None:
+        chain = chain.where(F.col(f"n{k}") == constant)
+    for i in range(k + (constant is None)):
+        chain = chain.where(F.col(f"n{i}") != head_constant)
+    rows = chain.withColumnRenamed("n0", "x").join(truth, "x")
+    name = lambda i: "x" if i == 0 else f"n{i}"
+    for i, relation in enumerate(path):
+        a, b = F.col(name(i)), F.col(name(i + 1))
+        if relation == head:
+            rows = rows.where((a != F.col("x")) | (b != F.col("c")))
+        elif relation == flip(head):
+            rows = rows.where((b != F.col("x")) | (a != F.col("c")))
+    return rows.select("x").distinct()
+
+
 def joint_score(first: DataFrame, second: DataFrame, kg: DataFrame, relation: str) -> DataFrame:
     """Score of what two rules predict together."""
     return score_predictions(split_valid(first.join(second, ["h", "t"], "left_semi"), kg, relation))
@@ -122,9 +171,10 @@ def joint_score(first: DataFrame, second: DataFrame, kg: DataFrame, relation: st
 
 def explanations(edges: DataFrame, path: tuple[str, ...], triples: DataFrame) -> DataFrame:
     """For every (h, t) asked for, the least grounding of the path as a list of nodes. Both ends restrict the search."""
-    asked = triples.select(F.col("h").alias("n0"), F.col("t").alias(f"n{len(path)}")).distinct()
-    near = edges.join(asked.select(F.col("n0").alias("h")).distinct(), "h", "left_semi") if len(path) == 1 else edges
-    rows = grounding_chain(near, path).join(asked, ["n0", f"n{len(path)}"])
+    end = f"n{len(path)}"
+    asked = triples.select(F.col("h").alias("n0"), F.col("t").alias(end)).distinct()
+    # first steps from an asked h, last steps to an asked t; those in between are found from the first ones
+    rows = grounding_chain(edges, path, first=asked.select("n0").distinct(), last=asked.select(end).distinct()).join(asked, ["n0", end])
     nodes = F.array(*[f"n{i}" for i in range(len(path) + 1)])
     return rows.groupBy(F.col("n0").alias("h"), F.col(f"n{len(path)}").alias("t")).agg(F.min(nodes).alias("nodes"), F.count("*").alias("groundings"))
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import relations as fn
-from ..operators import graph, merging, mining, partitioning, paths, ranking, scoring, walking
+from ..config import Config
+from ..operators import applying, graph, merging, mining, partitioning, paths, ranking, scoring, walking
 from ..sources import rules as rule_files
 from ..sources import results, sinks
+from ..sources import triples as triple_files
 from ..sources.triples import RELATIONS, kg_sql, stored_kg
+from ..storage import application_dir, written
 from . import rule_query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +57,11 @@ def edges(spark: SparkSession, d: str, *relations: str) -> DataFrame:
     return kg(spark, d, *relations).where("h <> t")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for the files of one query, in the shared one."""
+    return f"{application_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
 # --- graph -----------------------------------------------------------------------
 
 
@@ -137,9 +145,11 @@ def sampled_fanout(spark, d):
     return graph.sample_fanout(kg(spark, d, "supplies", "fulfils"), 10, 50)
 
 
-@query()
+@query(cte(more="""ends AS (SELECT DISTINCT r, side, e FROM (SELECT r, 'head' AS side, h AS e FROM kg UNION ALL SELECT r, 'tail', t FROM kg)),
+  nb AS (SELECT *, row_number() OVER (PARTITION BY r, side ORDER BY e) - 1 AS k FROM ends), sz AS (SELECT r, side, count(*) AS size FROM ends GROUP BY ALL),
+  dr AS (SELECT r, side, draw, cast('0x' || substr(md5(concat_ws('|', r, side, draw, 0)), 1, 12) AS BIGINT) % size AS k FROM sz, range(1, 101) x(draw))""") + "SELECT r, side, draw, e AS entity FROM dr JOIN nb USING (r, side, k)")
 def random_entities(spark, d):
-    return graph.random_entities(kg(spark, d, "custNation", "hosts"), 100)
+    return graph.random_entities(kg(spark, d), 100)
 
 
 @query(cte("hasPart", "returnedPart", more="a AS (SELECT h, t FROM edges WHERE r = 'hasPart'), b AS (SELECT h, t FROM edges WHERE r = 'returnedPart')") + "SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS common, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_second")
@@ -416,7 +426,7 @@ RANK = """
   p2 AS (SELECT DISTINCT t AS h, h AS t FROM train WHERE r = 'fulfils'),
   preds AS (SELECT 'path' AS rule, h, t FROM p1 UNION ALL SELECT 'inverse' AS rule, h, t FROM p2),
   sc AS (SELECT rule, count(*) AS predicted, count(tr.h) AS correct FROM preds LEFT JOIN tr USING (h, t) GROUP BY rule),
-  z AS (SELECT 'zero ' || t AS rule, t, count(*) / cast((SELECT count(*) FROM tr) + 5 AS DOUBLE) * 0.01::DOUBLE AS applied FROM tr GROUP BY t ORDER BY count(*) DESC, t LIMIT 20),
+  z AS (SELECT 'zero ' || t AS rule, t, count(*) / cast((SELECT count(*) FROM tr) + 5 AS DOUBLE) * 0.01::DOUBLE AS applied FROM tr GROUP BY t),
   fired AS (
     SELECT test.h || '|' || test.t AS query, 'tail' AS direction, p.t AS candidate, test.t AS target, rule, correct / cast(predicted + 5 AS DOUBLE) AS applied FROM test JOIN preds p USING (h) JOIN sc USING (rule)
     UNION ALL SELECT test.h || '|' || test.t, 'tail', z.t, test.t, rule, applied FROM test, z
@@ -426,23 +436,18 @@ RANK = """
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query, direction ORDER BY confs DESC, candidate) AS rank FROM lists)"""
 
 
-#: Zero rules of the ranking queries; those named ``_all`` take every zero rule.
-BEST_ZEROS = 20
-
-
 def _held_out(spark, d):
     e = edges(spark, d, *CYCLE_RELATIONS)
     held = (F.col("r") == "orderSupp") & (F.substr("h", F.lit(2)).cast("long") % 10 == 0)
     return e, e.where(held).select("h", "t"), e.where(~held)
 
 
-def _zero_rules(train, zeros):
+def _zero_rules(train):
     zero = scoring.zero_score(train, "orderSupp")
-    zero = zero if zeros is None else zero.orderBy(F.desc("correct"), "c").limit(zeros)
     return zero.select(F.concat(F.lit("zero "), "c").alias("rule"), F.col("c").alias("candidate"), scoring.applied_confidence(F.col("predicted"), F.col("correct"), F.lit("Z"), F.lit(0)).alias("applied"))
 
 
-def _ranking(spark, d, zeros=BEST_ZEROS):
+def _ranking(spark, d):
     """(fired, known, test) of the held-out queries; scored on the rest."""
     e, test, train = _held_out(spark, d)
     one = scoring.cyclic_predictions(train, ("hasPart", "suppliedBy")).withColumn("rule", F.lit("path"))
@@ -454,51 +459,48 @@ def _ranking(spark, d, zeros=BEST_ZEROS):
     query_id = F.concat("h", F.lit("|"), F.col("target"))
     asked = test.select("h", F.col("t").alias("target"), F.lit("tail").alias("direction"))
     fired = asked.join(predictions.withColumnRenamed("t", "candidate"), "h").join(F.broadcast(score), "rule")  # one row for each rule
-    zero = _zero_rules(train, zeros)
-    if zeros is None:
-        other = predictions.select("h", F.col("t").alias("candidate")).unionAll(e.where("r = 'orderSupp'").select("h", "t")).distinct()
-        always = asked.join(ranking.zero_candidates(asked.select("h").distinct(), "h", zero, other, 100), "h")
-    else:
-        always = asked.crossJoin(F.broadcast(zero))  # a few rules that fire for every query
+    zero = _zero_rules(train)
+    other = predictions.select("h", F.col("t").alias("candidate")).unionAll(e.where("r = 'orderSupp'").select("h", "t")).distinct()
+    always = asked.join(ranking.zero_candidates(asked.select("h").distinct(), "h", zero, other, 100), "h")
     columns = [query_id.alias("query"), "direction", "candidate", "target", "rule", "applied"]
     known = asked.join(e.where("r = 'orderSupp'").select("h", F.col("t").alias("candidate")), "h").select(query_id.alias("query"), "direction", "candidate")
     return fired.select(*columns).unionByName(always.select(*columns)), known, asked.select(query_id.alias("query"), "direction", "target", "h")
 
 
-def _ranked(spark, d, k=100, zeros=BEST_ZEROS):
-    fired, known, asked = _ranking(spark, d, zeros)
+def _ranked(spark, d, k=100):
+    fired, known, asked = _ranking(spark, d)
     return ranking.max_plus(ranking.drop_known(fired, known), k), known, asked
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK) + "SELECT query, candidate, rank, confs[1] AS best, len(confs) AS rules FROM ranked WHERE rank <= 10")
-def rank_maxplus_topk(spark, d, zeros=BEST_ZEROS):
-    ranked, _, _ = _ranked(spark, d, 10, zeros)
+def rank_maxplus_topk(spark, d):
+    ranked, _, _ = _ranked(spark, d, 10)
     return ranked.select("query", "candidate", F.col("rank").cast("long").alias("rank"), F.col("confs")[0].alias("best"), F.size("confs").cast("long").alias("rules"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK + ", nor AS (SELECT query, candidate, round(list_sum(list_transform(confs, lambda c: -ln(1 - c))), 9) AS score FROM lists), rn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM nor)") + "SELECT query, candidate, score, rank FROM rn WHERE rank <= 10")
-def rank_noisyor_topk(spark, d, zeros=BEST_ZEROS):
-    fired, known, _ = _ranking(spark, d, zeros)
+def rank_noisyor_topk(spark, d):
+    fired, known, _ = _ranking(spark, d)
     return ranking.noisy_or(ranking.drop_known(fired, known), 10).select("query", "candidate", "score", F.col("rank").cast("long").alias("rank"))
 
 
-#: Ranks over all candidates; known answers above the target aren't counted.
-RAW = """, rl AS (SELECT query, direction, candidate, any_value(target) AS target, list_reverse_sort(list(applied)) AS confs FROM fired GROUP BY query, direction, candidate),
+#: Ranks over the candidates that aren't known answers; known answers above the target aren't counted.
+RAW = """, rl AS (SELECT query, direction, candidate, any_value(target) AS target, list_reverse_sort(list(applied)) AS confs FROM open GROUP BY query, direction, candidate),
   rr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confs DESC, candidate) AS rank FROM rl),
   mk AS (SELECT rr.*, CASE WHEN k.candidate IS NOT NULL AND rr.candidate <> rr.target THEN 1 ELSE 0 END AS other FROM rr LEFT JOIN (SELECT DISTINCT * FROM known) k ON k.query = rr.query AND k.candidate = rr.candidate WHERE rank <= 100),
   ab AS (SELECT *, coalesce(sum(other) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM mk),
   fr AS (SELECT query, rank AS raw_rank, cast(rank - above AS BIGINT) AS filtered_rank FROM ab WHERE candidate = target)"""
 
 
-def _filtered(spark, d, zeros=BEST_ZEROS):
-    fired, known, asked = _ranking(spark, d, zeros)
-    ranked = ranking.max_plus(fired, 100).join(asked.select("query", "direction", "target"), ["query", "direction"])
+def _filtered(spark, d):
+    fired, known, asked = _ranking(spark, d)
+    ranked = ranking.max_plus(ranking.drop_known(fired, known), 100).join(asked.select("query", "direction", "target"), ["query", "direction"])
     return ranking.filtered_rank(ranked, known), asked
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK + RAW) + "SELECT query, raw_rank, filtered_rank FROM fr")
-def rank_filtered(spark, d, zeros=BEST_ZEROS):
-    ranks, _ = _filtered(spark, d, zeros)
+def rank_filtered(spark, d):
+    ranks, _ = _filtered(spark, d)
     return ranks.select("query", "raw_rank", "filtered_rank")
 
 
@@ -508,22 +510,22 @@ def _eval_sql(by: str) -> str:
 
 
 @query(_eval_sql("direction"))
-def eval_hits_mrr(spark, d, zeros=BEST_ZEROS):
-    ranks, asked = _filtered(spark, d, zeros)
+def eval_hits_mrr(spark, d):
+    ranks, asked = _filtered(spark, d)
     return ranking.hits_and_mrr(asked.select("query", "direction"), ranks, ["direction"])
 
 
 @query(_eval_sql("grp"))
-def eval_by_group(spark, d, zeros=BEST_ZEROS):
-    ranks, asked = _filtered(spark, d, zeros)
+def eval_by_group(spark, d):
+    ranks, asked = _filtered(spark, d)
     groups = asked.select("query", "direction", (F.substr("target", F.lit(2)).cast("long") % 5).alias("grp"))
     return ranking.hits_and_mrr(groups, ranks, ["grp"])
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK + ", rl AS (SELECT rule, applied FROM z UNION ALL SELECT rule, correct / cast(predicted + 5 AS DOUBLE) FROM sc)") + "SELECT rule, row_number() OVER (ORDER BY applied DESC, rule) AS position FROM rl")
-def rule_order(spark, d, zeros=BEST_ZEROS):
-    fired, _, _ = _ranking(spark, d, zeros)
-    fired = fired.select("rule", "applied").unionAll(_zero_rules(_held_out(spark, d)[2], zeros).select("rule", "applied"))
+def rule_order(spark, d):
+    fired, _, _ = _ranking(spark, d)
+    fired = fired.select("rule", "applied").unionAll(_zero_rules(_held_out(spark, d)[2]).select("rule", "applied"))
     rules = fired.distinct().withColumn("relation", F.lit("orderSupp")).withColumn("correct", F.lit(10)).withColumn("confidence", F.col("applied"))
     return ranking.ordered_rules(rules).select("rule", F.col("position").cast("long").alias("position"))
 
@@ -533,46 +535,41 @@ LISTS = RANK + """, nr AS (SELECT query, candidate, round(list_sum(list_transfor
   a AS (SELECT query, candidate, confs[1] AS score, rank FROM ranked WHERE rank <= 10)"""
 
 
-def _two_lists(spark, d, zeros=BEST_ZEROS):
-    fired, known, _ = _ranking(spark, d, zeros)
+def _two_lists(spark, d):
+    fired, known, _ = _ranking(spark, d)
     open_ = ranking.drop_known(fired, known)
     mine = ranking.max_plus(open_, 10).select("query", "direction", "candidate", F.col("confs")[0].alias("score"), "rank")
     return mine, ranking.noisy_or(open_, 20)
 
 
 @query(cte(*CYCLE_RELATIONS, more=LISTS + ", m AS (SELECT a.query, a.candidate, row_number() OVER (PARTITION BY a.query ORDER BY b.rank NULLS LAST, a.rank) AS new_rank, count(*) OVER (PARTITION BY a.query) AS n FROM a LEFT JOIN b ON a.query = b.query AND a.candidate = b.candidate)") + "SELECT query, candidate, new_rank, round(1 - (new_rank - 1) * 0.5::DOUBLE / n, 9) AS score FROM m")
-def resultset_reorder(spark, d, zeros=BEST_ZEROS):
-    mine, other = _two_lists(spark, d, zeros)
+def resultset_reorder(spark, d):
+    mine, other = _two_lists(spark, d)
     return ranking.reorder(mine, other).select("query", "candidate", F.col("new_rank").cast("long").alias("new_rank"), F.round("score", 9).alias("score"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=LISTS + ", s AS (SELECT query, max(rank) AS n FROM b GROUP BY query), w AS (SELECT a.query, a.candidate, a.rank, round(0.7::DOUBLE * a.score * 3 / (coalesce(b.rank, n + 1, 1) + 2) + 0.3::DOUBLE / coalesce(b.rank, n + 1, 1), 9) AS new_score FROM a LEFT JOIN b ON a.query = b.query AND a.candidate = b.candidate LEFT JOIN s ON s.query = a.query)") + "SELECT query, candidate, round(new_score, 7) AS new_score FROM w")
-def resultset_reorder_weighted(spark, d, zeros=BEST_ZEROS):
-    mine, other = _two_lists(spark, d, zeros)
+def resultset_reorder_weighted(spark, d):
+    mine, other = _two_lists(spark, d)
     return ranking.reorder_weighted(mine, other, 2.0, 0.7).select("query", "candidate", F.round("new_score", 7).alias("new_score"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=LISTS + ", u AS (SELECT query, candidate, max(score) AS score FROM (SELECT query, candidate, score FROM a UNION ALL SELECT query, candidate, score * 0.5::DOUBLE FROM b) GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) AS rank FROM u)") + "SELECT query, candidate, rank FROM x WHERE rank <= 10")
-def resultset_extend(spark, d, zeros=BEST_ZEROS):
-    mine, other = _two_lists(spark, d, zeros)
+def resultset_extend(spark, d):
+    mine, other = _two_lists(spark, d)
     return ranking.extend(mine, other, 10, 0.5).select("query", "candidate", F.col("rank").cast("long").alias("rank"))
 
 
 @query(cte(*CYCLE_RELATIONS, more=RANK) + "SELECT query, string_agg(candidate, chr(9) ORDER BY rank) AS tails FROM ranked WHERE rank <= 3 GROUP BY query")
-def predictions_file(spark, d, zeros=BEST_ZEROS):
+def predictions_file(spark, d):
     """Written as three-line records and parsed again."""
-    ranked, _, asked = _ranked(spark, d, 3, zeros)
+    ranked, _, asked = _ranked(spark, d, 3)
     rows = ranked.join(asked.select("query", "h", "target"), "query").select("h", F.lit("orderSupp").alias("r"), F.col("target").alias("t"), "direction", "candidate", F.col("confs")[0].alias("score"), "rank")
     back = results.parse_predictions(sinks.prediction_records(rows).select("value"))
     lists = back.groupBy(F.concat("h", F.lit("|"), "t").alias("query")).agg(F.sort_array(F.collect_list(F.struct("position", "candidate"))).alias("x"))
     return lists.select("query", F.array_join(F.transform("x", lambda e: e["candidate"]), "\t").alias("tails"))
 
 
-for _f in (rank_maxplus_topk, rank_noisyor_topk, rank_filtered, eval_hits_mrr, eval_by_group, rule_order, resultset_reorder, resultset_reorder_weighted, resultset_extend, predictions_file):
-    QUERIES[f"{_f.__name__}_all"] = partial(_f, zeros=None)
-    ORACLE_SQL[f"{_f.__name__}_all"] = ORACLE_SQL[_f.__name__].replace(f" ORDER BY count(*) DESC, t LIMIT {BEST_ZEROS})", ")")
-
-
 # --- partitions ------------------------------------------------------------------
 
 MD5 = "md5(concat_ws('|', h, r, t, '2025'))"
@@ -626,6 +623,41 @@ def part_bfs(spark, d):
     return partitioning.part_stats(partitioning.bfs_expansion(edges(spark, d, *GRAPH), MAX_EDGES))
 
 
+STRATEGIES = ("random_nonoverlap", "random_multi", "edge_cut", "vertex_cut", "louvain", "hub_replication", "bfs_expansion", "relation_centric")
+#: Strategies whose parts have at most the given number of edges, and those that hold each edge once.
+BOUNDED = ("random_nonoverlap", "random_multi", "louvain", "hub_replication", "bfs_expansion", "relation_centric")
+EACH_ONCE = ("random_nonoverlap", "edge_cut", "vertex_cut", "louvain", "relation_centric")
+
+
+@query(cte(*GRAPH) + "SELECT s AS strategy, (SELECT count(*) FROM edges) AS edges, true AS no_repetition, CASE WHEN s IN " + str(BOUNDED) + " THEN true END AS within_bound, CASE WHEN s IN " + str(EACH_ONCE) + " THEN true END AS each_once FROM (VALUES " + ", ".join(f"('{x}')" for x in STRATEGIES) + ") v(s)")
+def part_invariants(spark, d):
+    """For every strategy: all edges are there, none twice in a part, and parts keep to their bound where one is promised."""
+    e = edges(spark, d, *GRAPH)
+    out = None
+    for name in STRATEGIES:
+        parts = written(partitioning.run_strategy(e, name, MAX_EDGES), f"parts_{name}")
+        total = parts.agg(F.count("*").alias("n")).crossJoin(parts.distinct().agg(F.count("*").alias("different"))).crossJoin(parts.select("h", "r", "t").distinct().agg(F.count("*").alias("edges")))
+        one = total.crossJoin(parts.groupBy("part_id").agg(F.count("*").alias("m")).agg(F.max("m").alias("largest")))  # single rows
+        one = one.select(
+            F.lit(name).alias("strategy"), "edges", (F.col("n") == F.col("different")).alias("no_repetition"),
+            (F.col("largest") <= MAX_EDGES if name in BOUNDED else F.lit(None).cast("boolean")).alias("within_bound"), (F.col("n") == F.col("edges") if name in EACH_ONCE else F.lit(None).cast("boolean")).alias("each_once"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(cte(*GRAPH, more=PART + ", q AS (SELECT count(*) AS n, count(DISTINCT part_id) AS p FROM part)") + "SELECT 'random_nonoverlap' AS strategy, cast(p AS VARCHAR) AS parts, cast(n AS VARCHAR) AS edges_total, '1.0' AS replication_factor FROM q")
+def partition_files(spark, d):
+    """Parts written as folders of triples and their figures as JSON, both read again."""
+    path = _folder(spark)
+    parts = written(_parts(spark, d), "parts")
+    sinks.write_partitions(parts, f"{path}/parts")
+    back = spark.read.option("sep", "\t").schema("h string, r string, t string, part_id long").csv(f"{path}/parts")
+    sinks.write_partition_metrics(partitioning.replication(back).withColumn("strategy", F.lit("random_nonoverlap")), f"{path}/metrics")
+    found = spark.read.json(f"{path}/metrics")
+    return found.select("strategy", *[F.col(c).cast("string").alias(c) for c in ("parts", "edges_total", "replication_factor")])
+
+
 @query(cte(*GRAPH, more=PART) + "SELECT part_id, count(*) AS edges, (SELECT count(DISTINCT x) FROM (SELECT h AS x FROM part q WHERE q.part_id = part.part_id UNION ALL SELECT t FROM part q WHERE q.part_id = part.part_id)) AS nodes FROM part GROUP BY part_id")
 def part_stats(spark, d):
     return partitioning.part_stats(_parts(spark, d))
@@ -794,10 +826,178 @@ def sampled_generalisations(spark, d):
     return walking.generalisations(acyclic.unionAll(cyclic))
 
 
-@query(cte(*HALF, more=_half_sql(1) + ", g AS (SELECT CASE WHEN starts_with(body, 'INVERSE_') THEN 'inverse' ELSE 'forward' END AS rule_type, support, support / cast(body_size AS DOUBLE) AS c FROM m1)") + "SELECT rule_type, round(sum(support * c), 6) AS gain, count(*) AS rules FROM g GROUP BY rule_type")
+GAINS = ("cast(support AS DOUBLE)", "support * confidence", "support * applied", "support * applied * applied", "support * applied / 2 ** (steps - 1)")
+
+
+@query(cte(*HEADS, more=BOTH + """, p AS (
+    SELECT DISTINCT r AS body, 1 AS steps, h, t FROM dirs UNION ALL
+    SELECT DISTINCT a.r || '·' || b.r, 2, a.h, b.t FROM edges a JOIN edges b ON a.t = b.h WHERE a.h <> b.t AND a.r <> 'orderSupp' AND b.r <> 'orderSupp'),
+  bs AS (SELECT body, steps, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT e.r AS head, body, count(*) AS support FROM edges e JOIN p USING (h, t) WHERE e.r <> body GROUP BY ALL HAVING count(*) >= 10),
+  g AS (SELECT steps, support, support / cast(n AS DOUBLE) AS confidence, support / cast(n + 5 AS DOUBLE) AS applied FROM s JOIN bs USING (body))""") + "SELECT 'C' || steps AS rule_type, " + ", ".join(f"round(sum({x}), 6) AS gain{i}" for i, x in enumerate(GAINS, 1)) + ", count(*) AS rules FROM g GROUP BY steps")
 def scoring_gain(spark, d):
-    rules = _halves(spark, d)[0].select(F.when(fn.is_inverse(F.col("body")), "inverse").otherwise("forward").alias("rule_type"), F.col("support").alias("correct"), "confidence", F.lit(1).alias("body_size"))
-    return walking.reward(rules, 5).withColumn("gain", F.round("gain", 6))
+    """All rewards, over cyclic rules of one and two steps."""
+    mined = mining.binary_rules(edges(spark, d, *HEADS), MIN_SUPPORT).unionByName(_l2_rules(spark, d))
+    n = fn.path_length(F.col("body"))
+    applied = scoring.applied_confidence(F.col("body_size"), F.col("support"), F.lit("C"), n)
+    rules = mined.select(F.concat(F.lit("C"), n).alias("rule_type"), F.col("support").alias("correct"), "confidence", applied.alias("applied"), n.alias("body_size"))
+    return rules.groupBy("rule_type").agg(*[F.round(F.sum(walking.gain(k)), 6).alias(f"gain{k}") for k in range(1, 6)], F.count("*").alias("rules"))
+
+
+# --- applying rules --------------------------------------------------------------
+
+APPLIED = ("custRegion", "custNation", "custSegment", "inRegion")
+
+#: Rules of all classes for custRegion, scored without every tenth customer, and what they give for those, both ways.
+APPLY = """test AS (SELECT h, t FROM edges WHERE r = 'custRegion' AND cast(substr(h, 2) AS BIGINT) % 10 = 0),
+  tr AS (SELECT h, t FROM edges WHERE r = 'custRegion' AND cast(substr(h, 2) AS BIGINT) % 10 <> 0),
+  nat AS (SELECT h AS x, t AS c2 FROM edges WHERE r = 'custNation'), seg AS (SELECT h AS x, t AS c2 FROM edges WHERE r = 'custSegment'),
+  pr AS (SELECT DISTINCT a.x AS h, b.t AS t FROM nat a JOIN edges b ON b.r = 'inRegion' AND a.c2 = b.h),
+  sc AS (
+    SELECT 'custRegion(X,Y) <= custNation(X,A), inRegion(A,Y)' AS rule, 'C' AS kind, NULL AS c, count(*) AS predicted, count(tr.h) AS correct FROM pr LEFT JOIN tr USING (h, t)
+    UNION ALL SELECT 'custRegion(X,' || tr.t || ') <= custNation(X,' || c2 || ')', 'AC1', tr.t, (SELECT count(*) FROM nat n WHERE n.c2 = nat.c2), count(*) FROM nat JOIN tr ON nat.x = tr.h GROUP BY tr.t, c2
+    UNION ALL SELECT 'custRegion(X,' || tr.t || ') <= custSegment(X,' || c2 || ')', 'AC1', tr.t, (SELECT count(*) FROM seg n WHERE n.c2 = seg.c2), count(*) FROM seg JOIN tr ON seg.x = tr.h GROUP BY tr.t, c2
+    UNION ALL SELECT 'custRegion(X,' || tr.t || ') <= custNation(X,A)', 'AC2', tr.t, (SELECT count(DISTINCT x) FROM nat), count(*) FROM tr WHERE h IN (SELECT x FROM nat) GROUP BY tr.t
+    UNION ALL SELECT 'custRegion(X,' || tr.t || ') <= ', 'Z', tr.t, (SELECT count(*) FROM tr), count(*) FROM tr GROUP BY tr.t
+  ), ru AS (SELECT rtrim(rule) AS rule, kind, c, correct / cast(predicted + 5 AS DOUBLE) * CASE kind WHEN 'AC2' THEN 0.1::DOUBLE WHEN 'Z' THEN 0.01::DOUBLE ELSE 1 END AS applied FROM sc WHERE correct >= 2 AND (kind <> 'Z' OR correct > 100)),
+  g AS (
+    SELECT 'custRegion(X,' || r.t || ') <= custNation(X,' || c2 || ')' AS rule, x FROM nat, (SELECT DISTINCT t FROM tr) r
+    UNION ALL SELECT 'custRegion(X,' || r.t || ') <= custSegment(X,' || c2 || ')', x FROM seg, (SELECT DISTINCT t FROM tr) r
+    UNION ALL SELECT DISTINCT 'custRegion(X,' || r.t || ') <= custNation(X,A)', x FROM nat, (SELECT DISTINCT t FROM tr) r
+  ), fires AS (
+    SELECT test.h || '|custRegion|' || test.t AS query, 'tail' AS direction, test.h AS h, test.t AS target, pr.t AS candidate, rule, applied FROM test JOIN pr USING (h) JOIN ru ON kind = 'C'
+    UNION ALL SELECT test.h || '|custRegion|' || test.t, 'head', test.t, test.h, pr.h, rule, applied FROM test JOIN pr USING (t) JOIN ru ON kind = 'C'
+    UNION ALL SELECT test.h || '|custRegion|' || test.t, 'tail', test.h, test.t, ru.c, rule, applied FROM test JOIN g ON g.x = test.h JOIN ru USING (rule)
+    UNION ALL SELECT test.h || '|custRegion|' || test.t, 'head', test.t, test.h, g.x, rule, applied FROM test JOIN ru ON ru.c = test.t JOIN g USING (rule)
+  ), zf AS (SELECT test.h || '|custRegion|' || test.t AS query, 'tail' AS direction, test.h, test.t AS target, ru.c AS candidate, rule, applied FROM test JOIN ru ON kind = 'Z'),
+  kn AS (SELECT h || '|' || t AS x FROM edges WHERE r = 'custRegion'),
+  opn AS (SELECT * FROM (SELECT * FROM fires UNION ALL SELECT * FROM zf) f WHERE candidate = target OR (CASE direction WHEN 'tail' THEN f.h || '|' || candidate ELSE candidate || '|' || f.h END) NOT IN (SELECT x FROM kn)),
+  li AS (SELECT query, direction, candidate, any_value(target) AS target, list_reverse_sort(list(applied)) AS confs FROM opn GROUP BY ALL),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY query, direction ORDER BY confs DESC, candidate) AS rank FROM li)"""
+APPLY = APPLY.replace("query, direction, candidate, any_value(target) AS target, list_reverse_sort(list(applied)) AS confs FROM opn GROUP BY ALL", "query, direction, candidate, any_value(target) AS target, list_reverse_sort(list(applied)) AS confs FROM opn GROUP BY query, direction, candidate")
+
+
+def _rule_file(spark, d):
+    """(rules read from a file, training graph, whole graph, test triples)."""
+    e = edges(spark, d, *APPLIED)
+    held = (F.col("r") == "custRegion") & (F.substr("h", F.lit(2)).cast("long") % 10 == 0)
+    train, test = e.where(~held), e.where(held)
+    head = "custRegion"
+    cyclic = scoring.score_predictions(scoring.split_valid(scoring.cyclic_predictions(train, ("custNation", "inRegion")), train, head)).withColumn("rule", F.lit("custRegion(X,Y) <= custNation(X,A), inRegion(A,Y)"))
+    out = cyclic.select("predicted", "correct", "confidence", "rule")
+    for relation in ("custNation", "custSegment"):
+        one = scoring.score_acyclic_all(train, head, (relation,), False, 1)
+        out = out.unionByName(one.select("predicted", "correct", "confidence", F.concat(F.lit(f"{head}(X,"), "c", F.lit(f") <= {relation}(X,"), "c2", F.lit(")")).alias("rule")))
+    open_end = scoring.score_acyclic_all(train, head, ("custNation",), True, 1)
+    out = out.unionByName(open_end.select("predicted", "correct", "confidence", F.concat(F.lit(f"{head}(X,"), "c", F.lit(") <= custNation(X,A)")).alias("rule")))
+    zero = scoring.zero_score(train, head)
+    out = out.unionByName(zero.select("predicted", "correct", "confidence", F.concat(F.lit(f"{head}(X,"), "c", F.lit(") <= ")).alias("rule")))
+    path = f"{_folder(spark)}/rules"
+    sinks.snapshot_lines(out).write.text(path)
+    return scoring.keep_rules(rule_files.read_rules(spark, path)), train, e, test
+
+
+def _predicted(spark, d, k):
+    rules, train, whole, test = _rule_file(spark, d)
+    queries = applying.queries_of(test)
+    return applying.predict(rules, train, queries, applying.known_answers(queries, whole), Config(top_k_output=k)), queries
+
+
+@query(cte(*APPLIED, more=APPLY) + "SELECT query, direction, candidate, rule, round(applied, 12) AS applied FROM fires")
+def apply_rules_fired(spark, d):
+    """Every rule of a written and read rule file that gives a candidate, for head and tail queries."""
+    rules, train, _, test = _rule_file(spark, d)
+    return applying.apply_rules(rules, train, applying.queries_of(test)).select("query", "direction", "candidate", "rule", F.round("applied", 12).alias("applied"))
+
+
+@query(cte(*APPLIED, more=APPLY) + "SELECT query, direction, candidate, rank, round(confs[1], 12) AS best, len(confs) AS n_rules FROM rk WHERE rank <= 10")
+def apply_rules_topk(spark, d):
+    ranked, _ = _predicted(spark, d, 10)
+    return ranked.select("query", "direction", "candidate", F.col("rank").cast("long").alias("rank"), F.round(F.col("confs")[0], 12).alias("best"), F.size("confs").cast("long").alias("n_rules"))
+
+
+@query(cte(*APPLIED, more=APPLY + ", pf AS (SELECT query, direction, list_transform(range(1, len(confs) + 1), lambda i: confs[1:i]) AS ps, candidate FROM rk WHERE rank <= 10), un AS (SELECT query, direction, candidate, unnest(ps) AS p FROM pf)") + "SELECT query, direction, len(p) AS depth, string_agg(candidate, ' ' ORDER BY candidate) AS candidates, count(*) AS n FROM un GROUP BY query, direction, p")
+def apply_rules_tree(spark, d):
+    """The tree of confidences that tells the first ten candidates apart."""
+    ranked, _ = _predicted(spark, d, 10)
+    return sinks.score_tree(ranked).select("query", "direction", F.col("depth").cast("long").alias("depth"), F.array_join("candidates", " ").alias("candidates"), F.size("candidates").cast("long").alias("n"))
+
+
+def _apply_eval_sql(by: str) -> str:
+    hit = ", ".join(f"avg(CASE WHEN {c} <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS {n}_{k}" for c, n in (("rank", "hits"), ("rank", "raw_hits")) for k in (1, 3, 10))
+    asked = ", qs AS (SELECT 'custRegion' AS r, h || '|custRegion|' || t AS query, unnest(['head', 'tail']) AS direction FROM test), fd AS (SELECT query, direction, rank FROM rk WHERE candidate = target AND rank <= 100)"
+    return cte(*APPLIED, more=APPLY + asked) + f"SELECT {by}, count(*) AS queries, count(rank) AS found, {hit}, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM qs LEFT JOIN fd USING (query, direction) GROUP BY {by}"
+
+
+def _evaluated(spark, d, by):
+    ranked, queries = _predicted(spark, d, 100)
+    known = queries.select("query", "direction", F.col("target").alias("candidate")).limit(0)  # filtered before ranking
+    ranks = ranking.filtered_rank(ranked.join(queries.select("query", "direction", "target"), ["query", "direction"]), known)
+    return ranking.hits_and_mrr(queries.select("r", "query", "direction"), ranks, by)
+
+
+@query(_apply_eval_sql("direction"))
+def eval_rules(spark, d):
+    return _evaluated(spark, d, ["direction"])
+
+
+@query(_apply_eval_sql("r, direction"))
+def eval_rules_by_relation(spark, d):
+    return _evaluated(spark, d, ["r", "direction"])
+
+
+# --- files -----------------------------------------------------------------------
+
+
+@query(cte("custNation", "inRegion", "hosts", more=BOTH) + "SELECT h, r, t FROM dirs")
+def triples_file(spark, d):
+    """Triples written as text and loaded with their inverses."""
+    path = _folder(spark)
+    sinks.write_triples(kg(spark, d, "custNation", "inRegion", "hosts"), path)
+    return triple_files.load_triples(spark, path)
+
+
+@query(cte("custNation", "inRegion") + "SELECT h, r, t, 'train.txt' AS source FROM kg UNION ALL SELECT h, r, t, 'strict' FROM kg")
+def dataset_files(spark, d):
+    """A data set's folder, and a file of strict triples with each line twice."""
+    path, rows = _folder(spark), kg(spark, d, "custNation", "inRegion")
+    sinks.write_triples(rows, f"{path}/train.txt")
+    sinks.write_triples(rows.unionAll(rows), f"{path}/strict")
+    return triple_files.read_split(spark, path).withColumn("source", F.lit("train.txt")).unionByName(triple_files.read_dataset(spark, f"{path}/strict").withColumn("source", F.lit("strict")))
+
+
+@query(cte(*HALF, more=", ".join((_half_sql(1), _half_sql(2)))) + "SELECT head, body, 'binary' AS arity, sum(support) AS support, cast(sum(body_size) AS BIGINT) AS body_size, count(*) AS size FROM (SELECT * FROM m1 UNION ALL SELECT * FROM m2) GROUP BY head, body")
+def rules_json_file(spark, d):
+    """The rules of two runs written as nested JSON, read together by one name, merged, written and read again."""
+    path, (a, b) = _folder(spark), _halves(spark, d)
+    sinks.write_json(a, f"{path}/one")
+    sinks.write_json(b, f"{path}/two")
+    renamed = [F.col("headSize").alias("head_size"), F.col("bodySize").alias("body_size")]
+    both = rule_files.read_metrics(spark, [f"{path}/one+two"])
+    merged = merging.merge_metrics(both.select("head", "body", "support", "jaccard", "confidence", *renamed))
+    sinks.write_json(merged, f"{path}/merged")
+    back = rule_files.by_arity(rule_files.read_metrics(spark, [f"{path}/merged"]))
+    return back.select("head", "body", "arity", F.col("support").cast("double").alias("support"), F.col("bodySize").alias("body_size"), "size")
+
+
+@query(cte(*HALF, more=_half_sql(1)) + "SELECT count(*) AS rules, count(*) FILTER (WHERE support >= 50 AND support / cast(body_size AS DOUBLE) >= 0.01) AS kept, count(*) FILTER (WHERE head = 'orderSupp') AS of_target FROM m1")
+def rules_file(spark, d):
+    """Rules written as lines, read with thresholds, by target relation, and counted."""
+    path, rules = _folder(spark), _halves(spark, d)[0]
+    rule = F.concat("head", F.lit("(X,Y) <= "), fn.atom_string(F.array("body"), F.lit("Y")))
+    sinks.snapshot_lines(rules.select(F.col("body_size").alias("predicted"), F.col("support").alias("correct"), "confidence", rule.alias("rule"))).write.text(path)
+    read = rule_files.refinable(rule_files.read_rules(spark, path, Config(read_threshold_confidence=0.0)))
+    return rule_files.survivors(read, 50, 0.01).crossJoin(rule_files.with_target(read, "orderSupp").agg(F.count("*").alias("of_target")))  # single rows
+
+
+@query(cte(*APPLIED, more=APPLY) + "SELECT query, direction, candidate FROM rk WHERE rank <= 3 AND confs[1] > 0.5")
+def predictions_threshold(spark, d):
+    """Predictions of both directions written as records and read down to a score."""
+    ranked, queries = _predicted(spark, d, 3)
+    path = _folder(spark)
+    rows = ranked.join(queries.select("query", "direction"), ["query", "direction"]).withColumn("x", F.split("query", r"\|"))
+    rows = rows.select(*[F.col("x")[i].alias(c) for i, c in enumerate("hrt")], "direction", "candidate", F.col("confs")[0].alias("score"), "rank")
+    sinks.prediction_records(rows).select("value").write.text(path)
+    return results.read_predictions(spark, path, min_score=0.5).select(F.concat_ws("|", "h", "r", "t").alias("query"), "direction", "candidate")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

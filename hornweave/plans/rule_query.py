@@ -12,19 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.relations import SEPARATOR
+from ..functions.relations import SEPARATOR, flip
 from ..operators.graph import with_inverse
 from ..operators.mining import metric_columns
 from ..operators.paths import path_pairs
-from ..sources.triples import INVERSE
 
 ATOM = re.compile(r"\s*([^\s(),]+)\(([^()]*)\)\s*,?")
 
 
-def flip(relation: str) -> str:
-    return relation.removeprefix(INVERSE) if relation.startswith(INVERSE) else INVERSE + relation
-
-
 def is_variable(term: str) -> bool:
     return len(term) == 1 and "A" <= term <= "Z"
 
@@ -127,28 +122,3 @@ def evaluate(kg: DataFrame, rule: str | RuleQuery) -> DataFrame:
     both = head.join(body, head.columns, "left_semi")
     counts = both.agg(F.count("*").alias("support")).crossJoin(body.agg(F.count("*").alias("body_size"))).crossJoin(head.agg(F.count("*").alias("head_size")))  # single rows
     return metric_columns(counts).withColumn("rule", F.lit(str(q)))
-
-
-def brute_force(triples: set[tuple[str, str, str]], q: RuleQuery) -> tuple[int, int, int]:
-    """(support, body size, head size) by nested loops; for tests."""
-
-    def pairs(path: tuple[str, ...]) -> set:
-        if len(path) == 1:
-            r = path[0]
-            base = {(h, t) for h, x, t in triples if h != t and x == r.removeprefix(INVERSE)}
-            return {(t, h) for h, t in base} if r.startswith(INVERSE) else base
-        out = None
-        for i in range(1, len(path)):
-            a, b = pairs(path[:i]), pairs(path[i:])
-            joined = {(h, t) for h, m in a for m2, t in b if m == m2 and h != t}
-            out = joined if out is None else out & joined
-        return out or set()
-
-    def of(atom: PathAtom) -> set:
-        if atom.end == "X":
-            return {h for h, r, t in triples if h == t and r == atom.path[0]}
-        p = pairs(atom.path)
-        return p if atom.end is None else {h for h, t in p if atom.end in (SEPARATOR, t)}
-
-    head, body = of(q.head), of(q.body)
-    return len(head & body), len(body), len(head)

@@ -20,7 +20,8 @@ def write_rules(rules: DataFrame, path: str) -> None:
 
 
 def _metrics(rules: DataFrame) -> DataFrame:
-    metric = F.struct(F.col("jaccard"), F.col("support"), F.col("head_size").alias("headSize"), F.col("body_size").alias("bodySize"), F.col("confidence"))
+    size = [F.col("size")] if "size" in rules.columns else []  # of merged rules: how many were merged
+    metric = F.struct(F.col("jaccard"), F.col("support"), F.col("head_size").alias("headSize"), F.col("body_size").alias("bodySize"), F.col("confidence"), *size)
     return rules.groupBy("head").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("body", metric)))).alias("metrics"))
 
 
@@ -49,6 +50,28 @@ def prediction_records(ranked: DataFrame, k: int = 100) -> DataFrame:
     return rows.select("h", "r", "t", F.concat(F.concat_ws(" ", "h", "r", "t"), F.lit("\nHeads: "), "heads", F.lit("\nTails: "), "tails").alias("value"))
 
 
+def write_partition_metrics(metrics: DataFrame, path: str) -> None:
+    """A JSON object in a line for each row of a (small) table of figures."""
+    metrics.coalesce(1).write.json(path)
+
+
+def weighted_triples(ranked: DataFrame) -> DataFrame:
+    """Predictions (h, r, t, direction, candidate, score) as triples with their score."""
+    tail = F.col("direction") == "tail"
+    return ranked.select(F.when(tail, F.col("h")).otherwise(F.col("candidate")).alias("h"), "r", F.when(tail, F.col("candidate")).otherwise(F.col("t")).alias("t"), "score")
+
+
+def score_tree(ranked: DataFrame) -> DataFrame:
+    """(query, direction, depth, confs, candidates) of every node of the tree that orders candidates by the confidences of their rules.
+
+    A node is a prefix of confidence lists; its candidates are those whose list begins with it and isn't told apart before.
+    """
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("confs")), lambda i: F.slice("confs", 1, i))
+    rows = ranked.select("query", "direction", "candidate", F.explode(prefixes).alias("prefix"))
+    nodes = rows.groupBy("query", "direction", "prefix").agg(F.array_sort(F.collect_list("candidate")).alias("candidates"))
+    return nodes.select("query", "direction", F.size("prefix").alias("depth"), F.col("prefix").alias("confs"), "candidates")
+
+
 def write_partitions(parts: DataFrame, path: str) -> None:
     """One folder of tab-separated triples for each part."""
     parts.select("part_id", "h", "r", "t").repartition("part_id").write.partitionBy("part_id").option("sep", "\t").csv(path)

@@ -32,6 +32,15 @@ def read_triples(spark: SparkSession, path: str, ignore4plus: bool = True) -> Da
     return rows.select(f[0].alias("h"), f[1].alias("r"), tail.alias("t"))
 
 
+def load_triples(spark: SparkSession, path: str, inverses: bool = True, ignore4plus: bool = True) -> DataFrame:
+    """The edges of a file, loops apart, each once; in both directions unless only evaluated against."""
+    read = read_triples(spark, path, ignore4plus).where("h <> t").distinct()
+    if not inverses:
+        return read
+    back = F.struct(F.col("t").alias("h"), F.concat(F.lit(INVERSE), "r").alias("r"), F.col("h").alias("t"))
+    return read.select(F.inline(F.array(F.struct("h", "r", "t"), back)))
+
+
 def read_split(spark: SparkSession, folder: str) -> DataFrame:
     """``train.txt`` of a data set: lines of exactly three fields, at tabs or else at white space."""
     line = spark.read.text(f"{folder}/train.txt")

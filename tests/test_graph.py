@@ -2,7 +2,7 @@ import itertools
 import random
 from collections import Counter
 
-from hornweave.operators import graph, mining, paths, scoring
+from hornweave.operators import graph, merging, mining, paths, scoring
 from hornweave.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -198,3 +198,47 @@ def test_minhash_queries_use_the_default_number_of_bins(spark):
     d = "/root/testdata/sf0.001"
     assert {r.bins for r in catalogue.minhash_signature(spark, d).select("bins").distinct().collect()} == {256}
     assert max(r.buckets for r in catalogue.lsh_bucket_stats(spark, d).collect()) > 64
+
+
+def test_either_way(spark):
+    kg = toy(spark)
+    asked = spark.createDataFrame([("b", "INVERSE_knows", "a"), ("a", "knows", "b"), ("a", "INVERSE_knows", "b"), ("x", "INVERSE_livesIn", "a")], "h string, r string, t string")
+    assert rows(graph.is_true_either_way(asked, kg)) == [("a", "knows", "b"), ("b", "INVERSE_knows", "a"), ("x", "INVERSE_livesIn", "a")]
+
+
+def test_random_entities_are_drawn_from_the_ends(spark):
+    got = graph.random_entities(toy(spark), 30).collect()
+    ends = {(r, "head", h) for h, r, _ in TRIPLES} | {(r, "tail", t) for _, r, t in TRIPLES}
+    assert len(got) == 30 * len({x[:2] for x in ends}) and {(r.r, r.side, r.entity) for r in got} <= ends
+
+
+def test_singletons_and_last_groundings(spark):
+    e = graph.with_inverse(graph.edges(toy(spark)))
+    got = {r.path: (r.ends, r.singleton) for r in scoring.singletons(e, [("livesIn", "cityOf"), ("livesIn",)]).collect()}
+    assert got == {"livesIn·cityOf": (1, True), "livesIn": (2, False)}
+    assert [r.ends for r in scoring.last_groundings(e, ("livesIn",), None, 2).collect()] == [2] and scoring.last_groundings(e, ("livesIn",), None, 3).count() == 0
+    assert [r.ends for r in scoring.last_groundings(e, ("livesIn", "cityOf"), "z", 1).collect()] == [2]
+
+
+def test_prediction_without_the_triple_itself(spark):
+    e = graph.with_inverse(graph.edges(toy(spark)))
+    # knows(X,c) <= knows(X,A): a triple doesn't prove itself
+    assert rows(scoring.predicted_without(e, ("knows",), None, "knows", "b")) == []
+    assert rows(scoring.predicted_without(e, ("livesIn",), "x", "nationality", "z")) == [("a",), ("b",)]
+    assert rows(scoring.predicted_without(e, ("INVERSE_knows",), None, "knows", "b")) == [("a",)]
+
+
+def test_explanations_are_restricted_at_both_ends(spark):
+    e = graph.with_inverse(graph.edges(toy(spark)))
+    asked = spark.createDataFrame([("a", "z"), ("c", "z")], "h string, t string")
+    got = scoring.explanations(e, ("knows", "livesIn", "cityOf"), asked)
+    assert {r.h: r.nodes for r in got.collect()} == {"a": ["a", "b", "x", "z"], "c": ["c", "a", "x", "z"]}
+
+
+def test_rules_to_show(spark):
+    made = [(f"h{i}", f"b{i}", f"L{1 + i % 3}", "binary", 1 - i / 100, 5) for i in range(30)] + [(f"u{i}", "b", "L1", "unary", 0.5, i) for i in range(15)]
+    df = spark.createDataFrame(made, "head string, body string, level string, arity string, confidence double, support int")
+    got = merging.sample_rules(df).collect()
+    levels = Counter(r.level for r in got if r.arity == "binary")
+    assert len([r for r in got if r.arity == "unary"]) == 10 and sum(levels.values()) == 10 and levels["L1"] >= 3 and levels["L2"] >= 3
+    assert {(r.level, r.arity): r.rules for r in merging.level_counts(df).collect()}["L1", "unary"] == 15

@@ -1,4 +1,7 @@
-from hornweave import config
+import os
+
+import pytest
+from hornweave import config, storage
 from hornweave.functions import relations as fn
 from hornweave.operators import walking
 from hornweave.sources import results, rules, sinks, triples
@@ -132,14 +135,56 @@ def test_relation_functions(spark):
 
 
 def test_generalisations(spark):
-    paths = spark.createDataFrame([(["a", "b", "c"], ["r", "s"]), (["a", "b", "c", "a"], ["r", "INVERSE_s", "t"])], "nodes array<string>, rels array<string>")
-    got = {(r.rule_type, r.rule) for r in walking.generalisations(paths).collect()}
+    paths = [(["a", "b", "c"], ["r", "s"]), (["a", "b", "c", "a"], ["r", "INVERSE_s", "t"]), (["q", "p", "c"], ["INVERSE_u", "s"]), (["b", "a", "b"], ["INVERSE_v", "w"]), (["a", "b"], ["z"]), (["a", "a", "b"], ["r", "s"])]
+    got = {(r.rule_type, r.rule) for r in walking.generalisations(spark.createDataFrame(paths, "nodes array<string>, rels array<string>")).collect()}
     assert got == {
         ("AC1", "r(a,Y) <= s(Y,c)"), ("AC2", "r(a,Y) <= s(Y,A)"), ("Z", "r(a,Y) <= "),
-        ("C", "r(X,Y) <= s(A,Y), t(A,X)"), ("AC1", "r(a,Y) <= s(A,Y), t(A,a)"),
+        ("C", "r(X,Y) <= t(A,X), s(A,Y)"), ("AC1", "r(X,b) <= t(A,X), s(A,b)"), ("AC1", "r(a,Y) <= s(A,Y), t(A,a)"),
+        ("AC1", "u(X,q) <= s(X,c)"), ("AC2", "u(X,q) <= s(X,A)"), ("Z", "u(X,q) <= "),
+        ("C", "v(X,Y) <= w(X,Y)"), ("AC1", "v(a,Y) <= w(a,Y)"), ("AC1", "v(X,b) <= w(X,b)"),
+        ("Z", "z(a,Y) <= "), ("Z", "z(X,b) <= "),
     }
 
 
+def test_gain_kinds(spark):
+    one = spark.createDataFrame([("C", 10, 0.5, 0.4, 3)], "rule_type string, correct int, confidence double, applied double, body_size int")
+    assert [walking.reward(one, k).first().gain for k in range(1, 6)] == [10.0, 5.0, 4.0, 1.6, 1.0]
+
+
+def test_ablations(spark):
+    rows = [("C", 1), ("C", 2), ("AC1", 1), ("AC2", 2), ("Z", 0)]
+    df = spark.createDataFrame(rows, "rule_type string, body_size int")
+    of = lambda name: sorted(map(tuple, rules.ablation(df, name).collect()))
+    assert of("ALL") == sorted(rows) and of("C-2") == [("C", 2)] and of("N-AC1-1") == sorted(set(rows) - {("AC1", 1)})
+    for bad in ("C-9", "N-ALL", ""):
+        with pytest.raises(ValueError):
+            rules.ablation(df, bad)
+
+
+def test_metric_files_of_several_runs(spark, tmp_path):
+    one = spark.createDataFrame([("h", "b", 3, 4, 5, 0.25, 0.6, 2)], "head string, body string, support int, head_size long, body_size long, jaccard double, confidence double, size long")
+    sinks.write_json(one, str(tmp_path / "x"))
+    sinks.write_json(one.withColumn("head", F.lit("r(c)")).drop("size"), str(tmp_path / "y"))
+    got = {r.head: r for r in rules.by_arity(rules.read_metrics(spark, [f"{tmp_path}/x+y"])).collect()}
+    assert (got["h"].size, got["h"].arity, got["r(c)"].size, got["r(c)"].arity) == (2, "binary", None, "unary")
+    m = spark.createDataFrame([("s", 3)], "strategy string, parts int")
+    sinks.write_partition_metrics(m, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first().parts == 3
+    w = spark.createDataFrame([("a", "r", "b", "tail", "c", 0.5), ("a", "r", "b", "head", "d", 0.25)], "h string, r string, t string, direction string, candidate string, score double")
+    assert rows(sinks.weighted_triples(w)) == [("a", "r", "c", 0.5), ("d", "r", "b", 0.25)]
+
+
+def test_storage(spark, tmp_path):
+    one = storage.written(spark.range(5), "one")
+    assert one.count() == 5 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    files = one.inputFiles()
+    storage.discard(one)
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    path = storage.put_file(spark, "some-bytes", b"abc")
+    with open(path, "rb") as f:
+        assert f.read() == b"abc"
+
+
 def test_sampled_paths_are_walks(spark):
     e = toy(spark).where("h <> t").distinct()
     for cyclic in (False, True):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.relations import INVERSE, SEPARATOR
+from ..config import Config
+from ..functions.relations import INVERSE, SEPARATOR, path_length
 from ..storage import written
 from .graph import with_inverse
-from .paths import closing_supports, pair_counts
+from .paths import closing_supports, enumerate_paths, pair_counts
 
 METRICS = ("support", "body_size", "head_size")
 
@@ -81,6 +82,15 @@ def two_step_rules(edges: DataFrame, min_support: int) -> DataFrame:
     return metric_columns(rows.select("head", F.concat_ws(SEPARATOR, "r1", "r2").alias("body"), "support", "body_size", "head_size"))
 
 
+def mine(edges: DataFrame, config: Config = Config(), budget: int = 1_000_000) -> DataFrame:
+    """All rules of relations over paths of up to ``config.max_path_length`` steps, with exact metrics and the body's length.
+
+    Supports come from joining every path's pairs with the heads' triples; a rule needs ``config.min_supp`` of them and a body other than its head.
+    """
+    found = enumerate_paths(edges, config.max_path_length, config.min_supp, config.min_entity_supp, budget)
+    return path_rules(edges, found, config.min_supp).withColumn("steps", path_length(F.col("body")))
+
+
 def zero_rules(edges: DataFrame, min_support: int) -> DataFrame:
     """r(X,c) <- nothing, both directions: support is the number of X, body size that of the relation."""
     both = with_inverse(edges)
@@ -118,6 +128,35 @@ def better_than(gain: float, confidence: str, jaccard: str) -> Column:
     return (F.col("confidence") > gain * F.col(confidence)) & (F.col("jaccard") > F.col(jaccard))
 
 
+def two_step_unary_rules(edges: DataFrame, rows: DataFrame, min_support: int) -> DataFrame:
+    """path_unary_rules() for all two-step bodies at once, of heads in both directions: (head_relation, c, r1, r2, c2, support, body_size).
+
+    ``rows`` are groundings (r1, r2, h, m, t). Where the first step is the head's relation or leads to its constant, the x it proves leave the body.
+    """
+    path = ["r1", "r2"]
+    body = written(rows.select(*path, F.col("h").alias("x"), F.col("t").alias("c2")).distinct(), "unary_bodies")
+    sizes = body.groupBy(*path, "c2").agg(F.count("*").alias("full_size")).where(F.col("full_size") >= min_support)
+    body = body.join(sizes.select(*path, "c2"), [*path, "c2"], "left_semi")
+    heads = with_inverse(edges).select(F.col("r").alias("head_relation"), F.col("t").alias("c"), F.col("h").alias("x"))
+    proven = rows.select(*path, F.col("h").alias("x"), F.col("m").alias("c")).distinct()
+    held = body.join(heads, "x")
+    pairs = held.join(proven, [*path, "x", "c"], "left_anti").groupBy("head_relation", "c", *path, "c2").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+    lost = body.join(proven, [*path, "x"]).groupBy(*path, "c", "c2").agg(F.count("*").alias("lost"))
+    found = pairs.join(sizes, [*path, "c2"]).join(lost, [*path, "c", "c2"], "left")
+    return found.select("head_relation", "c", *path, "c2", "support", (F.col("full_size") - F.coalesce("lost", F.lit(0))).alias("body_size"))
+
+
+def verified_candidates(atoms: DataFrame, min_support: int, bins: int = 256, ratio: float = 0.8) -> DataFrame:
+    """Rules whose atoms are min-hash candidates, verified on their elements: exact metrics of those found, without pairing all atoms of an element."""
+    pairs = written(lsh_candidates(atoms, min_support, bins, ratio).select("head", "body"), "candidates")
+    sizes = atoms.select("atom", "size").distinct()
+    elements = atoms.select("atom", "x")
+    both = pairs.join(elements.withColumnRenamed("atom", "head"), "head").join(elements.withColumnRenamed("atom", "body"), ["body", "x"])
+    found = both.groupBy("head", "body").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+    found = found.join(sizes.select(F.col("atom").alias("head"), F.col("size").alias("head_size")), "head").join(sizes.select(F.col("atom").alias("body"), F.col("size").alias("body_size")), "body")
+    return metric_columns(found.select("head", "body", "support", "head_size", "body_size"))
+
+
 def conjunctive_rules(atoms: DataFrame, rules: DataFrame, min_support: int, gain: float = 1.5) -> DataFrame:
     """head <- body1, body2 for pairs of rules of one head; kept if the pair is better than each one: a confidence over ``gain`` times its, and a larger Jaccard similarity.
 

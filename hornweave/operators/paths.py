@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.relations import SEPARATOR
 from ..storage import written
+from .graph import with_inverse
 
 
 def estimate(edges: DataFrame) -> DataFrame:
@@ -91,6 +92,58 @@ def closing_supports(heads: DataFrame, steps: DataFrame, min_support: int) -> Da
     return rows.select("head", "r1", "r2", "h", "t").distinct().groupBy("head", "r1", "r2").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
 
 
+def two_steps(steps: DataFrame, budget: int) -> DataFrame:
+    """(r1, r2, h, m, t), h <> t, of every pair of relations (in both directions) whose join has ``budget`` groundings at most."""
+    return groundings(steps, steps, within_budget(steps, budget))
+
+
+def three_steps(steps: DataFrame, two: DataFrame, budget: int) -> DataFrame:
+    """(r1, r2, r3, h, t): the pairs that both splits of a three-step path give, h <> t.
+
+    ``two`` has the distinct (r1, r2, h, t) of the two-step paths. A split is joined if its groundings, counted from both
+    sides' numbers at the middle node, keep to ``budget``; a path needs both. Reversing a path exchanges its splits.
+    """
+    ends = two.groupBy("r1", "r2", F.col("t").alias("m")).agg(F.count("*").alias("n"))
+    starts = two.groupBy("r1", "r2", F.col("h").alias("m")).agg(F.count("*").alias("n"))
+    out = steps.groupBy("r", F.col("h").alias("m")).agg(F.count("*").alias("k"))
+    into = steps.groupBy("r", F.col("t").alias("m")).agg(F.count("*").alias("k"))
+    size = F.sum(F.col("n") * F.col("k")).alias("size")
+    front = ends.join(out.withColumnRenamed("r", "r3"), "m").groupBy("r1", "r2", "r3").agg(size).where(F.col("size") <= budget).drop("size")
+    back = starts.select(F.col("r1").alias("r2"), F.col("r2").alias("r3"), "m", "n").join(into.withColumnRenamed("r", "r1"), "m")
+    back = back.groupBy("r1", "r2", "r3").agg(size).where(F.col("size") <= budget).drop("size")
+    both = written(front.join(back, ["r1", "r2", "r3"]), "three_step_paths")  # at most (relations in both directions) cubed rows
+    step = steps.select(F.col("r").alias("r3"), F.col("h").alias("m"), "t")
+    one = two.select("r1", "r2", "h", F.col("t").alias("m")).join(both, ["r1", "r2"]).join(step, ["r3", "m"]).where("h <> t").select("r1", "r2", "r3", "h", "t").distinct()
+    step = steps.select(F.col("r").alias("r1"), "h", F.col("t").alias("m"))
+    other = two.select(F.col("r1").alias("r2"), F.col("r2").alias("r3"), F.col("h").alias("m"), "t").join(both, ["r2", "r3"]).join(step, ["r1", "m"]).where("h <> t")
+    return one.join(other.select("r1", "r2", "r3", "h", "t"), ["r1", "r2", "r3", "h", "t"], "left_semi")
+
+
+def enumerate_paths(edges: DataFrame, longest: int, min_supp: int, min_entity_supp: int, budget: int) -> DataFrame:
+    """(path, h, t) of all valid paths of one to ``longest`` (at most three) steps, in both directions.
+
+    A relation needs ``min_supp`` pairs, a two-step path the entity support ``min_entity_supp`` (it may have few pairs and
+    still be extended), and every join keeps to ``budget`` groundings; paths of fewer than ``min_supp`` pairs aren't returned.
+    """
+    if not 1 <= longest <= 3:
+        raise ValueError("paths have one to three steps")
+    steps = with_inverse(edges)
+    large = steps.groupBy("r").agg(F.count("*").alias("n")).where(F.col("n") >= min_supp).select("r")
+    steps = written(steps.join(F.broadcast(large), "r"), "steps").select("h", "r", "t")  # one row for each relation
+    found = steps.select(F.col("r").alias("path"), "h", "t")
+    if longest > 1:
+        rows = written(two_steps(steps, budget), "two_steps")
+        valid = instance_stats(rows).where(F.col("entity_support") >= min_entity_supp).select("r1", "r2")
+        two = written(rows.select("r1", "r2", "h", "t").distinct().join(valid, ["r1", "r2"], "left_semi"), "two_step_pairs")
+        found = found.unionByName(two.select(F.concat_ws(SEPARATOR, "r1", "r2").alias("path"), "h", "t"))
+        if longest > 2:
+            three = three_steps(steps, two, budget)
+            found = found.unionByName(three.select(F.concat_ws(SEPARATOR, "r1", "r2", "r3").alias("path"), "h", "t"))
+    found = written(found, "paths")
+    large = found.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_supp).select("path")
+    return found.join(large, "path", "left_semi")
+
+
 def compose(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct (h, t), h <> t, of two pair tables joined at the middle."""
     rows = left.select("h", F.col("t").alias("m")).join(right.select(F.col("h").alias("m"), "t"), "m")

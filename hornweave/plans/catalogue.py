@@ -251,6 +251,51 @@ def rules_b_l2_all(spark, d):
     return mining.two_step_rules(edges(spark, d), MIN_SUPPORT)
 
 
+#: Most groundings of a join that path enumeration makes.
+BUDGET = 20_000
+
+MINED = f"""{BOTH}, i1 AS (SELECT r, t AS m, count(*) AS n FROM dirs GROUP BY ALL), o1 AS (SELECT r, h AS m, count(*) AS n FROM dirs GROUP BY ALL),
+  ok2 AS (SELECT a.r AS r1, b.r AS r2 FROM i1 a JOIN o1 b USING (m) GROUP BY ALL HAVING sum(a.n * b.n) <= {BUDGET}),
+  l2 AS (SELECT DISTINCT r1, r2, a.h AS h, b.t AS t FROM ok2 JOIN dirs a ON a.r = r1 JOIN dirs b ON b.r = r2 AND a.t = b.h WHERE a.h <> b.t),
+  e2 AS (SELECT r1, r2, t AS m, count(*) AS n FROM l2 GROUP BY ALL), s2 AS (SELECT r1, r2, h AS m, count(*) AS n FROM l2 GROUP BY ALL),
+  ok3 AS (SELECT r1, r2, r AS r3 FROM e2 JOIN o1 USING (m) GROUP BY ALL HAVING sum(e2.n * o1.n) <= {BUDGET} INTERSECT SELECT r, r1, r2 FROM s2 JOIN i1 USING (m) GROUP BY ALL HAVING sum(s2.n * i1.n) <= {BUDGET}),
+  l3 AS (SELECT k.r1, k.r2, r3, l.h, d.t FROM ok3 k JOIN l2 l ON l.r1 = k.r1 AND l.r2 = k.r2 JOIN dirs d ON d.r = r3 AND d.h = l.t WHERE l.h <> d.t
+    INTERSECT SELECT k.r1, k.r2, r3, d.h, l.t FROM ok3 k JOIN l2 l ON l.r1 = k.r2 AND l.r2 = k.r3 JOIN dirs d ON d.r = k.r1 AND d.t = l.h WHERE d.h <> l.t),
+  p AS (SELECT r AS path, 1 AS steps, h, t FROM dirs UNION ALL SELECT r1 || '·' || r2, 2, h, t FROM l2 UNION ALL SELECT r1 || '·' || r2 || '·' || r3, 3, h, t FROM l3),
+  ps AS (SELECT path, steps, count(*) AS pairs FROM p GROUP BY ALL HAVING count(*) >= 10)"""
+
+
+@query(cte(more=MINED) + "SELECT path, steps, pairs FROM ps")
+def paths_enumerated(spark, d):
+    """All paths of up to three steps over all relations, in both directions."""
+    found = paths.enumerate_paths(edges(spark, d), 3, MIN_SUPPORT, 1, BUDGET)
+    return found.groupBy("path").agg(F.count("*").alias("pairs")).select("path", fn.path_length(F.col("path")).alias("steps"), "pairs")
+
+
+@query(cte(more=MINED + ", hs AS (SELECT r AS head, count(*) AS head_size FROM edges GROUP BY r), sp AS (SELECT e.r AS head, path AS body, count(*) AS support FROM edges e JOIN p USING (h, t) WHERE e.r <> path GROUP BY ALL HAVING count(*) >= 10), m AS (SELECT head, body, steps, support, pairs AS body_size, head_size FROM sp JOIN ps ON body = path JOIN hs USING (head))") + f"SELECT head, body, steps, {METRIC_SQL} FROM m")
+def rules_mined(spark, d):
+    """All rules over paths of up to three steps, over all relations."""
+    return mining.mine(edges(spark, d), Config(min_supp=MIN_SUPPORT), BUDGET)
+
+
+@query(cte(more=MINED + ", sp AS (SELECT e.r AS head, path AS body, count(*) AS support FROM edges e JOIN p USING (h, t) WHERE e.r <> path GROUP BY ALL HAVING count(*) >= 10)") + "SELECT 'L' || (length(body) - length(replace(body, '·', '')) + 1) AS level, 'binary' AS arity, count(*) AS rules FROM sp GROUP BY ALL")
+def rule_level_counts(spark, d):
+    rules = rules_mined(spark, d).select("head", "body", fn.rule_level(F.col("body")).alias("level"))
+    return merging.level_counts(rule_files.by_arity(rules))
+
+
+@query(cte(more=MINED + """, g AS (SELECT r1, r2, a.h AS x, a.t AS m, b.t AS c2 FROM ok2 JOIN dirs a ON a.r = r1 JOIN dirs b ON b.r = r2 AND a.t = b.h WHERE a.h <> b.t),
+  bd AS (SELECT DISTINCT r1, r2, x, c2 FROM g), sz AS (SELECT r1, r2, c2, count(*) AS n FROM bd GROUP BY ALL HAVING count(*) >= 10), pv AS (SELECT DISTINCT r1, r2, x, m AS c FROM g),
+  hd AS (SELECT r AS head_relation, h AS x, t AS c FROM dirs),
+  hl AS (SELECT r1, r2, x, c2, head_relation, c FROM bd SEMI JOIN sz USING (r1, r2, c2) JOIN hd USING (x)),
+  sp AS (SELECT head_relation, c, r1, r2, c2, count(*) AS support FROM hl ANTI JOIN pv USING (r1, r2, x, c) GROUP BY ALL HAVING count(*) >= 10),
+  ls AS (SELECT r1, r2, c, c2, count(*) AS lost FROM bd JOIN pv USING (r1, r2, x) GROUP BY ALL)""") + "SELECT head_relation, c, r1, r2, c2, support, n - coalesce(lost, 0) AS body_size FROM sp JOIN sz USING (r1, r2, c2) LEFT JOIN ls USING (r1, r2, c, c2)")
+def rules_unary_two_step(spark, d):
+    """Heads r(X,c) over all two-step bodies with a constant, without x that prove the head by themselves."""
+    e = edges(spark, d)
+    return mining.two_step_unary_rules(e, written(paths.two_steps(written(graph.with_inverse(e), "steps"), BUDGET), "two_steps"), MIN_SUPPORT)
+
+
 @query(cte("placedBy", "custNation", "inRegion", "custRegion", more="""
   p AS (SELECT h, t FROM edges WHERE r = 'placedBy'), c AS (SELECT h, t FROM edges WHERE r = 'custNation'), i AS (SELECT h, t FROM edges WHERE r = 'inRegion'), g AS (SELECT h, t FROM edges WHERE r = 'custRegion'),
   body AS (SELECT DISTINCT p.h, i.t FROM p JOIN c ON p.t = c.h JOIN i ON c.t = i.h), head AS (SELECT DISTINCT p.h, g.t FROM p JOIN g ON p.t = g.h)""") + "SELECT (SELECT count(*) FROM body JOIN head USING (h, t)) AS support, (SELECT count(*) FROM body) AS body_size, (SELECT count(*) FROM head) AS head_size")
@@ -326,6 +371,17 @@ def lsh_candidates(spark, d):
     return mining.lsh_candidates(_atoms(spark, d), MIN_SUPPORT)
 
 
+@query()
+def lsh_verified(spark, d):
+    """Exact rules among the min-hash candidates."""
+    return mining.verified_candidates(_atoms(spark, d), MIN_SUPPORT).select("head", "body", "support")
+
+
+@query()
+def lsh_largest_buckets(spark, d):
+    return mining.largest_buckets(_atoms(spark, d))
+
+
 @query()
 def lsh_bucket_stats(spark, d):
     return mining.bucket_stats(_atoms(spark, d))

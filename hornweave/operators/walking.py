@@ -101,7 +101,6 @@ class Dice:
     scores: dict = field(default_factory=dict)
     #: (time, scores then) of every record().
     trace: list = field(default_factory=list)
-    _asked: int = 0
 
     def __post_init__(self) -> None:
         self._random = random.Random(self.seed)
@@ -117,10 +116,9 @@ class Dice:
         total, n = self.scores.get(kind, (0.0, 0))
         return total / n if n else 1e-4
 
-    def ask(self) -> str:
-        self._asked += 1
-        chance = self.epsilon * (1 + self.annealing / self._asked)
-        if self._random.random() < min(1.0, chance):
+    def ask(self, batch: int) -> str:
+        """The kind for a batch (counted from 0). A random one with a chance that falls from 1 to ``epsilon`` over the first ``annealing`` batches."""
+        if self._random.random() < max(self.epsilon, 1 - batch / self.annealing):
             return self._random.choice(self.kinds)
         weights = [self.mean(k) for k in self.kinds]
         if self.greedy:

@@ -1001,6 +1001,67 @@ def eval_rules_by_relation(spark, d):
     return _evaluated(spark, d, ["r", "direction"])
 
 
+@query(cte(*APPLIED, more=APPLY) + "SELECT query, direction, candidate, round(list_sum(list_transform(confs, lambda c, i: c * pow(1e-4::DOUBLE, i - 1))), 9) AS score FROM rk WHERE rank <= 10")
+def apply_rules_scores(spark, d):
+    """One printable number for each candidate's list of confidences."""
+    ranked, _ = _predicted(spark, d, 10)
+    return ranked.select("query", "direction", "candidate", F.round(ranking.refined_score(F.col("confs")), 9).alias("score"))
+
+
+CLASSES = ("ALL", "C-2", "N-C-2", "AC1-1", "N-AC1-1", "AC2-1", "N-AC2-1")
+
+
+@query(cte(*APPLIED, more=APPLY + ", cl AS (SELECT CASE kind WHEN 'C' THEN 'C-2' WHEN 'Z' THEN 'Z-0' ELSE kind || '-1' END AS k FROM ru)") + "SELECT x AS class, count(*) FILTER (WHERE x = 'ALL' OR k = x OR starts_with(x, 'N-') AND k <> substr(x, 3)) AS rules FROM cl, (VALUES " + ", ".join(f"('{x}')" for x in CLASSES) + ") v(x) GROUP BY x")
+def rules_ablation(spark, d):
+    """How many rules of a rule file each ablation leaves."""
+    rules = written(_rule_file(spark, d)[0].select("rule_type", "body_size"), "rules")
+    out = None
+    for name in CLASSES:
+        one = rule_files.ablation(rules, name).agg(F.count("*").alias("rules")).select(F.lit(name).alias("class"), "rules")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(cte(*APPLIED) + "SELECT 'custNation·inRegion' AS path, count(DISTINCT b.t) AS ends, count(DISTINCT b.t) <= 1 AS singleton FROM edges a JOIN edges b ON a.t = b.h WHERE a.r = 'custNation' AND b.r = 'inRegion' UNION ALL SELECT 'custSegment', count(DISTINCT t), count(DISTINCT t) <= 1 FROM edges WHERE r = 'custSegment'")
+def body_singletons(spark, d):
+    return scoring.singletons(edges(spark, d, *APPLIED), [("custNation", "inRegion"), ("custSegment",)])
+
+
+@query(cte(*APPLIED) + "SELECT * FROM (SELECT 'N3' AS what, count(DISTINCT h) AS ends FROM edges WHERE r = 'custNation' AND t = 'N3' UNION ALL SELECT 'open', count(DISTINCT t) FROM edges WHERE r = 'custNation') WHERE ends >= 2")
+def body_last_groundings(spark, d):
+    e = edges(spark, d, *APPLIED)
+    closed = scoring.last_groundings(e, ("custNation",), "N3", 2).withColumn("what", F.lit("N3"))
+    return closed.unionByName(scoring.last_groundings(e, ("custNation",), None, 2).withColumn("what", F.lit("open")))
+
+
+@query(cte("hasPart", "returnedPart", more="hb AS (SELECT t, count(*) AS n FROM edges WHERE r = 'hasPart' GROUP BY t)") + "SELECT DISTINCT a.h AS x FROM edges a WHERE a.r = 'hasPart' AND a.t = 'P7' AND EXISTS (SELECT 1 FROM edges b WHERE b.r = 'hasPart' AND b.h = a.h AND b.t <> 'P7')")
+def predicted_without_itself(spark, d):
+    """Orders known to have a part for which hasPart(X, A) holds with another triple than the predicted one."""
+    return scoring.predicted_without(edges(spark, d, "hasPart", "returnedPart"), ("hasPart",), None, "hasPart", "P7")
+
+
+@query(cte(*CYCLE_RELATIONS, more=LISTS) + "SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS rank FROM b")
+def resultset_adjust(spark, d):
+    _, other = _two_lists(spark, d)
+    return ranking.adjust(other.select("query", "direction", "candidate", "score", "rank")).select("query", "candidate", F.col("rank").cast("long").alias("rank"))
+
+
+@query(cte(more=BOTH + ", l2 AS (SELECT DISTINCT a.r AS r1, b.r AS r2 FROM dirs a JOIN (SELECT DISTINCT r, h FROM dirs) b ON a.t = b.h)") + "SELECT r1 || '·' || r2 AS path, r1 AS first, r2 AS last, r2 AS rest, r1 || '·' || r2 || '·' || r1 AS longer, 3 AS steps FROM l2")
+def path_parts(spark, d):
+    """First and last relation, the rest, and a path connected with another one."""
+    p = F.array("r1", "r2")
+    longer = fn.path_connect(p, F.array("r1"))
+    found = paths.estimate(graph.with_inverse(edges(spark, d)))
+    return found.select(fn.path_string(p).alias("path"), fn.path_first(p).alias("first"), fn.path_last(p).alias("last"), fn.path_string(fn.path_rest(p)).alias("rest"), fn.path_string(longer).alias("longer"), fn.path_length(fn.path_string(longer)).alias("steps"))
+
+
+@query(cte("hosts", "suppNation") + "SELECT h, r, t FROM edges WHERE r = 'hosts' UNION ALL SELECT t, 'INVERSE_hosts', h FROM edges WHERE r = 'hosts'")
+def is_true_either_way(spark, d):
+    """Supplier triples turned into questions of both directions; suppliers of a nation are all hosted."""
+    asked = kg(spark, d, "suppNation").select(F.col("t").alias("h"), F.lit("hosts").alias("r"), F.col("h").alias("t"))
+    return graph.is_true_either_way(graph.with_inverse(asked), kg(spark, d, "hosts"))
+
+
 # --- files -----------------------------------------------------------------------
 
 

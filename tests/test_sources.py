@@ -196,8 +196,8 @@ def test_dice_prefers_what_paid():
     dice = walking.Dice(["C", "Z"], greedy=True, epsilon=0.0)
     dice.add("C", 1.0)
     dice.add("Z", 5.0)
-    assert {dice.ask() for _ in range(20)} == {"Z"}
-    assert set(walking.Dice(["C", "Z"], epsilon=1.0).ask() for _ in range(3)) <= {"C", "Z"}
+    assert {dice.ask(9) for _ in range(20)} == {"Z"} and {dice.ask(0) for _ in range(40)} == {"C", "Z"}
+    assert set(walking.Dice(["C", "Z"], epsilon=1.0).ask(99) for _ in range(3)) <= {"C", "Z"}
 
 
 def test_streams(spark, tmp_path):

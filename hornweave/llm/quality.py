@@ -125,6 +125,15 @@ def with_neighbours(x: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     return np.concatenate([before, x, after, np.ones((len(x), 1))], axis=1)
 
 
+def emissions(z: np.ndarray, n_lines: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """with_neighbours(z, n_lines) @ weights, without the wide table: what a line adds to the next, its own and the previous line's score."""
+    added = z @ weights[:-1].reshape(3, -1).T
+    start = np.cumsum(n_lines) - n_lines
+    before, after = np.roll(added[:, 0], 1), np.roll(added[:, 2], -1)
+    before[start], after[start + n_lines - 1] = 0, 0
+    return before + added[:, 1] + after + weights[-1]
+
+
 def forward_backward(good: np.ndarray, transition: np.ndarray, n_lines: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(P(good) of every line, log partition of every text, summed pair marginals); all texts step together."""
     start = np.cumsum(n_lines) - n_lines
@@ -184,7 +193,7 @@ def fit_weights(x: np.ndarray, chars: np.ndarray, n_lines: np.ndarray, y: np.nda
 def line_marginals(texts: list[str | None], model: CrfModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(P(good) of every line, its weight, lines of every text)."""
     x, chars, n_lines = line_features(texts)
-    good, _, _ = forward_backward(with_neighbours((x - model.mean) / model.scale, n_lines) @ model.weights, model.transition, n_lines)
+    good, _, _ = forward_backward(emissions((x - model.mean) / model.scale, n_lines, model.weights), model.transition, n_lines)
     return good, np.maximum(chars, 1), n_lines
 
 

@@ -58,6 +58,8 @@ class KatzParams:
     partition_tokens: int = 2_000_000
     #: A context seen more often is dealt over several partitions, one for about this many tokens.
     context_tokens: int = 500_000
+    #: Rounds in which chunks, and partitions of the tables, are gone through: what is shuffled at once is a share of all.
+    rounds: int = 2
 
     def __post_init__(self) -> None:
         if self.order < 2:
@@ -599,6 +601,18 @@ def _score(chunks: DataFrame, answers: DataFrame, parts: int, model: Model, p: K
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, RESULT)
 
 
+def _share(rows: DataFrame, key: str, i: int, p: KatzParams) -> DataFrame:
+    """The rows of one round: all of a chunk or partition are in the same."""
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(p.rounds)) == i)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionAll(other)
+    return out
+
+
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", p: KatzParams = KatzParams()) -> DataFrame:
     """The RESULT columns of every row; rows with an id for which ``held_out`` doesn't hold train the model."""
     held = F.coalesce(held_out, F.lit(False))
@@ -612,9 +626,9 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     for_chunk = ("kind", "chunk", "dest", "payload")
     answers = words.where("kind = '1'").select(*for_chunk)
     for length in range(2, p.order + 1):
-        sent = written(_send(chunks, answers, length, parts, model, p), f"katz_sent_{length}")
-        counted = written(_count(sent, length, parts, model, p), f"katz_level_{length}")
-        discard(sent)
+        sent = [written(_send(_share(chunks, "chunk", i, p), _share(answers, "chunk", i, p), length, parts, model, p), f"katz_sent_{length}") for i in range(p.rounds)]
+        counted = _all([written(_count(_share(_all(sent), "dest", i, p), length, parts, model, p), f"katz_level_{length}") for i in range(p.rounds)])
+        discard(*sent)
         model = Model(model.unigrams, [*model.d, discounts(_totals(counted, p.k + 1), p.k)])
         answers = answers.unionAll(counted.where(F.col("kind") == str(length)).select(*for_chunk)).unionAll(_add_up(counted, length, p.k).select(*for_chunk))
-    return _score(chunks, answers, parts, model, p)
+    return _all([written(_score(_share(chunks, "chunk", i, p), _share(answers, "chunk", i, p), parts, model, p), "katz_scores") for i in range(p.rounds)])

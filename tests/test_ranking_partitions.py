@@ -144,3 +144,15 @@ def test_zero_candidates_give_the_same_first_places_as_every_rule_for_every_quer
     for rank in (ranking.max_plus, ranking.noisy_or):
         got, want = (sorted(map(tuple, rank(as_query(z), 4).collect())) for z in (few, queries.crossJoin(zero)))
         assert got == want and len(got) == 8
+
+
+def test_cycles_at_a_hub(spark):
+    """Edges that no cycle can have go before any join, and paths through a hub aren't listed where its neighbours have fewer."""
+    rows = [("hub", "r", f"o{i}") for i in range(300)] + [(f"i{i}", "r", "hub") for i in range(300)]
+    rows += [("o1", "r", "i1"), ("o2", "r", "x"), ("x", "r", "i2"), ("o2", "s", "x")]
+    parts = spark.createDataFrame([(n % 2, *x) for n, x in enumerate(rows)], "part_id long, h string, r string, t string")
+    kept = {(r.h, r.r, r.t) for r in partitioning._weighed(partitioning.parts_of_edges(parts)).collect()}
+    assert kept == {x for x in rows if x[0] in ("o1", "o2", "x", "i1", "i2") or x[2] in ("o1", "o2", "i1", "i2")}
+    got = [f(parts).first() for f in (partitioning.retention_cycles3, partitioning.retention_cycles4)]
+    want = structures([tuple(r) for r in parts.collect() if (r.h, r.r, r.t) in kept])[2:]
+    assert [(x.total, x.kept) for x in got] == want and want[0][0] == 3 and want[1][0] == 8

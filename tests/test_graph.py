@@ -242,3 +242,16 @@ def test_rules_to_show(spark):
     levels = Counter(r.level for r in got if r.arity == "binary")
     assert len([r for r in got if r.arity == "unary"]) == 10 and sum(levels.values()) == 10 and levels["L1"] >= 3 and levels["L2"] >= 3
     assert {(r.level, r.arity): r.rules for r in merging.level_counts(df).collect()}["L1", "unary"] == 15
+
+
+def test_path_supports_in_pieces_equal_listed_paths(spark, monkeypatch):
+    """Sets of tails, made in pieces, and paths followed from the heads' triples give what listing all groundings gives."""
+    steps = graph.with_inverse(graph.edges(toy(spark))).cache()
+    heads = graph.edges(toy(spark))
+    rows = paths.groundings(steps, steps).select("r1", "r2", "h", "t").distinct().cache()
+    want = {(r.r1, r.r2): r["count"] for r in rows.groupBy("r1", "r2").count().collect()}
+    closed = {(r.head, r.r1, r.r2): r["count"] for r in rows.join(heads.withColumnRenamed("r", "head"), ["h", "t"]).groupBy("head", "r1", "r2").count().collect()}
+    monkeypatch.setattr(paths, "PIECE", 7)
+    pairs, supports = paths.path_supports(heads, steps)
+    assert {(r.r1, r.r2): r.pairs for r in pairs.collect()} == want and len(want) > 10
+    assert {(r.head, r.r1, r.r2): r.support for r in supports.collect()} == closed and len(closed) > 5

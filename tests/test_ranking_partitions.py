@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from hornweave.operators import graph, merging, partitioning, ranking
+from hornweave.plans import catalogue
 from pyspark.sql import functions as F
 
 from .toy import TRIPLES, toy
@@ -156,3 +157,12 @@ def test_cycles_at_a_hub(spark):
     got = [f(parts).first() for f in (partitioning.retention_cycles3, partitioning.retention_cycles4)]
     want = structures([tuple(r) for r in parts.collect() if (r.h, r.r, r.t) in kept])[2:]
     assert [(x.total, x.kept) for x in got] == want and want[0][0] == 3 and want[1][0] == 8
+
+
+def test_rule_order_has_rules_that_fire_for_no_asked_order(spark, tmp_path):
+    """Only orders that nobody asks about were fulfilled, so the inverse rule has a score and no candidate."""
+    rows = [(o, o % 3, o % 2, "O" if o == 10 else "F", "N") for o in range(1, 11)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.rule: r.position for r in catalogue.rule_order(spark, str(tmp_path)).collect()}
+    assert set(got) == {"path", "inverse", "zero S0", "zero S1"} and got["inverse"] == 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 QUERY = ["query", "direction"]
 
 
@@ -89,6 +91,41 @@ def filtered_rank(ranked: DataFrame, known: DataFrame, depth: int = 100) -> Data
     return rows.where("candidate = target").select(*QUERY, F.col("rank").cast("long").alias("raw_rank"), (F.col("rank") - F.col("above")).cast("long").alias("filtered_rank"))
 
 
+def shared_ranks(fired: DataFrame, scores: DataFrame, zero: DataFrame, known: DataFrame, targets: DataFrame, depth: int = 100) -> DataFrame:
+    """(entity, candidate, rank) of every target within the first ``depth`` positions by max_plus(), known answers other than itself left out.
+
+    fired: entity, rule, candidates (a list; one candidate may be in several); scores: rule, applied; zero: candidate, applied of rules that
+    fire for every entity, one for a candidate; known, targets: entity, candidate. Targets of one entity share its candidates, which are
+    listed once; candidates that only a zero rule gives are counted from their places and never listed.
+    """
+    rule = F.struct("rule", "applied")
+    rows = fired.join(F.broadcast(scores), "rule").select("entity", rule.alias("by"), "candidates", F.lit(False).alias("known"), F.lit(False).alias("target"))  # a row for each rule
+    none = F.lit(None).cast(rows.schema["by"].dataType).alias("by")
+    for more, mark in ((known, "known"), (targets, "target")):
+        rows = rows.unionByName(more.select("entity", none, F.array("candidate").alias("candidates"), *[F.lit(c == mark).alias(c) for c in ("known", "target")]))
+    rows = rows.repartition("entity").select("entity", "by", "known", "target", F.explode("candidates").alias("candidate"))
+    rows = rows.groupBy("entity", "candidate").agg(F.collect_set("by").alias("by"), F.max("known").alias("known"), F.max("target").alias("target"))
+    rows = rows.join(zero.select("candidate", F.col("applied").alias("zero")), "candidate", "left")
+    own = F.when(F.col("zero").isNull(), F.array().cast("array<double>")).otherwise(F.array("zero"))
+    confs = F.sort_array(F.concat(F.transform("by", lambda x: x["applied"]), own), asc=False)
+    lists = rows.groupBy("entity").agg(F.collect_list(F.struct("candidate", confs.alias("confs"), "zero", "known", "target")).alias("all"))
+    asked = lists.select("entity", "all", F.explode(F.filter("all", lambda x: x["target"] & (F.size(x["confs"]) > 0))).alias("own"))
+    first = lambda confs, x: (confs > F.col("own.confs")) | ((confs == F.col("own.confs")) & (x["candidate"] < F.col("own.candidate")))
+    listed = F.size(F.filter("all", lambda x: ~x["known"] & first(x["confs"], x)))
+    twice = F.size(F.filter("all", lambda x: x["zero"].isNotNull() & first(F.array(x["zero"]), x)))
+    place = [F.col("own.confs")[0].alias("applied"), (F.size("own.confs") == 1).alias("single"), (listed - twice).alias("listed")]
+    found = written(asked.select("entity", F.col("own.candidate").alias("candidate"), *place), "shared_ranks")
+    total = Window.rowsBetween(Window.unboundedPreceding, -1)
+    levels = zero.select("applied", F.lit(1).alias("n")).unionByName(scores.select("applied", F.lit(0).alias("n"))).groupBy("applied").agg(F.sum("n").alias("n"))
+    levels = levels.select("applied", F.coalesce(F.sum("n").over(total.orderBy(F.desc("applied"))), F.lit(0)).alias("higher"))  # a row for each different confidence
+    names = zero.select("applied", "candidate", F.lit(1).alias("n")).unionByName(found.where("single").select("applied", "candidate", F.lit(0).alias("n")))
+    names = names.groupBy("applied", "candidate").agg(F.max("n").alias("n"))  # a row for each constant of one relation
+    names = names.select("applied", "candidate", F.coalesce(F.sum("n").over(total.partitionBy("applied").orderBy("candidate")), F.lit(0)).alias("level"))
+    ranks = found.join(levels, "applied").join(names, ["applied", "candidate"], "left")
+    rank = 1 + F.col("listed") + F.col("higher") + F.when(F.col("single"), F.col("level")).otherwise(F.lit(0))
+    return ranks.select("entity", "candidate", rank.cast("long").alias("rank")).where(F.col("rank") <= depth)
+
+
 def hits_and_mrr(queries: DataFrame, ranks: DataFrame, by: list[str], ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
     """Hits@k (raw and filtered) and mean reciprocal rank; a query without its target counts as a miss."""
     rows = queries.join(ranks, QUERY, "left")

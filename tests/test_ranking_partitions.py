@@ -166,3 +166,32 @@ def test_rule_order_has_rules_that_fire_for_no_asked_order(spark, tmp_path):
     spark.range(1).write.parquet(f"{tmp_path}/part.parquet")
     got = {r.rule: r.position for r in catalogue.rule_order(spark, str(tmp_path)).collect()}
     assert set(got) == {"path", "inverse", "zero S0", "zero S1"} and got["inverse"] == 1
+
+
+def test_ranks_of_one_entitys_targets_come_from_one_list_of_its_candidates(spark):
+    random = __import__("random").Random(3)
+    names = [f"c{i}" for i in range(12)]
+    scores = {"r1": 0.5, "r2": 0.25}
+    zero = {c: random.choice([0.125, 0.25, 0.5, 0.75]) for c in names[:9]}
+    fired = {(h, r, c) for h in "abcd" for r in scores for c in names if random.random() < 0.4}
+    known = {(h, c) for h in "abcd" for c in names if random.random() < 0.4}
+    targets = {x for x in known if random.random() < 0.7}
+    rows = [(f"{h}|{t}", "tail", c, t, r, scores[r]) for h, t in targets for g, r, c in fired if g == h]
+    rows += [(f"{h}|{t}", "tail", c, t, "zero " + c, x) for h, t in targets for c, x in zero.items()]
+    marks = spark.createDataFrame([(f"{h}|{t}", "tail", c) for h, t in targets for g, c in known if g == h], "query string, direction string, candidate string")
+    want = ranking.max_plus(ranking.drop_known(spark.createDataFrame(rows, FIRED), marks), 6)
+    want = {(r.query, r.rank) for r in want.collect() if r.query.endswith("|" + r.candidate)}
+    lists = [(h, r, [c for g, q, c in sorted(fired) if (g, q) == (h, r)]) for h in "abcd" for r in scores]
+    lists += [(h, r, cs[:2]) for h, r, cs in lists]  # a rule may give a candidate twice
+    pairs = [spark.createDataFrame(sorted(x), "entity string, candidate string") for x in (known, targets)]
+    got = ranking.shared_ranks(
+        spark.createDataFrame(lists, "entity string, rule string, candidates array<string>"), spark.createDataFrame(list(scores.items()), "rule string, applied double"),
+        spark.createDataFrame(list(zero.items()), "candidate string, applied double"), *pairs, 6,
+    ).collect()
+    assert len(want) > 5 and {(f"{r.entity}|{r.candidate}", r.rank) for r in got} == want
+
+
+def test_the_ranking_query_lists_no_candidates_for_each_triple(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "drop_known", None)
+    monkeypatch.setattr(ranking, "zero_candidates", None)
+    assert catalogue.QUERIES["rank_filtered"](spark, "/root/testdata/sf0.001").count() > 0

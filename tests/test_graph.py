@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+from hornweave.config import Config
 from hornweave.operators import graph, merging, mining, paths, scoring
 from hornweave.plans import catalogue
 from pyspark.sql import functions as F
@@ -255,3 +256,30 @@ def test_path_supports_in_pieces_equal_listed_paths(spark, monkeypatch):
     pairs, supports = paths.path_supports(heads, steps)
     assert {(r.r1, r.r2): r.pairs for r in pairs.collect()} == want and len(want) > 10
     assert {(r.head, r.r1, r.r2): r.support for r in supports.collect()} == closed and len(closed) > 5
+
+
+def test_rules_of_one_step_equal_joined_relations_for_many_relations_and_ranges(spark):
+    rnd = random.Random(5)
+    ends = [("a", "a"), ("a", "b"), ("b", "a"), ("c", "d"), ("e", "f")]
+    # 40 relations need two words of bits; those of c and d meet each other only, the one of e and f none
+    rows = {(f"{x}{rnd.randrange(5)}", f"r{i}", f"{y}{rnd.randrange(5)}") for i in range(40) for x, y in [ends[4] if i == 39 else rnd.choice(ends[:4])] for _ in range(9)}
+    e = graph.edges(spark.createDataFrame(sorted(rows), "h string, r string, t string"))
+    want = {(x.head, x.body, x.support) for x in mining.binary_rules(e, 3).collect()}
+    got = {tuple(x) for x in mining.shared_pairs(e, 3).select("head", "body", "support").collect()}
+    assert len(want) > 50 and any(b.startswith("INVERSE_") for _, b, _ in want) and got == want
+
+
+def test_mining_writes_no_table_of_all_steps(spark, monkeypatch):
+    sizes = []
+
+    def recorded(df, name, *more):
+        out = kept(df, name, *more)
+        sizes.append(out.count())
+        return out
+
+    kept = paths.written
+    monkeypatch.setattr(paths, "written", recorded)
+    monkeypatch.setattr(mining, "written", recorded)
+    e = spark.createDataFrame([(f"a{i}", r, f"b{i % 50}") for i in range(400) for r in ("r", "s")] + [("b0", "u", "c0")], "h string, r string, t string")
+    got = {(x.head, x.body, x.support) for x in mining.mine(e, Config(min_supp=1, min_entity_supp=1), 8).collect()}
+    assert {("r", "s", 400), ("s", "r", 400)} <= got and max(sizes) < e.count() / 2

@@ -1,4 +1,5 @@
 import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -169,13 +170,13 @@ def test_rule_order_has_rules_that_fire_for_no_asked_order(spark, tmp_path):
 
 
 def test_ranks_of_one_entitys_targets_come_from_one_list_of_its_candidates(spark):
-    random = __import__("random").Random(3)
+    rnd = random.Random(3)
     names = [f"c{i}" for i in range(12)]
     scores = {"r1": 0.5, "r2": 0.25}
-    zero = {c: random.choice([0.125, 0.25, 0.5, 0.75]) for c in names[:9]}
-    fired = {(h, r, c) for h in "abcd" for r in scores for c in names if random.random() < 0.4}
-    known = {(h, c) for h in "abcd" for c in names if random.random() < 0.4}
-    targets = {x for x in known if random.random() < 0.7}
+    zero = {c: rnd.choice([0.125, 0.25, 0.5, 0.75]) for c in names[:9]}
+    fired = {(h, r, c) for h in "abcd" for r in scores for c in names if rnd.random() < 0.4}
+    known = {(h, c) for h in "abcd" for c in names if rnd.random() < 0.4}
+    targets = {x for x in known if rnd.random() < 0.7}
     rows = [(f"{h}|{t}", "tail", c, t, r, scores[r]) for h, t in targets for g, r, c in fired if g == h]
     rows += [(f"{h}|{t}", "tail", c, t, "zero " + c, x) for h, t in targets for c, x in zero.items()]
     marks = spark.createDataFrame([(f"{h}|{t}", "tail", c) for h, t in targets for g, c in known if g == h], "query string, direction string, candidate string")

@@ -2,8 +2,11 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from hornweave.config import Config
 from hornweave.operators import graph, merging, mining, paths, scoring
+from hornweave.operators import pairs as cells
 from hornweave.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -195,6 +198,38 @@ def test_two_step_rules_and_paths_of_all_relations_in_both_directions(spark):
     assert {(x.r1, x.r2): x.entity_support for x in paths.entity_supports(both).collect()} == support
 
 
+@pytest.mark.parametrize(("listed", "places"), [(1 << 15, 1 << 20), (7, 1 << 20), (40, 200), (1 << 15, 30)])
+def test_ends_of_one_cell_are_counted_once_sorted_marked_or_piece_by_piece(monkeypatch, listed, places):
+    monkeypatch.setattr(cells, "LISTED", listed)
+    monkeypatch.setattr(cells, "PLACES", places)
+    rng = np.random.default_rng(3)
+    for dense in (False, True):
+        first = sorted({(int(a), int(m)) for a, m in rng.integers(0, 30, (40, 2))} | ({(7, m) for m in range(30)} if dense else set()))
+        second = sorted({(int(m), 3 * int(t) + 1) for m, t in rng.integers(0, 30, (900 if dense else 60, 2))})
+        lists = lambda rows: (np.array(sorted({a for a, _ in rows})), np.array([sum(a == x for x, _ in rows) for a in sorted({a for a, _ in rows})]), np.array([b for _, b in rows]))
+        want = {(a, t) for a, m in first for k, t in second if m == k and a != t}
+        assert list(cells._pairs_into(lists(second), [lists(first)], 3, ["x"])) == [("x", len(want))]
+        row, size = np.repeat(np.arange(50), 50), np.full(2500, 45)  # many rows, all marked
+        assert cells._count(row, size, np.tile(np.arange(50), 50), np.r_[np.zeros(25, int), np.full(25, -1)], np.arange(100) % 60, 60) == 50 * 60 - 25
+
+
+def test_pairs_of_paths_are_counted_in_cells_of_groups_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK", 20)
+    rng = random.Random(4)
+    rows = {(f"o{rng.randrange(12)}", "part", f"p{rng.randrange(6)}") for _ in range(40)} | {(f"p{rng.randrange(6)}", "like", f"p{rng.randrange(6)}") for _ in range(12)}
+    rows = {x for x in rows if x[0] != x[2]}
+    steps = rows | {(t, "INVERSE_" + r, h) for h, r, t in rows}
+    ground = {(r1, r2, h, m, t) for h, r1, m in steps for m2, r2, t in steps if m == m2 and h != t}
+    want = Counter((r1, r2) for r1, r2, _, _ in {(r1, r2, h, t) for r1, r2, h, _, t in ground})
+    support = {k: min(len({g[i] for g in ground if g[:2] == k}) for i in (2, 3, 4)) for k in want}
+    e = spark.createDataFrame(sorted(rows), "h string, r string, t string")
+    for both in (graph.with_inverse(e), graph.with_inverse(graph.numbered(e))):
+        assert {(x.r1, x.r2): x.pairs for x in cells.distinct_pairs(both, sorted(want)).collect()} == want
+        for both_ways in (False, True):
+            assert {(x.r1, x.r2): x.pairs for x in paths.pair_counts(both, both_ways=both_ways).collect()} == want
+            assert {(x.r1, x.r2): x.entity_support for x in paths.entity_supports(both, both_ways).collect()} == support
+
+
 def test_minhash_queries_use_the_default_number_of_bins(spark):
     d = "/root/testdata/sf0.001"
     assert {r.bins for r in catalogue.minhash_signature(spark, d).select("bins").distinct().collect()} == {256}

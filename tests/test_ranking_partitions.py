@@ -98,6 +98,24 @@ def test_every_edge_is_placed(spark, name):
         assert max(Counter(x[0] for x in parts).values()) <= limit
 
 
+def test_a_turns_seeds_are_chosen_once_and_its_balls_laid_in_order(spark, monkeypatch):
+    made, real = [], partitioning.written
+    monkeypatch.setattr(partitioning, "written", lambda df, name, *more: made.append((name, real(df, name, *more))) or made[-1][1])
+    e = graph.edges(toy(spark))
+    parts = partitioning.bfs_expansion(e, 6, 1)
+    seeds = [{tuple(r) for r in df.collect()} for name, df in made if name == "bfs_seeds"]
+    assert seeds and all(sorted(b for _, b in x) == list(range(1 << i, (1 << i) + len(x))) for i, x in enumerate(seeds))
+    want, links = [], [x for x in set(TRIPLES) if x[0] != x[2]]
+    for node, ball in sorted((x for y in seeds for x in y), key=lambda x: x[1]):
+        near = {node} | {t for h, _, t in links if h == node} | {h for h, _, t in links if t == node}
+        want += sorted(x for x in links if near & {x[0], x[2]})
+    inside = {(i // 6, *x) for i, x in enumerate(want)}
+    got = {tuple(r) for r in parts.collect()}
+    assert {x for x in got if x[0] <= (len(want) - 1) // 6} == inside
+    stats = {(r.part_id, r.edges, r.nodes) for r in partitioning.part_stats(parts).collect()}
+    assert stats == {(p, sum(x[0] == p for x in got), len({n for x in got if x[0] == p for n in (x[1], x[3])})) for p in {x[0] for x in got}}
+
+
 def test_random_multi_and_stats(spark):
     e = graph.edges(toy(spark))
     parts = partitioning.random_multi(e, 5, 3)

@@ -1,9 +1,11 @@
+import glob
 import itertools
 import random
 from collections import Counter
 
 import pytest
-from hornweave.operators import graph, merging, partitioning, ranking
+from hornweave import storage
+from hornweave.operators import graph, merging, partitioning, ranking, rounds
 from hornweave.plans import catalogue
 from pyspark.sql import functions as F
 
@@ -214,3 +216,45 @@ def test_the_ranking_query_lists_no_candidates_for_each_triple(spark, monkeypatc
     monkeypatch.setattr(ranking, "drop_known", None)
     monkeypatch.setattr(ranking, "zero_candidates", None)
     assert catalogue.QUERIES["rank_filtered"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(rounds, "BLOCK", 60)
+    monkeypatch.setattr(rounds, "PACKED", 32)
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_labels_and_moves_equal_brute_force_in_many_blocks(spark, small_blocks, kind):
+    rnd = random.Random(5)
+    name = (lambda i: f"n{i:02}") if kind == "string" else (lambda i: i)
+    rows = sorted({(rnd.randrange(40), rnd.choice("xy"), rnd.randrange(40)) for _ in range(120)} | {(0, "x", i) for i in range(1, 30)})
+    rows = [(name(h), r, name(t)) for h, r, t in rows if h != t]
+    e = spark.createDataFrame(rows, f"h {kind}, r string, t {kind}")
+    ends = [(h, t) for h, _, t in rows] + [(t, h) for h, _, t in rows]
+    label = {a: a for a, _ in ends}
+    for _ in range(5):
+        votes = {v: Counter([label[b] for a, b in set(ends) if a == v] + [label[v]]) for v in label}
+        label = {v: min(c, key=lambda x: (-c[x], x)) for v, c in votes.items()}
+    assert dict(partitioning.propagate_labels(e).collect()) == label
+    hashes = spark.createDataFrame([(v,) for v in label], f"node {kind}").select("node", F.pmod(F.xxhash64("node"), F.lit(3)), F.pmod(F.xxhash64("node", F.lit(7)), F.lit(2))).collect()
+    place, half = {v: p for v, p, _ in hashes}, {v: x for v, _, x in hashes}
+    for i in range(3):
+        load = Counter(place.values())
+        cost = {p: 0.1 * n / (len(place) / len(load)) for p, n in load.items()}
+        votes = {v: Counter(place[b] for a, b in ends if a == v) for v in place}
+        place = {v: min(votes[v], key=lambda p: (cost[p] - votes[v][p], p)) if half[v] == i % 2 else p for v, p in place.items()}
+    assert {tuple(x) for x in partitioning.edge_cut(e, 3).collect()} == {(place[h], h, r, t) for h, r, t in rows}
+
+
+def test_placements_count_repetitions(spark, small_blocks):
+    rows = [(i % 3, i, 1, i + 1) for i in range(100)]
+    rows += [(0, 0, 1, 1), (1, 0, 1, 1), (2, 0, 2, 1), (1, 1, 1, 2)]  # again, in another part, another edge, again
+    got = partitioning.placements(spark.createDataFrame(rows, "part_id long, h long, r long, t long")).first()
+    assert (got.placed, got.different, got.edges, got.largest) == (104, 102, 101, 35)
+
+
+def test_part_invariants_leave_no_tables_of_parts(spark):
+    before = set(glob.glob(f"{storage.application_dir(spark)}/parts_*"))
+    assert all(r.no_repetition and r.within_bound is not False and r.each_once is not False for r in catalogue.part_invariants(spark, "/root/testdata/sf0.001").collect())
+    assert set(glob.glob(f"{storage.application_dir(spark)}/parts_*")) <= before

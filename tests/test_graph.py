@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from hornweave.config import Config
-from hornweave.operators import graph, merging, mining, paths, scoring
+from hornweave.operators import graph, merging, mining, paths, scoring, threesteps
 from hornweave.operators import pairs as cells
 from hornweave.plans import catalogue
 from pyspark.sql import functions as F
@@ -318,3 +318,43 @@ def test_mining_writes_no_table_of_all_steps(spark, monkeypatch):
     e = spark.createDataFrame([(f"a{i}", r, f"b{i % 50}") for i in range(400) for r in ("r", "s")] + [("b0", "u", "c0")], "h string, r string, t string")
     got = {(x.head, x.body, x.support) for x in mining.mine(e, Config(min_supp=1, min_entity_supp=1), 8).collect()}
     assert {("r", "s", 400), ("s", "r", 400)} <= got and max(sizes) < e.count() / 2
+
+
+def test_rules_of_two_and_three_steps_are_found_whatever_their_joins_are(spark, monkeypatch):
+    """A graph of hubs, loops of steps and nodes met twice, in blocks of last nodes, against all bindings; no join is left out for its size."""
+    rng = random.Random(5)
+    kinds = {"ab": ("a", "b"), "bc": ("b", "c"), "ac": ("a", "c"), "aa": ("a", "a"), "ca": ("c", "a"), "bb": ("b", "b")}
+    rows = {(f"{x}{rng.randrange(90)}", r, f"{y}{rng.choice((0, 1, rng.randrange(90)))}") for r, (x, y) in kinds.items() for _ in range(150)}
+    rows = {x for x in rows if x[0] != x[2]}
+    monkeypatch.setattr(threesteps, "TABLE", 900)
+    monkeypatch.setattr(threesteps, "JOINED", 200)
+    e = spark.createDataFrame(sorted(rows), "h string, r string, t string")
+    steps = {}
+    for h, r, t in rows:
+        steps.setdefault(r, set()).add((h, t))
+        steps.setdefault("INVERSE_" + r, set()).add((t, h))
+    out = {r: {} for r in steps}
+    for r, pairs in steps.items():
+        for h, t in pairs:
+            out[r].setdefault(h, set()).add(t)
+    join = lambda left, right: {(h, t) for h, m in left for t in right.get(m, ()) if h != t}
+    two = {(x, y): join(steps[x], out[y]) for x in steps for y in steps}
+    ends = {k: {} for k in two}
+    for k, pairs in two.items():
+        for h, t in pairs:
+            ends[k].setdefault(h, set()).add(t)
+    want = {}
+    for (x, y), pairs in two.items():
+        for head in kinds:
+            if len(pairs & steps[head]) >= 10:
+                want[head, None, x, y] = len(pairs & steps[head]), len(pairs)
+        for z in steps:
+            body = join(pairs, out[z]) & join(steps[x], ends[y, z])
+            for head in kinds:
+                n = len(body & steps[head])
+                if n >= 10:
+                    want[head, x, y, z] = n, len(body)
+    got = {(r.head, r.r1, r.r2, r.r3): (r.support, r.body_size) for r in threesteps.three_step_supports(e, 10).collect()}
+    assert got == want and len(want) > 50 and any(k[1] is None for k in want)
+    mined = {r.body for r in mining.mine_all(e, 10).collect()}
+    assert {"·".join(x for x in k[1:] if x) for k in want} <= mined

@@ -258,3 +258,17 @@ def test_part_invariants_leave_no_tables_of_parts(spark):
     before = set(glob.glob(f"{storage.application_dir(spark)}/parts_*"))
     assert all(r.no_repetition and r.within_bound is not False and r.each_once is not False for r in catalogue.part_invariants(spark, "/root/testdata/sf0.001").collect())
     assert set(glob.glob(f"{storage.application_dir(spark)}/parts_*")) <= before
+
+
+def test_triples_of_one_entity_share_their_first_places(spark):
+    """As ranking each triple's own candidates, but these go once into one shuffle."""
+    fired = [(h, f"c{c}", a) for h in ("x", "y") for c in range(8) for a in ((0.5, 0.25) if c % 3 else (0.5,))] + [("x", "c9", 0.75)]
+    known = [("x", "c1"), ("x", "c2"), ("x", "c9"), ("x", "unseen"), ("y", "c0")]
+    rows = spark.createDataFrame(fired, "h string, candidate string, applied double")
+    answers = spark.createDataFrame(known, "h string, candidate string")
+    asked = spark.createDataFrame([(f"{h}|{t}", "tail", t, h) for h, t in known], "query string, direction string, target string, h string")
+    got = ranking.shared_top(rows, answers, asked, F.col("confs"), 3)
+    single = asked.join(rows, "h").select("query", "direction", "candidate", "target", F.lit("r").alias("rule"), "applied")
+    want = ranking.max_plus(ranking.drop_known(single, asked.join(answers, "h").select("query", "direction", "candidate")), 3)
+    assert {(r.query, r["rank"]): (r.candidate, r.by) for r in got.collect()} == {(r.query, r["rank"]): (r.candidate, r.confs) for r in want.collect()}
+    assert got.count() == 15
